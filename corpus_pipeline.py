@@ -1,12 +1,55 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next one.
+
+A stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. Those before the last
+return the columns of documents; the last returns every document's place in the packing.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from tokenloom.llm.common import stage, table
+from tokenloom.llm.jaccard_join import one_of_each
+from tokenloom.llm.packing import pack, token_lengths
+from tokenloom.llm.quality_classifier import quality_filter
+from tokenloom.llm.queries import WORD_BPE
+from tokenloom.llm.toxicity import toxicity_filter
+from tokenloom.session import ship
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality_filter(docs, table(spark, sf_dir, "labels"))
+
+
+def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier lets pass."""
+    return toxicity_filter(docs, table(spark, sf_dir, "labels"))
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies: five-word shingles, Jaccard similarity of 0.8 or more."""
+    ship(spark)
+    return one_of_each(docs, width=5, percent=80)
+
+
+def packed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's length bucket, batch and slot."""
+    ship(spark)
+    return pack(token_lengths(docs, WORD_BPE))
+
+
+STAGES = [("quality", good_documents), ("toxicity", clean_documents), ("near_copies", distinct_documents), ("packing", packed_documents)]
+
+#: Fitted models, components and dynamic programming aren't SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Applies the stages to documents."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, apply) in enumerate(STAGES):
+        docs = apply(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stage(docs, f"pipeline-{name}")
+    return docs

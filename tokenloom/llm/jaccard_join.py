@@ -304,3 +304,23 @@ class JaccardJoin:
         return self.prepared.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(near, "fp", "left").select(
             "doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("component", "rep", "doc_id").alias("component_id")
         )
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, without near copies: of each class the smallest doc_id stays.
+
+    Of rows with equal doc_id the one with the smallest text stays; rows without doc_id stay one for each text
+    that no row with a doc_id has. Empty texts have no links, so all stay.
+    """
+    classes = JaccardJoin(docs, width, percent).classes()
+    gone = stage(classes.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct(), "copies-gone")
+    left = docs.where("doc_id is not null").join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(*docs.columns)
+    again = stage(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id"), "repeated")
+    if not again.take(1):
+        return left
+    repeated = left.join(again, "doc_id", "left_semi").select(*docs.columns)
+    first = repeated.withColumn("__place", F.expr("row_number() over (partition by doc_id order by text)")).where("__place = 1").drop("__place")
+    unnamed = docs.where("doc_id is null")
+    known = docs.where("doc_id is not null").select(F.col("text").alias("__text")).distinct()
+    unnamed = unnamed.join(known, F.col("text").eqNullSafe(F.col("__text")), "left_anti").withColumn("__place", F.expr("row_number() over (partition by text order by doc_id)")).where("__place = 1").drop("__place")
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(first).unionByName(unnamed)

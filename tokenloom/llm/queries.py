@@ -2,10 +2,34 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
+from tokenloom.llm import chat_format, quality_rules, spot_signatures, warc
+from tokenloom.llm.bpe import encode_documents
 from tokenloom.llm.common import table
 from tokenloom.llm.jaccard_join import JaccardJoin
+from tokenloom.llm.packing import pack, token_lengths
+from tokenloom.llm.quality_classifier import score_quality
+from tokenloom.llm.token_store import token_store
+from tokenloom.llm.toxicity import score_toxicity
+
+#: Folder of the public tokenizer files.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
+END_ID = 2
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document, the base rules and the verdict by its group's thresholds."""
+    judged = quality_rules.apply_rules(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written as shards with Elias-Fano boundaries and read back."""
+    return token_store(table(spark, sf_dir, "documents"), WORD_BPE, END_ID)
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +37,41 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return JaccardJoin(table(spark, sf_dir, "documents"), width=4, percent=85).classes().select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join,)}
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation and one made of marks, formatted, written, read back and parsed."""
+    return chat_format.formatted_and_read(table(spark, sf_dir, "conversations")).drop("escape_rounds")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of WARC archives, read back from them."""
+    return warc.archives(table(spark, sf_dir, "pages")).drop("url")
+
+
+def op6_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likeness and that of the next document."""
+    return spot_signatures.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of every document."""
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every document."""
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by speculation and verification, and decoded."""
+    return encode_documents(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's length bucket, batch and slot."""
+    return pack(token_lengths(table(spark, sf_dir, "documents"), WORD_BPE))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_store, op3_ngram_jaccard_join, op4_chat_format, op5_warc, op6_spot_signatures, op7_toxicity, op8_quality_classifier, op9_bpe, op10_packing)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_quality_rules": quality_rules.SQL, "op4_chat_format": chat_format.SQL, "op5_warc": warc.SQL}
