@@ -17,7 +17,7 @@ SCRIPTS = {
     "odia": [(0x0B00, 0x0B7F)],
     "indic": [(0x0900, 0x0DFF), (0x1C50, 0x1C7F), (0xABC0, 0xABFF), (0x0600, 0x06FF)],
 }
-#: Texts whose UTF-8 holds no byte pair from these ranges cannot hold a character of the script.
+#: Unicode white space and the four separators that Python's str.split() also parts words at.
 _WORD_GAP = r"(?U)[\s\x1c-\x1f]+"
 
 
@@ -127,8 +127,3 @@ def shots_prompt(shots: Column, source: Column, source_name: str, target_name: s
 def overcut(tokens: Column, letters: Column) -> Column:
     """Whether a segment has more tokens than letters."""
     return tokens > F.greatest(letters, F.lit(1))
-
-
-def python_round(x: Column, digits: int) -> Column:
-    """Rounds the exact binary value half to even, as decimal formatting of it does."""
-    return F.format_number(x.cast("decimal(38,18)"), f"#0.{'0' * digits}").cast("double")
