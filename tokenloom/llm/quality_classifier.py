@@ -28,7 +28,7 @@ ACCEPT = 0.7
 FEATURES, FOLDS, RIDGE, SEED = 128, 5, 1e-3, 20_240_501
 #: Bins of uncalibrated scores between -0.5 and 1.5.
 BINS = 512
-#: Tasks that sum the normal equations.
+#: Tasks that sum the normal equations, each of a bounded number of training rows, so that few sums reach the driver.
 SUMMING = 8
 _NAMES = ["words", "word_length", "symbols", "dup_lines", "repeats", "upper", "line_words", "digits", "punctuation", "exclamations", "bars", "wide", "distinct", "top_word", "marked_words", "titled_words"]
 _DIGITS, _PUNCTUATION, _MARKS = b"0123456789", b".,;:?'\"()-", set("#*$%&|<>!")
@@ -110,7 +110,7 @@ def _sums(batches_of: DataFrame, model: Model) -> np.ndarray:
                 total[k] += z[own].T @ np.hstack([z[own], y[own, None]])
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
 
-    found = batches_of.repartition(SUMMING, "doc_id").mapInArrow(run, "total binary").collect()
+    found = batches_of.coalesce(SUMMING).mapInArrow(run, "total binary").collect()
     return sum((np.frombuffer(r["total"]).reshape(FOLDS, size, size + 1) for r in found), np.zeros((FOLDS, size, size + 1)))
 
 
