@@ -24,7 +24,7 @@ LEAST_GROUP = 200
 #: Feature: its value as SQL over the counts, the least distance from the quartiles, whether low values fail too.
 FEATURES = {
     "symbols": ("10000 * n_symbols div greatest(n_words, 1)", 2000, False),
-    "dup_lines": ("10000 * n_dup_lines div greatest(n_lines, 1)", 3000, False),
+    "dup_lines": ("10000 * n_dup_lines div greatest(n_lines, 1)", 5000, False),
     "repeats": ("10000 * n_repeat_words div greatest(n_words, 1)", 3000, False),
     "word_length": ("1000 * word_chars div greatest(n_words, 1)", 2000, True),
     "upper": ("10000 * n_upper div greatest(word_chars, 1)", 3000, False),
