@@ -4,8 +4,7 @@ A piece of the pre-tokenizer is first cut greedily into the longest tokens of th
 give just these tokens if and only if it would keep every adjacent pair of them apart, which is checked for
 all pairs of a batch at once: the pair's merges are undone from the latest backwards along the boundary, and
 the check fails if two tokens that then touch would have merged before either was merged away from it. Only
-pieces with a failing pair are merged exactly. Texts are cut at white space first (no piece crosses it), and
-words that were seen before are taken from a bounded cache.
+pieces with a failing pair are merged exactly. Pieces that were met before are taken from a bounded cache.
 """
 
 from __future__ import annotations
@@ -23,11 +22,53 @@ from tokenizers import Tokenizer
 
 from tokenloom.llm.common import CACHE_WORDS, texts
 
-_NEVER = np.int64(1) << 40
+_NEVER = 1 << 40
 _END = "\x00"
-#: Characters whose lower case and normal form need no library: printable ASCII and the letters of Latin-1.
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-_PLAIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Texts whose lower case and normal form need no library: printable ASCII, the letters of Latin-1, plain white space.
+_PLAIN = re.compile("[ -~À-ÖØ-öø-ÿ\t\n\r]*")
+_PLAIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9 \t\n\r]+")
+#: The normalizer and pre-tokenizer that plain_pieces() stands for. Fixed values of that tokenizer format.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def has_plain_pieces(config: dict) -> bool:
+    """Whether a tokenizer cuts plain texts into plain_pieces()."""
+    steps = (config.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+    byte_level = steps[-1].get("type") == "ByteLevel" and not steps[-1].get("add_prefix_space") and not steps[-1].get("use_regex")
+    return config.get("normalizer") == _NORMALIZER and len(steps) == 2 and steps[0] == _SPLIT and byte_level
+
+
+def plain_pieces(text: str) -> list[str] | None:
+    """The pre-tokenizer's pieces of a plain text, lower case; None for other texts, which the library must cut."""
+    return _PLAIN_PIECES.findall(text.lower()) if _PLAIN.fullmatch(text) and "<|" not in text else None
+
+
+class Recent(dict):
+    """A cache of at most `limit` entries and as many of the generation before, from which used ones come back."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.before = limit, {}
+
+    def missing(self, keys) -> list:
+        """The keys without a value, each once."""
+        out = []
+        for k in {*keys}:
+            if k not in self:
+                if k in self.before:
+                    self[k] = self.before[k]
+                else:
+                    out.append(k)
+        return out
+
+    def make_room(self, coming: int) -> bool:
+        """Begins another generation if `coming` more entries do not fit; then some keys may be missing again."""
+        if len(self) + coming <= self.limit:
+            return False
+        self.before = dict(self)
+        self.clear()
+        return True
 
 
 def byte_alphabet() -> list[str]:
@@ -62,11 +103,11 @@ class PairMerges:
         order = np.argsort(keys)
         self.keys, self.key_rank = keys[order], np.array([r for r, _ in self.merges.values()], np.int64)[order]
         self.known = {t: i for t, i in self.vocab.items() if self.rank[i] >= 0 or len(t.rstrip(_END)) == 1}
-        #: Lengths of the tokens that begin with two given characters (or are one), longest first.
+        #: Lengths of the tokens that begin with three given characters, or are a beginning of them; longest first.
         starts: dict[str, set[int]] = {}
         for t in self.known:
-            starts.setdefault(t[:2], set()).add(len(t))
-        self.lengths = {k: sorted(v | ({1} if k[0] in self.known else set()), reverse=True) for k, v in starts.items()}
+            starts.setdefault(t[:3], set()).add(len(t))
+        self.lengths = {k: (*sorted(v | {n for n in (1, 2) if k[:n] in self.known}, reverse=True),) for k, v in starts.items()}
 
     def longest_match(self, piece: str) -> list[int]:
         """Greedy tokens of a piece over the byte alphabet."""
@@ -74,7 +115,7 @@ class PairMerges:
         bare = len(piece) if self.end else -1  # the mark of the end is never left alone
         known, lengths, size = self.known, self.lengths, len(s)
         while at < size:
-            for n in lengths.get(s[at : at + 2], (1,)):
+            for n in lengths.get(s[at : at + 3], (2, 1)):
                 to = at + n
                 if to <= size and to != bare and (t := known.get(s[at:to])) is not None:
                     out.append(t)
@@ -109,6 +150,18 @@ class PairMerges:
         if self.end:
             s[-1] += _END
         ids = [self.vocab[c] for c in s]
+        if len(ids) <= 64:  # few enough to look through for the lowest rank
+            find, none = self.merges.get, (_NEVER, 0)
+            found = [find(p, none) for p in zip(ids, ids[1:])]
+            while found and (best := min(found))[0] < _NEVER:
+                i = found.index(best)
+                ids[i : i + 2] = [best[1]]
+                del found[i]
+                if i:
+                    found[i - 1] = find((ids[i - 1], ids[i]), none)
+                if i < len(found):
+                    found[i] = find((ids[i], ids[i + 1]), none)
+            return ids
         after, before = [*range(1, len(ids)), -1], [-1, *range(len(ids) - 1)]
         heap = [(*m, i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (m := self.merges.get((ids[i], ids[i + 1])))]
         heapq.heapify(heap)
@@ -140,7 +193,7 @@ class PairMerges:
 
 
 class WordEncoder:
-    """Encodes white-space-free words with a tokenizer file: its special tokens, normalizer, pieces and merges."""
+    """Encodes texts with a tokenizer file: its special tokens, normalizer, pieces and merges."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -151,24 +204,28 @@ class WordEncoder:
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.alphabet = str.maketrans({chr(b): c for b, c in enumerate(byte_alphabet())})
 
-    def _pieces(self, text: str) -> list[str]:
-        if _PLAIN.fullmatch(text):
-            return [p.encode().decode("latin-1").translate(self.alphabet) for p in _PLAIN_PIECES.findall(text.lower())]
-        return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
-
-    def encode(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word."""
-        plans, wanted = [], {}
-        for word in words:
-            plan: list[int | str] = []
-            for part in self.specials.split(word) if "<|" in word else (word,):
-                if part in self.special:
-                    plan.append(self.special[part])
-                elif part:
-                    plan.extend(self._pieces(part))
-            plans.append(plan)
-            wanted.update((p, None) for p in plan if isinstance(p, str))
-        ids = dict(zip(wanted, self.pairs.encode([*wanted])))
+        self.plain = has_plain_pieces(config)
+
+    def byte_level(self, piece: str) -> str:
+        return piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(self.alphabet)
+
+    def pieces(self, text: str) -> list[str | int]:
+        """Pieces over the byte alphabet, and the ids of special tokens."""
+        if self.plain and (found := plain_pieces(text)) is not None:
+            return [self.byte_level(p) for p in found]
+        out: list[str | int] = []
+        for part in self.specials.split(text) if self.special else (text,):
+            if part in self.special:
+                out.append(self.special[part])
+            elif part:
+                out += [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))]
+        return out
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text."""
+        plans = [self.pieces(t) for t in texts]
+        wanted = [*{p: None for plan in plans for p in plan if isinstance(p, str)}]
+        ids = dict(zip(wanted, self.pairs.encode(wanted)))
         return [[i for p in plan for i in ((p,) if isinstance(p, int) else ids[p])] for plan in plans]
 
     def decoded(self, ids: list[int]) -> str:
@@ -176,39 +233,45 @@ class WordEncoder:
         return " ".join(self.pairs.text[i] for i in ids)
 
 
-_encoders: dict[str, tuple[WordEncoder, dict]] = {}
+_encoders: dict[str, tuple[WordEncoder, Recent, Recent]] = {}
 
 
 def _encode(path: str):
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
+    def known(encoder: WordEncoder, cache: Recent, keys: list, byte_level: bool) -> None:
+        new = cache.missing(keys)
+        if cache.make_room(len(new)):
+            new = cache.missing(keys)
+        pieces = [p for p in new if isinstance(p, str)]
+        made = dict(zip(pieces, encoder.pairs.encode(pieces if byte_level else [*map(encoder.byte_level, pieces)])))
+        for p in new:
+            ids = made.get(p, [p])
+            cache[p] = " ".join(map(str, ids)), encoder.decoded(ids)
+
     def run(batches):
         if path not in _encoders:
-            _encoders[path] = WordEncoder(path), {}
-        encoder, cache = _encoders[path]
+            _encoders[path] = WordEncoder(path), Recent(CACHE_WORDS), Recent(CACHE_WORDS // 4)
+        encoder, plain, other = _encoders[path]
         for batch in batches:
             out = []
             for at in range(0, batch.num_rows, 64):
-                split = [(t or "").split() if t and t.isascii() and not _ODD.search(t) else _SPACE.split(t or "") for t in batch.column("text").slice(at, 64).to_pylist()]
-                new = [*{w: None for words in split for w in words if w not in cache}]
-                if len(cache) + len(new) > CACHE_WORDS:
-                    cache.clear()
-                    new = [*{w: None for words in split for w in words}]
-                for word, ids in zip(new, encoder.encode(new)):
-                    cache[word] = (len(ids), " ".join(map(str, ids)), encoder.decoded(ids)) if ids else None
-                for words in split:
-                    parts = [c for w in words if (c := cache[w])]
-                    out.append((sum(c[0] for c in parts), *(hashlib.sha256(" ".join([c[i] for c in parts]).encode("utf-8", "surrogatepass")).hexdigest() for i in (1, 2))))
+                plans = []
+                for text in batch.column("text").slice(at, 64).to_pylist():
+                    pieces = plain_pieces(text or "") if encoder.plain else None
+                    plans.append((plain, pieces) if pieces is not None else (other, encoder.pieces(text or "")))
+                known(encoder, plain, [p for c, keys in plans if c is plain for p in keys], False)
+                known(encoder, other, [p for c, keys in plans if c is other for p in keys], True)
+                for cache, keys in plans:
+                    parts = [*map(cache.__getitem__, keys)]
+                    ids, decoded = (" ".join([x[i] for x in parts]) for i in (0, 1))
+                    out.append((ids.count(" ") + 1 if ids else 0, *(hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in (ids, decoded))))
             columns = [*zip(*out)] or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], names=names)
 
     return run
 
 
-_ODD = re.compile("[\x1c-\x1f]")
-_SPACE = re.compile("[ \t\n\r]+")
-
-
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_tokens, and digests of the ids and of the text decoded from them.
 
