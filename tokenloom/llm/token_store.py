@@ -10,6 +10,7 @@ row for each and the number of ids before it.
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tokenloom.llm.bpe import Recent, has_plain_pieces, plain_pieces
 from tokenloom.llm.common import CACHE_WORDS, filesystem, new_folder, stage
 
 _MAGIC = b"IDSHARD1"
@@ -127,24 +129,27 @@ class Shard:
             yield d, a, self.flat[a:b]
 
 
-_tokenizers: dict[str, tuple[Tokenizer, dict]] = {}
+_tokenizers: dict[str, tuple[Tokenizer, Recent | None]] = {}
 
 
 def library_ids(path: str, texts: list[str | None]) -> list[np.ndarray]:
-    """Ids of texts by the tokenizers library. Its pieces never cross these white spaces, so words are encoded alone and kept in a bounded cache."""
+    """Ids of texts by the tokenizers library; of plain texts, whose pieces are known, each piece once (a bounded cache)."""
     if path not in _tokenizers:
-        _tokenizers[path] = Tokenizer.from_file(path), {}
+        with open(path, encoding="utf-8") as file:
+            plain = has_plain_pieces(json.load(file))
+        _tokenizers[path] = Tokenizer.from_file(path), Recent(CACHE_WORDS) if plain else None
     tokenizer, cache = _tokenizers[path]
-    split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-    new = [*{w: None for words in split for w in words if w not in cache}]
-    if len(cache) + len(new) > CACHE_WORDS:
-        cache.clear()
-        new = [*{w: None for words in split for w in words}]
-    for at in range(0, len(new), 4096):
-        part = new[at : at + 4096]
-        for word, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-            cache[word] = np.array(e.ids, np.uint32).tobytes()
-    return [np.frombuffer(b"".join([cache[w] for w in words]), np.uint32) for words in split]
+    cut = [plain_pieces(t or "") if cache is not None else None for t in texts]
+    keys = [p for pieces in cut if pieces for p in pieces]
+    if keys:
+        new = cache.missing(keys)
+        if cache.make_room(len(new)):
+            new = cache.missing(keys)
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            for piece, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                cache[piece] = np.array(e.ids, np.uint32).tobytes()
+    return [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, np.uint32) if pieces is None else np.frombuffer(b"".join(map(cache.__getitem__, pieces)), np.uint32) for t, pieces in zip(texts, cut)]
 
 
 def _write(path: str, folder: str, end_id: int, shard_ids: int):
