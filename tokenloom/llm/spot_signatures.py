@@ -174,7 +174,7 @@ def near_pairs(docs: DataFrame, at_least: float = 0.8) -> DataFrame:
     freq = each.groupBy("sig").agg(F.count("*").alias("df"))
     ranked = each.select("doc", "n", "sig").join(freq, "sig").selectExpr("doc", "n", "sig", "row_number() over (partition by doc order by df, sig) r")
     prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(at_least * F.col("n")) + 1).select("doc", "n", "sig")
-    band = F.floor(F.log("n") / -np.log(at_least)).cast("long")
+    band = F.floor(F.log("n") / (1e-9 - np.log(at_least))).cast("long")
     left = prefix.withColumn("band", F.explode(F.array(band, band + 1)))
     right = prefix.withColumn("band", band).withColumnsRenamed({"doc": "doc_b", "n": "n_b"})
     inside = left.join(right, ["sig", "band"]).where((F.col("doc") != F.col("doc_b")) & (F.least("n", "n_b") >= at_least * F.greatest("n", "n_b")))
