@@ -129,16 +129,42 @@ class Shard:
             yield d, a, self.flat[a:b]
 
 
-_tokenizers: dict[str, tuple[Tokenizer, Recent | None]] = {}
+class _Library:
+    """A tokenizer of the library; for vocabularies with word ends, a cache of pieces and the ids that end one."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            config = json.load(file)
+        self.own, self.cache = Tokenizer.from_file(path), None
+        suffix = config["model"].get("end_of_word_suffix")
+        if suffix and has_plain_pieces(config):
+            self.cache, vocab = Recent(CACHE_WORDS), config["model"]["vocab"]
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.own.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def learn(self, pieces: list[str]) -> None:
+        """Encodes pieces as words of one text; each ends with one id that ends a word."""
+        ids = np.array(self.own.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        raw, ends, start = ids.tobytes(), ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), 0
+        if len(ends) != len(pieces):
+            raise ValueError("the tokenizer cuts its own pieces")
+        for piece, end in zip(pieces, ends):
+            self.cache[piece] = raw[start:end]
+            start = end
+
+
+_tokenizers: dict[str, _Library] = {}
 
 
 def library_ids(path: str, texts: list[str | None]) -> list[np.ndarray]:
     """Ids of texts by the tokenizers library; of plain texts, whose pieces are known, each piece once (a bounded cache)."""
     if path not in _tokenizers:
-        with open(path, encoding="utf-8") as file:
-            plain = has_plain_pieces(json.load(file))
-        _tokenizers[path] = Tokenizer.from_file(path), Recent(CACHE_WORDS) if plain else None
-    tokenizer, cache = _tokenizers[path]
+        _tokenizers[path] = _Library(path)
+    library = _tokenizers[path]
+    cache = library.cache
     cut = [plain_pieces(t or "") if cache is not None else None for t in texts]
     keys = [p for pieces in cut if pieces for p in pieces]
     if keys:
@@ -146,10 +172,8 @@ def library_ids(path: str, texts: list[str | None]) -> list[np.ndarray]:
         if cache.make_room(len(new)):
             new = cache.missing(keys)
         for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for piece, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                cache[piece] = np.array(e.ids, np.uint32).tobytes()
-    return [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, np.uint32) if pieces is None else np.frombuffer(b"".join(map(cache.__getitem__, pieces)), np.uint32) for t, pieces in zip(texts, cut)]
+            library.learn(new[at : at + 4096])
+    return [library.ids(t or "") if pieces is None else np.frombuffer(b"".join(map(cache.__getitem__, pieces)), np.uint32) for t, pieces in zip(texts, cut)]
 
 
 def _write(path: str, folder: str, end_id: int, shard_ids: int):
@@ -176,8 +200,8 @@ def _write(path: str, folder: str, end_id: int, shard_ids: int):
             return row
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                some = batch.slice(at, 64)
+            for at in range(0, batch.num_rows, 128):
+                some = batch.slice(at, 128)
                 for doc, found in zip(some.column("doc_id").to_pylist(), library_ids(path, some.column("text").to_pylist())):
                     docs.append(doc)
                     ids.append(np.append(found, np.uint32(end_id)).astype(f"<u{width}"))
