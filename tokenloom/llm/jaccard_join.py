@@ -11,8 +11,9 @@ many of them; without this, unrelated sets would meet there.
 
 Candidates are settled in two exact steps. First each signature's members are compared with its smallest
 member, and the links found are joined into components. Then, only where a signature's members are still in
-different components, they are compared pair by pair on small sketches that bound the number of differing
-features from below (a pair beyond the bound cannot be linked); what is left is verified on the whole sets.
+different components, they are compared pair by pair on small sketches, and what is left on whole ones, that
+bound the number of differing features from below (a pair beyond the bound cannot be linked); what is left
+then is verified on the whole sets.
 Exact copies are one representative throughout.
 """
 
@@ -30,6 +31,8 @@ from tokenloom.llm.components import connected_components
 
 #: Members of one comparison centre that are verified in one group; larger centres are split by salt.
 SALT_ROWS = 256
+#: Bytes of the sketches that travel with the members of signatures.
+SMALL_BLOCKS = 256
 _ONE = np.uint64(1)
 
 
@@ -82,13 +85,23 @@ def signatures(h: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def sketch(h: np.ndarray) -> bytes:
-    """One byte per block of the feature domain, the xor of its features; 8 to 512 blocks, a power of two."""
-    bits = min(9, max(3, int(len(h)).bit_length()))
+    """One byte per block of the feature domain, the xor of its features; 8 to 16,384 blocks, a power of two.
+
+    Up to 512 blocks there are as many as features or more, beyond that half as many at least, so that the
+    blocks that differ stay a sharp bound on the features that do, for long texts too.
+    """
+    n = int(len(h)).bit_length()
+    bits = min(14, max(3, n if n <= 9 else n - 1, 9 if n > 9 else 0))
     edge = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
     run = np.concatenate([np.zeros(1, np.uint8), np.bitwise_xor.accumulate((mix(h) & np.uint64(255)).astype(np.uint8))])
     return (run[edge[1:]] ^ run[edge[:-1]]).tobytes()
 
 
+def folded(own: bytes, width: int = SMALL_BLOCKS) -> bytes:
+    """The sketch over wider blocks, at most `width` of them."""
+    return np.bitwise_xor.reduce(np.frombuffer(own, np.uint8).reshape(width, -1), axis=1).tobytes() if len(own) > width else own
+
+
 def _folded(sketches: list[bytes], width: int) -> np.ndarray:
     out = np.empty((len(sketches), width), np.uint8)
     for i, s in enumerate(sketches):
@@ -103,7 +116,7 @@ def _links(na, nb, differ, percent) -> np.ndarray:
 
 
 def _prepare(width: int, percent: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("sigs", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("sigs", pa.list_(pa.int64())), ("sketch", pa.binary()), ("small", pa.binary())])
 
     def run(batches):
         hashes, bands, seen = WordHashes(), Bands(percent), {}
@@ -117,13 +130,14 @@ def _prepare(width: int, percent: int):
                     if len(seen) > 200_000:
                         seen.clear()
                     seen[fp] = True
-                rows.append((len(h), fp, signatures(h, bands).view(np.int64) if first else None, sketch(h) if first else None))
+                own = sketch(h) if first else None
+                rows.append((len(h), fp, signatures(h, bands).view(np.int64) if first else None, own, folded(own) if first else None))
                 if len(rows) == 512 or at + 1 == len(ids):
-                    n, f, s, k = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([ids.slice(at + 1 - len(rows), len(rows)), pa.array(n, pa.int64()), pa.array(f, pa.binary()), pa.array(s, pa.list_(pa.int64())), pa.array(k, pa.binary())], schema=schema)
+                    n, f, s, k, m = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([ids.slice(at + 1 - len(rows), len(rows)), pa.array(n, pa.int64()), pa.array(f, pa.binary()), pa.array(s, pa.list_(pa.int64())), pa.array(k, pa.binary()), pa.array(m, pa.binary())], schema=schema)
                     rows = []
 
-    return run, "doc_id long, n long, fp binary, sigs array<long>, sketch binary"
+    return run, "doc_id long, n long, fp binary, sigs array<long>, sketch binary, small binary"
 
 
 def _sets(width: int):
@@ -260,8 +274,14 @@ class JaccardJoin:
         return stage(members.join(same.groupBy("c", "x", "y").agg(F.min("sig").alias("sig")), "sig").select("sig", "doc"), "buckets")
 
     def _reps(self) -> DataFrame:
-        one = self.prepared.where("sigs is not null").select("doc_id", "n", "sketch", "fp").join(self.copies, "fp").where("doc_id = rep")
-        return one.select(F.col("doc_id").alias("doc"), "n", "sketch").distinct()
+        one = self.prepared.where("sigs is not null").select("doc_id", "n", "sketch", "small", "fp").join(self.copies, "fp").where("doc_id = rep")
+        return one.select(F.col("doc_id").alias("doc"), "n", "sketch", "small").distinct()
+
+    def _possible(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that may be linked by their sizes and whole sketches."""
+        run, schema = _pruned(self.percent)
+        both = pairs.join(reps.selectExpr("doc a", "n na", "sketch sa"), "a").join(reps.selectExpr("doc b", "n nb", "sketch sb"), "b")
+        return both.mapInArrow(run, schema).distinct()
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the staged pairs (a, b) that are linked, on the whole sets."""
@@ -282,10 +302,8 @@ class JaccardJoin:
     def links(self, connected: bool = False) -> DataFrame:
         """Links (a, b) between representatives. connected: leave out links inside what others already connect."""
         buckets, reps = self._buckets(), stage(self._reps(), "reps")
-        prune, schema = _pruned(self.percent)
         stars = buckets.selectExpr("min(doc) over (partition by sig) a", "doc b").where("a <> b").distinct()
-        stars = stars.join(reps.selectExpr("doc a", "n na", "sketch sa"), "a").join(reps.selectExpr("doc b", "n nb", "sketch sb"), "b")
-        found = self._verified(stage(stars.mapInArrow(prune, schema), "stars"))
+        found = self._verified(stage(self._possible(stars, reps), "stars"))
         if connected:
             label = connected_components(found)
             rest = buckets.join(label.selectExpr("node doc", "component"), "doc", "left").select("sig", "doc", F.coalesce("component", "doc").alias("label"))
@@ -293,8 +311,9 @@ class JaccardJoin:
             rest = buckets.select("sig", "doc", F.col("doc").alias("label"))
         rest = rest.selectExpr("*", "min(label) over (partition by sig) lo", "max(label) over (partition by sig) hi").where("lo <> hi").select("sig", "doc", "label")
         run, schema = _unsettled(self.percent)
-        more = rest.join(reps, "doc").select("sig", "doc", "n", "label", "sketch").repartition("sig").sortWithinPartitions("sig", "doc").mapInArrow(run, schema).distinct()
-        more = stage(more.join(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "unsettled")
+        more = rest.join(reps, "doc").select("sig", "doc", "n", "label", F.col("small").alias("sketch")).repartition("sig").sortWithinPartitions("sig", "doc").mapInArrow(run, schema).distinct()
+        more = more.join(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        more = stage(self._possible(more, reps), "unsettled")
         return found.unionByName(self._verified(more)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def classes(self) -> DataFrame:
