@@ -68,6 +68,19 @@ def texts(column: pa.Array):
         yield from column.slice(at, SLICE_ROWS).to_pylist()
 
 
+def keep_rows(docs: DataFrame, accepts) -> DataFrame:
+    """The rows of docs, with all their columns, whose texts accepts(list of texts) marks; few texts are Python objects at a time."""
+    place = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(place)
+            marks = [np.asarray(accepts(column.slice(at, SLICE_ROWS).to_pylist()), bool) for at in range(0, len(column), SLICE_ROWS)]
+            yield batch.filter(pa.array(np.concatenate(marks) if marks else np.empty(0, bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def byte_words(text: str | None, lower: bool = False) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ as UTF-8 bytes: bytes.split() parts at exactly those six characters."""
     if not text:

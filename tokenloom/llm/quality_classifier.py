@@ -12,12 +12,11 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import stage, texts
+from tokenloom.llm.common import keep_rows, stage, texts
 from tokenloom.llm.labels import held_out, training_labels
 from tokenloom.llm.quality_rules import counts_of
 
@@ -153,11 +152,7 @@ def quality_filter(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that the classifier accepts; it is fitted as in score_quality()."""
     model = fit(stage(document_statistics(docs), "statistics"), training_labels(labels, "quality", *FOLD))
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array([statistics(t) for t in text], float).reshape(-1, len(_NAMES))))
-
-    return docs.where(score(F.col("text").cast("string")) >= ACCEPT)
+    return keep_rows(docs, lambda some: model.score(np.array([statistics(t) for t in some], float).reshape(-1, len(_NAMES))) >= ACCEPT)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -14,13 +14,12 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import CACHE_WORDS, stage
+from tokenloom.llm.common import CACHE_WORDS, keep_rows, stage
 from tokenloom.llm.labels import held_out, training_labels
 
 #: The held-out fold: crc32(doc_id as text) mod 5 is 0.
@@ -266,11 +265,7 @@ def toxicity_filter(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that the classifier does not call toxic."""
     classifier, _ = fit_toxicity(docs, labels)
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series(classifier.score_texts(text))
-
-    return docs.where(score(F.col("text").cast("string")) < ACCEPT)
+    return keep_rows(docs, lambda some: classifier.score_texts(some) < ACCEPT)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
