@@ -88,6 +88,16 @@ def test_hot_group_of_near_copies(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_force(rows, 4, 85)
 
 
+def test_copies_in_any_order_of_rows(spark):
+    rows = sorted(corpus(11), reverse=True)
+    got = JaccardJoin(spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA).coalesce(1)).classes().collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_force(rows, 4, 85)
+    text, near = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(59)) + " z"
+    rows = [(None, text, "x", 1), (9, text, "x", 1), (5, text, "x", 1), (7, near, "x", 1)]
+    got = JaccardJoin(spark.createDataFrame(rows, SCHEMA).coalesce(1)).classes().collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(None, 5), (9, 5), (5, 5), (7, 5)}
+
+
 def test_links_are_all_links_between_texts(spark):
     rows = corpus(9, 60)
     sets = {d: {*shingles(t, 4, WordHashes()).tolist()} for d, t in rows}

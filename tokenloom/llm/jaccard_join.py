@@ -122,10 +122,11 @@ def _prepare(width: int, percent: int):
         hashes, bands, seen = WordHashes(), Bands(percent), {}
         for batch in batches:
             ids, rows = batch.column(0), []
+            named = ids.is_valid().to_pylist()
             for at, text in enumerate(texts(batch.column(1))):
                 h = shingles(text, width, hashes)
                 fp = xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None
-                first = fp is not None and fp not in seen
+                first = named[at] and fp is not None and fp not in seen
                 if first:
                     if len(seen) > 200_000:
                         seen.clear()
@@ -274,8 +275,9 @@ class JaccardJoin:
         return stage(members.join(same.groupBy("c", "x", "y").agg(F.min("sig").alias("sig")), "sig").select("sig", "doc"), "buckets")
 
     def _reps(self) -> DataFrame:
-        one = self.prepared.where("sigs is not null").select("doc_id", "n", "sketch", "small", "fp").join(self.copies, "fp").where("doc_id = rep")
-        return one.select(F.col("doc_id").alias("doc"), "n", "sketch", "small").distinct()
+        """Size and sketches of each class of exact copies, from any row that has them: the first one of a task need not be rep."""
+        one = self.prepared.where("sigs is not null").select("fp", "n", "sketch", "small").join(self.copies, "fp")
+        return one.select(F.col("rep").alias("doc"), "n", "sketch", "small").distinct()
 
     def _possible(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that may be linked by their sizes and whole sketches."""
