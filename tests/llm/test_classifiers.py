@@ -67,6 +67,13 @@ def test_training_sample_is_bounded(spark):
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % 5 for r in rows)
 
 
+def test_quality_keeps_the_balance_of_many_labels(spark):
+    docs = spark.range(120_000).selectExpr("id as doc_id", "'some words' as text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 10 > 0 as int) as quality")
+    score = quality_classifier.score_quality(docs, labels).agg({"score": "avg"}).first()[0]
+    assert abs(score - 0.9) < 0.01
+
+
 def test_label_model_finds_accuracies_and_correlations():
     r = np.random.default_rng(7)
     y = r.random(4000) < 0.3

@@ -1,11 +1,11 @@
-"""Labelled rows: held-out folds and bounded samples of the others."""
+"""Labelled rows: held-out folds, and all or a bounded sample of the others."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows of a class that a fit uses at most: those of the smallest hashes of their doc_id.
+#: Labelled rows of a class that toxicity takes at most: those of the smallest hashes of their doc_id.
 SAMPLE_ROWS = 50_000
 
 
@@ -14,13 +14,16 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == remainder, F.lit(False))
 
 
-def training_labels(labels: DataFrame, column: str, modulus: int, remainder: int, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, y) of at most about `rows` labelled documents of either class outside the held-out fold.
+def training_labels(labels: DataFrame, column: str, modulus: int, remainder: int, rows: int | None = SAMPLE_ROWS) -> DataFrame:
+    """(doc_id, y) of the labelled documents outside the held-out fold: all, or at most about `rows` of either class.
 
-    Null labels and null doc_ids are left out; a doc_id with several labels takes the largest.
+    With `rows` the balance of the classes depends on the input's size, so shares and priors need all. Null
+    labels and null doc_ids are left out; a doc_id with several labels takes the largest.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     known = known.where(~held_out(F.col("doc_id"), modulus, remainder)).groupBy("doc_id").agg(F.max("y").alias("y"))
+    if rows is None:
+        return known
     n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = F.lit(1.0)
     for y, count in n.items():

@@ -27,7 +27,7 @@ ACCEPT = 0.7
 FEATURES, FOLDS, RIDGE, SEED = 128, 5, 1e-3, 20_240_501
 #: Bins of uncalibrated scores between -0.5 and 1.5.
 BINS = 512
-#: Tasks that sum the normal equations, each of a bounded number of training rows, so that few sums reach the driver.
+#: Tasks that add up the partitions' normal equations, so that few sums reach the driver.
 SUMMING = 8
 _NAMES = ["words", "word_length", "symbols", "dup_lines", "repeats", "upper", "line_words", "digits", "punctuation", "exclamations", "bars", "wide", "distinct", "top_word", "marked_words", "titled_words"]
 _DIGITS, _PUNCTUATION, _MARKS = b"0123456789", b".,;:?'\"()-", set("#*$%&|<>!")
@@ -109,7 +109,14 @@ def _sums(batches_of: DataFrame, model: Model) -> np.ndarray:
                 total[k] += z[own].T @ np.hstack([z[own], y[own, None]])
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
 
-    found = batches_of.coalesce(SUMMING).mapInArrow(run, "total binary").collect()
+    def added(batches):
+        total = np.zeros((FOLDS, size, size + 1))
+        for batch in batches:
+            for own in batch.column("total"):
+                total += np.frombuffer(own.as_buffer()).reshape(total.shape)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+
+    found = batches_of.mapInArrow(run, "total binary").repartition(SUMMING).mapInArrow(added, "total binary").collect()
     return sum((np.frombuffer(r["total"]).reshape(FOLDS, size, size + 1) for r in found), np.zeros((FOLDS, size, size + 1)))
 
 
@@ -150,7 +157,7 @@ def fit(measured: DataFrame, labels: DataFrame) -> Model:
 
 def quality_filter(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that the classifier accepts; it is fitted as in score_quality()."""
-    model = fit(stage(document_statistics(docs), "statistics"), training_labels(labels, "quality", *FOLD))
+    model = fit(stage(document_statistics(docs), "statistics"), training_labels(labels, "quality", *FOLD, rows=None))
 
     return keep_rows(docs, lambda some: model.score(np.array([statistics(t) for t in some], float).reshape(-1, len(_NAMES))) >= ACCEPT)
 
@@ -158,12 +165,12 @@ def quality_filter(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs(doc_id, text), labels(doc_id, quality) -> doc_id, held_out, score, predicted, one row per row.
 
-    Only labels outside the held-out fold are learned from, at most SAMPLE_ROWS of either class. Null and empty
-    texts have statistics of 0 and are scored like any other; equal texts have equal scores; a null doc_id is
-    not held out; an empty table gives an empty table; other columns are ignored, whatever their names.
+    All labels outside the held-out fold are learned from, and no others. Null and empty texts
+    have statistics of 0 and are scored like any other; equal texts have equal scores; a null doc_id is not
+    held out; an empty table gives an empty table; other columns are ignored, whatever their names.
     """
     measured = stage(document_statistics(docs), "statistics")
-    model = fit(measured, training_labels(labels, "quality", *FOLD))
+    model = fit(measured, training_labels(labels, "quality", *FOLD, rows=None))
 
     def run(batches):
         for batch in batches:
