@@ -74,6 +74,24 @@ def test_quality_keeps_the_balance_of_many_labels(spark):
     assert abs(score - 0.9) < 0.01
 
 
+def test_toxicity_counts_every_label(spark, monkeypatch):
+    docs = spark.range(120_000).selectExpr("id as doc_id", "'some words' as text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 10 = 0 as int) as toxic")
+    counted = []
+
+    class Model(toxicity.LabelModel):
+        def __init__(self, patterns, n):
+            counted.append(n.sum(0))
+            super().__init__(patterns, n)
+
+    monkeypatch.setattr(toxicity, "LabelModel", Model)
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 2000)
+    toxicity.fit_toxicity(docs, labels)
+    held = sum(zlib.crc32(str(i).encode()) % 5 == 0 for i in range(120_000))
+    toxic = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(0, 120_000, 10))
+    assert counted[0].tolist() == [held, 120_000 - held - toxic, toxic]
+
+
 def test_label_model_finds_accuracies_and_correlations():
     r = np.random.default_rng(7)
     y = r.random(4000) < 0.3

@@ -5,16 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows of a class that toxicity takes at most: those of the smallest hashes of their doc_id.
-SAMPLE_ROWS = 50_000
-
 
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """Whether crc32(doc_id as text) mod modulus is remainder; false for a null doc_id."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == remainder, F.lit(False))
 
 
-def training_labels(labels: DataFrame, column: str, modulus: int, remainder: int, rows: int | None = SAMPLE_ROWS) -> DataFrame:
+def training_labels(labels: DataFrame, column: str, modulus: int, remainder: int, rows: int | None = None) -> DataFrame:
     """(doc_id, y) of the labelled documents outside the held-out fold: all, or at most about `rows` of either class.
 
     With `rows` the balance of the classes depends on the input's size, so shares and priors need all. Null
