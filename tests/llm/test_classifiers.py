@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tokenloom.llm import quality_classifier, queries, toxicity
@@ -77,35 +78,102 @@ def test_quality_keeps_the_balance_of_many_labels(spark):
 def test_toxicity_counts_every_label(spark, monkeypatch):
     docs = spark.range(120_000).selectExpr("id as doc_id", "'some words' as text")
     labels = docs.selectExpr("doc_id", "cast(doc_id % 10 = 0 as int) as toxic")
-    counted = []
+    counted, fit = [], toxicity.fit_label_model
 
-    class Model(toxicity.LabelModel):
-        def __init__(self, patterns, n):
-            counted.append(n.sum(0))
-            super().__init__(patterns, n)
+    def spy(patterns):
+        counted.append(tuple(patterns.selectExpr("sum(n)", "sum(clean)", "sum(toxic)").first()))
+        return fit(patterns)
 
-    monkeypatch.setattr(toxicity, "LabelModel", Model)
-    monkeypatch.setattr(toxicity, "FIT_ROWS", 2000)
-    toxicity.fit_toxicity(docs, labels)
+    monkeypatch.setattr(toxicity, "fit_label_model", spy)
+    terms = toxicity.Terms([])
+    toxicity.fit_toxicity(docs.select("doc_id", toxicity.measured_by(terms, F.col("text")).alias("m")), labels, terms)
     held = sum(zlib.crc32(str(i).encode()) % 5 == 0 for i in range(120_000))
     toxic = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(0, 120_000, 10))
-    assert counted[0].tolist() == [held, 120_000 - held - toxic, toxic]
-
-
-def test_label_model_finds_accuracies_and_correlations():
-    r = np.random.default_rng(7)
-    y = r.random(4000) < 0.3
-    good = np.where(r.random(4000) < 0.9, y, ~y)
-    copy = np.where(r.random(4000) < 0.95, good, ~good)
-    weak = np.where(r.random(4000) < 0.6, y, ~y)
-    votes = ["".join("01"[int(x)] for x in v) for v in zip(good, copy, weak)]
-    patterns = sorted({*votes})
-    n = np.array([[sum(v == p and i >= 1000 for i, v in enumerate(votes)), *(sum(v == p and y[i] == k and i < 1000 for i, v in enumerate(votes)) for k in (0, 1))] for p in patterns], float)
-    model = toxicity.LabelModel(patterns, n)
-    for p in patterns:
+    assert counted == [(held, 120_000 - held - toxic, toxic)]
+
+
+def votes_of(seed=7, n=4000):
+    """Votes of three voters, the second mostly a copy of the first, their classes, and which of these are known."""
+    r = np.random.default_rng(seed)
+    y = r.random(n) < 0.3
+    good = np.where(r.random(n) < 0.9, y, ~y)
+    copy = np.where(r.random(n) < 0.95, good, ~good)
+    weak = np.where(r.random(n) < 0.6, y, ~y)
+    return ["".join("01"[int(x)] for x in v) for v in zip(good, copy, weak)], y, np.arange(n) < n // 4
+
+
+def test_label_model_finds_accuracies_and_correlations(spark):
+    votes, y, known = votes_of()
+    rows = [(p, *(int(sum(v == p and (not known[i] if k < 0 else known[i] and y[i] == k) for i, v in enumerate(votes))) for k in (-1, 0, 1))) for p in sorted({*votes})]
+    model = toxicity.fit_label_model(spark.createDataFrame(rows, "votes string, n long, clean long, toxic long"))
+    for p, *_ in rows:
         truth = np.mean([y[i] for i, v in enumerate(votes) if v == p])
-        assert abs(model.patterns[p] - truth) < 0.12
+        assert abs(model.posterior([p])[0] - truth) < 0.12
     assert {frozenset((i, q)) for i, q in enumerate(model.parent) if q >= 0} >= {frozenset((0, 1))}
+    # one more step of expectation maximisation, document by document, changes nothing
+    q = {p: float(model.posterior([p])[0]) for p, *_ in rows}
+    weight = [[1 - t, t] for t in (float(y[i]) if known[i] else q[v] for i, v in enumerate(votes))]
+    for i, parent in enumerate(model.parent):
+        for c in (0, 1):
+            alone = [0.5 + sum(w[c] for v, w in zip(votes, weight) if v[i] == x) for x in "01-"]
+            for a, above in enumerate("01"):
+                own = [2 * alone[b] / sum(alone) + (sum(w[c] for v, w in zip(votes, weight) if v[parent] == above and v[i] == x) if parent >= 0 else 0) for b, x in enumerate("01-")]
+                assert np.allclose(np.exp(model.tables[i][c][a]), np.array(own) / sum(own), atol=2e-3)
+
+
+def test_every_row_is_fitted_on_its_posterior(spark, monkeypatch):
+    docs, labels = made(300)
+    frame, known = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    models, fit = [], toxicity.fit_label_model
+    monkeypatch.setattr(toxicity, "fit_label_model", lambda patterns: models.append(fit(patterns)) or models[-1])
+    terms = toxicity.Terms(toxicity.mined_terms(frame, training_labels(known, "toxic", *toxicity.FOLD)))
+    own = toxicity.fit_toxicity(frame.select("doc_id", toxicity.measured_by(terms, F.col("text")).alias("m")), known, terms)
+    # slow reference: the gradient of the penalised loss over all rows outside the fold, posteriors as labels, is zero
+    rows = [terms.measure(t) for i, t, *_ in docs if zlib.crc32(str(i).encode()) % 5]
+    x = np.zeros((len(rows), len(own.weights)))
+    for i, r in enumerate(rows):
+        x[i, r["terms"]] = r["counts"]
+        x[i, own.n_terms : -1] = own.dense([r])[0]
+        x[i, -1] = 1
+    score = 1 / (1 + np.exp(-x @ own.weights))
+    gradient = x.T @ (score - models[0].posterior([r["votes"] for r in rows])) / len(rows) + toxicity.PENALTY * np.r_[own.weights[:-1], 0]
+    assert np.abs(gradient).max() < 1e-3
+    assert np.allclose(own.score(rows), score)
+
+
+def test_quality_scores_against_a_slow_reference(spark):
+    docs, labels = made(240)
+    frame, known = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["score"] for r in quality_classifier.score_quality(frame, known).collect()}
+    x = np.array([quality_classifier.statistics(t) for _, t, *_ in docs])
+    model = quality_classifier.Model(x.mean(0), x.std(0))
+    z = model.features(x)
+    y = np.array([q for _, q, _ in labels], float)
+    train = np.array([zlib.crc32(str(i).encode()) % 4 != 2 for i, *_ in docs])
+    fold = quality_classifier.fold_of(np.array([i for i, *_ in docs]))
+
+    def ridge(use):
+        a = np.diag([quality_classifier.RIDGE * use.sum()] * quality_classifier.FEATURES + [1e-9])
+        for row in z[use]:
+            a = a + np.outer(row, row)
+        return np.linalg.solve(a, z[use].T @ y[use])
+
+    unseen = np.array([z[i] @ ridge(train & (fold != fold[i])) for i in np.flatnonzero(train)])
+    bins = np.clip((unseen + 0.5) * quality_classifier.BINS / 2, 0, quality_classifier.BINS - 1).astype(int)
+    kinds = sorted({*bins.tolist()})
+    n, good = ([float((bins == b).sum()) for b in kinds], [float(y[train][bins == b].sum()) for b in kinds])
+    prior = sum(good) / sum(n)
+    value, weight = [(g + prior) / (m + 1) for g, m in zip(good, n)], [m + 1 for m in n]
+    mean = lambda i, j: sum(v * w for v, w in zip(value[i:j], weight[i:j])) / sum(weight[i:j])
+    monotone = [max(min(mean(i, j) for j in range(k + 1, len(kinds) + 1)) for i in range(k + 1)) for k in range(len(kinds))]  # the min-max formula
+    # blocks of equal values are one knot at their weighted mean place
+    place, knots = [(b + 0.5) * 2 / quality_classifier.BINS - 0.5 for b in kinds], []
+    for v in sorted({round(m, 12) for m in monotone}):
+        own = [k for k, m in enumerate(monotone) if round(m, 12) == v]
+        knots.append((sum(place[k] * weight[k] for k in own) / sum(weight[k] for k in own), v))
+    raw = z @ ridge(train)
+    want = np.clip(np.interp(raw, *zip(*knots)), 0, 1)
+    assert np.allclose([got[i] for i, *_ in docs], want, atol=1e-6)
 
 
 def test_isotonic_is_the_best_monotone_fit():

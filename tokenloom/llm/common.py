@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tokenloom.session import ship
 
@@ -17,14 +18,18 @@ from tokenloom.session import ship
 SLICE_ROWS = 256
 #: Entries after which a worker's word cache is emptied; bounds its memory.
 CACHE_WORDS = 250_000
+#: Tasks that read written files at most; beyond them a task reads several files one after another.
+READERS = 20_000
 #: Rows up to which a table of ids may be broadcast (16 bytes a row: about 32 MB); beyond it joins shuffle.
 BROADCAST_ROWS = 2_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one is made if all run on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tokenloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/") if "://" in folder else "file://" + folder.rstrip("/")
@@ -42,15 +47,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def staged_path(df: DataFrame) -> str:
-    return df.inputFiles()[0].rsplit("/", 1)[0]
+def drop_staged(*frames: DataFrame) -> None:
+    """Deletes the folders of staged frames that no later plan reads."""
+    for df in frames:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            drop_folder(df.sparkSession, folder)
 
 
-def drop_staged(spark: SparkSession, *paths: str) -> None:
-    """Deletes folders that no later plan reads."""
-    for path in paths:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def drop_folder(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def filesystem(url: str) -> tuple[pafs.FileSystem, str]:
@@ -68,17 +74,53 @@ def texts(column: pa.Array):
         yield from column.slice(at, SLICE_ROWS).to_pylist()
 
 
-def keep_rows(docs: DataFrame, accepts) -> DataFrame:
-    """The rows of docs, with all their columns, whose texts accepts(list of texts) marks; few texts are Python objects at a time."""
-    place = docs.columns.index("text")
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores after it until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def sliced(column: pa.Array, apply, kind: pa.DataType) -> pa.Array:
+    """apply(list of Python objects) over an Arrow column, a slice of SLICE_ROWS at a time."""
+    parts = [pa.array(apply(column.slice(at, SLICE_ROWS).to_pylist()), kind) for at in range(0, len(column), SLICE_ROWS)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
+def keep_rows(measured: DataFrame, name: str, accepts) -> DataFrame:
+    """The rows of measured that accepts(list of measures) marks, without the column of measures.
+
+    Only that column goes to Python and one mark a row comes back; the rows themselves stay in the JVM.
+    """
+    mark = F.arrow_udf(lambda column: sliced(column, lambda some: [bool(x) for x in accepts(some)], pa.bool_()), "boolean")
+    return measured.where(mark(F.col(name))).drop(name)
+
+
+#: Tasks that add up the sums of partitions, so that few reach the driver.
+SUMMING = 8
+
+
+def summed(rows: DataFrame, batch_sum, size: int) -> np.ndarray:
+    """The sum of batch_sum(batch), vectors of `size` numbers, over all Arrow batches; one vector a partition is shuffled."""
 
     def run(batches):
+        total = np.zeros(size)
         for batch in batches:
-            column = batch.column(place)
-            marks = [np.asarray(accepts(column.slice(at, SLICE_ROWS).to_pylist()), bool) for at in range(0, len(column), SLICE_ROWS)]
-            yield batch.filter(pa.array(np.concatenate(marks) if marks else np.empty(0, bool)))
+            total += batch_sum(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
 
-    return docs.mapInArrow(run, docs.schema)
+    def added(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            for own in batch.column("total"):
+                total += np.frombuffer(own.as_buffer())
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+
+    found = rows.mapInArrow(run, "total binary")
+    if rows.rdd.getNumPartitions() > SUMMING:
+        found = found.repartition(SUMMING).mapInArrow(added, "total binary")
+    return sum((np.frombuffer(r["total"]) for r in found.collect()), np.zeros(size))
 
 
 def byte_words(text: str | None, lower: bool = False) -> list[bytes]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import drop_staged, new_folder
+from tokenloom.llm.common import drop_folder, new_folder
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         edges = spark.read.schema("u long, v long").parquet(path)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
         if len(paths) > 1:
-            drop_staged(spark, paths[-2])
+            drop_folder(spark, paths[-2])
         paths.append(path)
         if now == last:
             break

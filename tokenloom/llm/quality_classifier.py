@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import keep_rows, stage, texts
+from tokenloom.llm.common import free_name, keep_rows, sliced, stage, summed, texts
 from tokenloom.llm.labels import held_out, training_labels
 from tokenloom.llm.quality_rules import counts_of
 
@@ -27,8 +27,6 @@ ACCEPT = 0.7
 FEATURES, FOLDS, RIDGE, SEED = 128, 5, 1e-3, 20_240_501
 #: Bins of uncalibrated scores between -0.5 and 1.5.
 BINS = 512
-#: Tasks that add up the partitions' normal equations, so that few sums reach the driver.
-SUMMING = 8
 _NAMES = ["words", "word_length", "symbols", "dup_lines", "repeats", "upper", "line_words", "digits", "punctuation", "exclamations", "bars", "wide", "distinct", "top_word", "marked_words", "titled_words"]
 _DIGITS, _PUNCTUATION, _MARKS = b"0123456789", b".,;:?'\"()-", set("#*$%&|<>!")
 
@@ -95,29 +93,20 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.array([[a / w, b / w] for a, b, w in blocks])
 
 
-def _sums(batches_of: DataFrame, model: Model) -> np.ndarray:
+def _sums(rows: DataFrame, model: Model) -> np.ndarray:
     """Normal equations of each fold: FOLDS x (FEATURES + 1) x (FEATURES + 2), the last column for the labels."""
-    size = FEATURES + 1
+    shape = (FOLDS, FEATURES + 1, FEATURES + 2)
 
-    def run(batches):
-        total = np.zeros((FOLDS, size, size + 1))
-        for batch in batches:
-            x, y = np.array(batch.column("x").to_pylist(), float).reshape(-1, len(_NAMES)), batch.column("y").to_numpy().astype(float)
-            fold, z = fold_of(batch.column("doc_id").to_numpy()), model.features(x)
-            for k in range(FOLDS):
-                own = fold == k
-                total[k] += z[own].T @ np.hstack([z[own], y[own, None]])
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
-
-    def added(batches):
-        total = np.zeros((FOLDS, size, size + 1))
-        for batch in batches:
-            for own in batch.column("total"):
-                total += np.frombuffer(own.as_buffer()).reshape(total.shape)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+    def equations(batch) -> np.ndarray:
+        total = np.zeros(shape)
+        x, y = np.array(batch.column("x").to_pylist(), float).reshape(-1, len(_NAMES)), batch.column("y").to_numpy().astype(float)
+        fold, z = fold_of(batch.column("doc_id").to_numpy()), model.features(x)
+        for k in range(FOLDS):
+            own = fold == k
+            total[k] = z[own].T @ np.hstack([z[own], y[own, None]])
+        return total.reshape(-1)
 
-    found = batches_of.mapInArrow(run, "total binary").repartition(SUMMING).mapInArrow(added, "total binary").collect()
-    return sum((np.frombuffer(r["total"]).reshape(FOLDS, size, size + 1) for r in found), np.zeros((FOLDS, size, size + 1)))
+    return summed(rows, equations, int(np.prod(shape))).reshape(shape)
 
 
 def fit(measured: DataFrame, labels: DataFrame) -> Model:
@@ -156,10 +145,17 @@ def fit(measured: DataFrame, labels: DataFrame) -> Model:
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that the classifier accepts; it is fitted as in score_quality()."""
-    model = fit(stage(document_statistics(docs), "statistics"), training_labels(labels, "quality", *FOLD))
+    """The rows of docs, with all their columns, that the classifier accepts; it is fitted as in score_quality().
 
-    return keep_rows(docs, lambda some: model.score(np.array([statistics(t) for t in some], float).reshape(-1, len(_NAMES))) >= ACCEPT)
+    Texts are measured once, and rows stand with their statistics in the shared folder until they are judged.
+    Null and empty texts are judged like others, repeated rows each for itself; columns of any name come
+    through, an empty table gives an empty table.
+    """
+    x = free_name(docs, "x")
+    measure = F.arrow_udf(lambda column: sliced(column, lambda some: [statistics(t) for t in some], pa.list_(pa.float64())), "array<double>")
+    measured = stage(docs.withColumn(x, measure(F.col("text").cast("string"))), "statistics")
+    model = fit(measured.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(x).alias("x")), training_labels(labels, "quality", *FOLD))
+    return keep_rows(measured, x, lambda some: model.score(np.array(some, float).reshape(-1, len(_NAMES))) >= ACCEPT)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
