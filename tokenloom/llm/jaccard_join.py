@@ -11,8 +11,8 @@ many of them; without this, unrelated sets would meet there.
 
 Candidates are settled in two exact steps. First each signature's members are compared with its smallest
 member, and the links found are joined into components. Then, only where a signature's members are still in
-different components, they are compared pair by pair on small sketches, and what is left on whole ones, that
-bound the number of differing features from below (a pair beyond the bound cannot be linked); what is left
+different components, they are compared pair by pair, in blocks of a bounded size, on small sketches, and what
+is left on whole ones, that bound the number of differing features from below (a pair beyond the bound cannot be linked); what is left
 then is verified on the whole sets.
 Exact copies are one representative throughout.
 """
@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenloom.llm.common import BROADCAST_ROWS, WordHashes, drop_staged, mix, shingles, stage, staged_path, texts
+from tokenloom.llm.common import BROADCAST_ROWS, SLICE_ROWS, WordHashes, drop_staged, free_name, mix, shingles, stage, texts
 from tokenloom.llm.components import connected_components
 
 #: Members of one comparison centre that are verified in one group; larger centres are split by salt.
 SALT_ROWS = 256
-#: Bytes of the sketches that travel with the members of signatures.
+#: Members of a signature that are compared with each other in one group; more are split into blocks, and blocks meet in pairs.
+BLOCK_ROWS = 1024
+#: Bytes of the sketches that travel with the members of signatures, of sets of up to 1,023 features.
 SMALL_BLOCKS = 256
 _ONE = np.uint64(1)
 
@@ -60,45 +62,61 @@ class Bands:
         """The most features in which linked sets with so many features together may differ."""
         return (100 - self.percent) * both // (100 + self.percent)
 
-    def instance(self, band: int) -> tuple[int, int]:
-        """(n1, spare) for sets of this band and the next one: n1 - spare first-level partitions are enough."""
+    def instance(self, band: int, size: int) -> tuple[int, int, int]:
+        """(n1, own, spare) of the instance for this band and the next one, for a set of a size in either.
+
+        n1 first-level partitions are enough for any linked sets of these bands, with `spare` to spare; the first
+        `own` of them for those that a set of this size can be linked with.
+        """
         k = self.differences(self.high(band) + self.high(band + 1))
         spare = 2 + k // 24
-        return (0, 0) if k == 0 else (k // 2 + 1 + spare, spare)
+        # the largest partner: of the next band if this set lies in the lower one, else of the lower one
+        most = min(self.high(band + 1), size * 100 // self.percent) if size <= self.high(band) else self.high(band)
+        return (0, 0, 0) if k == 0 else (k // 2 + 1 + spare, min(k, self.differences(size + most)) // 2 + 1 + spare, spare)
 
 
 def signatures(h: np.ndarray, bands: Bands) -> np.ndarray:
-    """PartEnum signatures of a sorted set of uniform 64-bit features."""
+    """PartEnum signatures of a sorted set of uniform 64-bit features.
+
+    Linked sets differ in d features at most, so of the first d // 2 + 1 + spare first-level partitions, which
+    both sets use, spare + 1 hold one difference at most and have an equal half. A set leaves out the signatures
+    of its empty halves unless more than `spare` of its partitions have one; so one equal half is left.
+    """
     out, band = [], bands.of(len(h))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h))])
     for i in (band - 1, band):
-        if i < 0 or not (found := bands.instance(i))[0]:
+        if i < 0 or not (found := bands.instance(i, len(h)))[0]:
             continue
-        n1, spare = found
-        halves = 2 * n1
-        block = ((h >> np.uint64(32)) * np.uint64(halves)) >> np.uint64(32)
+        n1, own, spare = found
+        halves = 2 * own
+        block = ((h >> np.uint64(32)) * np.uint64(2 * n1)) >> np.uint64(32)
         edge = np.searchsorted(block, np.arange(halves + 1, dtype=np.uint64))
         empty = edge[1:] == edge[:-1]
         sig = mix((total[edge[1:]] - total[edge[:-1]]) ^ mix(np.arange(halves, dtype=np.uint64) + np.uint64((i + 1) << 32)))
-        out.append(sig if int(empty.reshape(n1, 2).any(1).sum()) > spare else sig[~empty])
+        out.append(sig if int(empty.reshape(own, 2).any(1).sum()) > spare else sig[~empty])
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
 def sketch(h: np.ndarray) -> bytes:
-    """One byte per block of the feature domain, the xor of its features; 8 to 16,384 blocks, a power of two.
+    """One byte per block of the feature domain, the xor of its features; 8 blocks or more, a power of two.
 
     Up to 512 blocks there are as many as features or more, beyond that half as many at least, so that the
     blocks that differ stay a sharp bound on the features that do, for long texts too.
     """
     n = int(len(h)).bit_length()
-    bits = min(14, max(3, n if n <= 9 else n - 1, 9 if n > 9 else 0))
+    bits = max(3, n if n <= 9 else n - 1, 9 if n > 9 else 0)
     edge = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
     run = np.concatenate([np.zeros(1, np.uint8), np.bitwise_xor.accumulate((mix(h) & np.uint64(255)).astype(np.uint8))])
     return (run[edge[1:]] ^ run[edge[:-1]]).tobytes()
 
 
-def folded(own: bytes, width: int = SMALL_BLOCKS) -> bytes:
-    """The sketch over wider blocks, at most `width` of them."""
+def folded(own: bytes, n: int) -> bytes:
+    """The sketch of a set of size n over wider blocks: SMALL_BLOCKS, or a quarter of the size or more.
+
+    Sets that differ in 2/3 of n features, far from any link, then still differ in more blocks than linked
+    ones may in features (0.222 n at a similarity of 0.8), so pairs of long texts can be ruled out by it.
+    """
+    width = max(SMALL_BLOCKS, 1 << max(0, int(n).bit_length() - 2))
     return np.bitwise_xor.reduce(np.frombuffer(own, np.uint8).reshape(width, -1), axis=1).tobytes() if len(own) > width else own
 
 
@@ -132,7 +150,7 @@ def _prepare(width: int, percent: int):
                         seen.clear()
                     seen[fp] = True
                 own = sketch(h) if first else None
-                rows.append((len(h), fp, signatures(h, bands).view(np.int64) if first else None, own, folded(own) if first else None))
+                rows.append((len(h), fp, signatures(h, bands).view(np.int64) if first else None, own, folded(own, len(h)) if first else None))
                 if len(rows) == 512 or at + 1 == len(ids):
                     n, f, s, k, m = zip(*rows)
                     yield pa.RecordBatch.from_arrays([ids.slice(at + 1 - len(rows), len(rows)), pa.array(n, pa.int64()), pa.array(f, pa.binary()), pa.array(s, pa.list_(pa.int64())), pa.array(k, pa.binary()), pa.array(m, pa.binary())], schema=schema)
@@ -170,11 +188,10 @@ def _verify(percent: int):
     def run(batches):
         centre, own = None, []
         for batch in batches:
-            found = []
-            for row in range(batch.num_rows):
-                a, b = batch.column("a")[row].as_py(), batch.column("b")[row].as_py()
-                h = np.frombuffer(batch.column("h")[row].as_buffer(), np.uint64)
-                if batch.column("kind")[row].as_py() == 0:
+            found, sets = [], batch.column("h")
+            for row, (a, b, kind) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "b", "kind")))):
+                h = np.frombuffer(sets[row].as_buffer(), np.uint64)
+                if kind == 0:
                     own = [*own, h.copy()] if a == centre else [h.copy()]
                     centre = a
                 elif a == centre and any(linked(x, h) for x in own):
@@ -186,37 +203,46 @@ def _verify(percent: int):
 
 
 def _pruned(percent: int):
-    """Rows (a, b, na, nb, sa, sb): keeps pairs whose sketches allow a link."""
+    """Rows (a, b, na, nb, sa, sb): keeps pairs whose sketches allow a link; few sketches are unpacked at a time."""
 
     def run(batches):
         for batch in batches:
-            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-            sa, sb = batch.column("sa").to_pylist(), batch.column("sb").to_pylist()
-            differ = np.zeros(len(na), np.int64)
-            width = np.array([min(len(x), len(y)) for x, y in zip(sa, sb)], np.int64)
-            for w in np.unique(width):
-                at = np.flatnonzero(width == w)
-                differ[at] = (_folded([sa[i] for i in at], w) != _folded([sb[i] for i in at], w)).sum(1)
-            keep = _links(na, nb, np.maximum(differ, np.abs(na - nb)), percent)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                some = batch.slice(start, SLICE_ROWS)
+                na, nb = (some.column(c).to_numpy() for c in ("na", "nb"))
+                sa, sb = some.column("sa").to_pylist(), some.column("sb").to_pylist()
+                differ = np.zeros(len(na), np.int64)
+                width = np.array([min(len(x), len(y)) for x, y in zip(sa, sb)], np.int64)
+                for w in np.unique(width):
+                    at = np.flatnonzero(width == w)
+                    differ[at] = (_folded([sa[i] for i in at], w) != _folded([sb[i] for i in at], w)).sum(1)
+                keep = _links(na, nb, np.maximum(differ, np.abs(na - nb)), percent)
+                yield pa.RecordBatch.from_arrays([some.column("a"), some.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
     return run, "a long, b long"
 
 
 def _unsettled(percent: int):
-    """Rows (sig, doc, n, label, sketch) sorted by sig: pairs of different labels within a sig that may be linked."""
+    """Rows (sig, i, j, block, doc, n, label, sketch) sorted by (sig, i, j): pairs that may be linked, of different labels.
+
+    The members of one (sig, i, j) are blocks i and j of a signature, BLOCK_ROWS rows each about; where the
+    blocks differ only pairs across them are looked at, as the others have a group of their own.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def pairs(rows):
-        doc, n, label = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+    def pairs(rows, one_block):
+        doc, n, label, block = (np.array([r[i] for r in rows], np.int64) for i in range(4))
         order = np.lexsort((doc, n))
-        doc, n, label = doc[order], n[order], label[order]
-        held = [rows[i][3] for i in order]
+        doc, n, label, block = doc[order], n[order], label[order], block[order]
+        held = [rows[i][4] for i in order]
         flat = _folded(held, min(len(s) for s in held))
         out_a, out_b = [], []
         for i in range(len(doc) - 1):
             end = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
-            at = i + 1 + np.flatnonzero(label[i + 1 : end] != label[i])
+            other = label[i + 1 : end] != label[i]
+            if not one_block:
+                other &= block[i + 1 : end] != block[i]
+            at = i + 1 + np.flatnonzero(other)
             if len(at):
                 at = at[_links(n[i], n[at], (flat[at] != flat[i]).sum(1), percent)]
                 out_a.append(np.minimum(doc[i], doc[at]))
@@ -227,23 +253,27 @@ def _unsettled(percent: int):
         now, rows, seen = None, [], set()
 
         def ended():
-            a, b = pairs(rows) if len(rows) > 1 else (np.empty(0, np.int64),) * 2
+            a, b = pairs(rows, now[1] == now[2]) if len(rows) > 1 else (np.empty(0, np.int64),) * 2
             fresh = [p for p in zip(a.tolist(), b.tolist()) if p not in seen]
             if len(seen) > 300_000:
                 seen.clear()
-            seen.update(fresh)
+            seen.update(fresh[:300_000])
             for at in range(0, len(fresh), 10_000):
                 part = fresh[at : at + 10_000]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int64())], schema=schema)
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("doc", "n", "label", "sketch")]
-            for sig, *row in zip(batch.column("sig").to_pylist(), *columns):
-                if sig != now:
-                    yield from ended()
-                    now, rows = sig, []
-                rows.append(row)
-        yield from ended()
+            for start in range(0, batch.num_rows, 4 * SLICE_ROWS):
+                some = batch.slice(start, 4 * SLICE_ROWS)
+                keys, columns = ([some.column(c).to_pylist() for c in names] for names in (("sig", "i", "j"), ("doc", "n", "label", "block", "sketch")))
+                for key, row in zip(zip(*keys), zip(*columns)):
+                    if key != now:
+                        if now:
+                            yield from ended()
+                        now, rows = key, []
+                    rows.append(row)
+        if now:
+            yield from ended()
 
     return run, "a long, b long"
 
@@ -260,9 +290,19 @@ class JaccardJoin:
     def __init__(self, docs: DataFrame, width: int = 4, percent: int = 85):
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         self.width, self.percent = width, percent
+        self.staged: list[DataFrame] = []
         run, schema = _prepare(width, percent)
-        self.prepared = stage(self.docs.mapInArrow(run, schema), "sets")
-        self.copies = stage(self.prepared.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "copies")
+        self.prepared = self._stage(self.docs.mapInArrow(run, schema), "sets")
+        self.copies = self._stage(self.prepared.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "copies")
+
+    def _stage(self, df: DataFrame, name: str) -> DataFrame:
+        self.staged.append(stage(df, name))
+        return self.staged[-1]
+
+    def close(self) -> None:
+        """Deletes the staged tables; frames made by this join cannot be read any more."""
+        drop_staged(*self.staged)
+        self.staged.clear()
 
     def _buckets(self) -> DataFrame:
         """(sig, doc) of signatures with two texts or more, one signature for each set of members."""
@@ -270,9 +310,11 @@ class JaccardJoin:
         members = rows.selectExpr("sig", "doc", "min(doc) over (partition by sig) lo", "max(doc) over (partition by sig) hi").where("lo <> hi").select("sig", "doc")
         rep = self.prepared.where("sigs is not null").select("doc_id", "fp").join(self.copies, "fp").select(F.col("doc_id").alias("doc"), "rep").distinct()
         members = members.join(rep, "doc").select("sig", F.col("rep").alias("doc")).distinct()
-        members = stage(members, "members")
+        members = stage(members, "members")  # dropped below
         same = members.groupBy("sig").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.sum(F.xxhash64("doc", F.lit(7)).cast("decimal(38,0)")).alias("y")).where("c > 1")
-        return stage(members.join(same.groupBy("c", "x", "y").agg(F.min("sig").alias("sig")), "sig").select("sig", "doc"), "buckets")
+        buckets = self._stage(members.join(same.groupBy("c", "x", "y").agg(F.min("sig").alias("sig")), "sig").select("sig", "doc"), "buckets")
+        drop_staged(members)
+        return buckets
 
     def _reps(self) -> DataFrame:
         """Size and sketches of each class of exact copies, from any row that has them: the first one of a task need not be rep."""
@@ -298,24 +340,29 @@ class JaccardJoin:
         members = pairs.join(counts, "a").select("a", salt, "b").join(sets.withColumnRenamed("doc", "b"), "b").select("a", "salt", F.lit(1).alias("kind"), "b", "h")
         centres = counts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt")).join(sets.withColumnRenamed("doc", "a"), "a").select("a", "salt", F.lit(0).alias("kind"), F.col("a").alias("b"), "h")
         run, schema = _verify(self.percent)
-        out = stage(members.unionByName(centres).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind", "b").select("a", "kind", "b", "h").mapInArrow(run, schema), "links")
+        out = self._stage(members.unionByName(centres).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind", "b").select("a", "kind", "b", "h").mapInArrow(run, schema), "links")
+        drop_staged(ids, sets)
         return out
 
     def links(self, connected: bool = False) -> DataFrame:
         """Links (a, b) between representatives. connected: leave out links inside what others already connect."""
-        buckets, reps = self._buckets(), stage(self._reps(), "reps")
-        stars = buckets.selectExpr("min(doc) over (partition by sig) a", "doc b").where("a <> b").distinct()
-        found = self._verified(stage(self._possible(stars, reps), "stars"))
+        buckets, reps = self._buckets(), self._stage(self._reps(), "reps")
+        low = buckets.groupBy("sig").agg(F.min("doc").alias("a"))
+        stars = buckets.join(low, "sig").select("a", F.col("doc").alias("b")).where("a <> b").distinct()
+        found = self._verified(self._stage(self._possible(stars, reps), "stars"))
+        rest = buckets.withColumn("label", F.col("doc"))
         if connected:
             label = connected_components(found)
             rest = buckets.join(label.selectExpr("node doc", "component"), "doc", "left").select("sig", "doc", F.coalesce("component", "doc").alias("label"))
-        else:
-            rest = buckets.select("sig", "doc", F.col("doc").alias("label"))
-        rest = rest.selectExpr("*", "min(label) over (partition by sig) lo", "max(label) over (partition by sig) hi").where("lo <> hi").select("sig", "doc", "label")
+            rest = self._stage(rest, "labelled")
+        open_ = rest.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / BLOCK_ROWS).alias("parts")).where("lo <> hi").select("sig", "parts")
+        rest = rest.join(open_, "sig").withColumn("block", F.expr("pmod(xxhash64(doc), parts)")).join(reps.select("doc", "n", F.col("small").alias("sketch")), "doc")
+        met = F.explode(F.expr("transform(sequence(0L, parts - 1), p -> struct(least(p, block) as i, greatest(p, block) as j))")).alias("met")
         run, schema = _unsettled(self.percent)
-        more = rest.join(reps, "doc").select("sig", "doc", "n", "label", F.col("small").alias("sketch")).repartition("sig").sortWithinPartitions("sig", "doc").mapInArrow(run, schema).distinct()
+        dealt = rest.select("sig", met, "block", "doc", "n", "label", "sketch").select("sig", "met.i", "met.j", "block", "doc", "n", "label", "sketch")
+        more = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "doc").mapInArrow(run, schema).distinct()
         more = more.join(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        more = stage(self._possible(more, reps), "unsettled")
+        more = self._stage(self._possible(more, reps), "unsettled")
         return found.unionByName(self._verified(more)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def classes(self) -> DataFrame:
@@ -333,15 +380,17 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     Of rows with equal doc_id the one with the smallest text stays; rows without doc_id stay one for each text
     that no row with a doc_id has. Empty texts have no links, so all stay.
     """
-    classes = JaccardJoin(docs, width, percent).classes()
-    gone = stage(classes.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct(), "copies-gone")
+    join = JaccardJoin(docs, width, percent)
+    gone = stage(join.classes().where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct(), "copies-gone")
+    join.close()
     left = docs.where("doc_id is not null").join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(*docs.columns)
     again = stage(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id"), "repeated")
     if not again.take(1):
         return left
+    place, other = free_name(docs, "place"), free_name(docs, "text_of")
     repeated = left.join(again, "doc_id", "left_semi").select(*docs.columns)
-    first = repeated.withColumn("__place", F.expr("row_number() over (partition by doc_id order by text)")).where("__place = 1").drop("__place")
+    first = repeated.withColumn(place, F.expr("row_number() over (partition by doc_id order by text)")).where(F.col(place) == 1).drop(place)
     unnamed = docs.where("doc_id is null")
-    known = docs.where("doc_id is not null").select(F.col("text").alias("__text")).distinct()
-    unnamed = unnamed.join(known, F.col("text").eqNullSafe(F.col("__text")), "left_anti").withColumn("__place", F.expr("row_number() over (partition by text order by doc_id)")).where("__place = 1").drop("__place")
+    known = docs.where("doc_id is not null").select(F.col("text").alias(other)).distinct()
+    unnamed = unnamed.join(known, F.col("text").eqNullSafe(F.col(other)), "left_anti").withColumn(place, F.expr("row_number() over (partition by text order by doc_id)")).where(F.col(place) == 1).drop(place)
     return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(first).unionByName(unnamed)
