@@ -1,7 +1,7 @@
 """Packing by optimal length buckets: bucket boundaries that minimise padding, and token-budget batches inside them.
 
-The global histogram of lengths goes to the driver (one row for each distinct length; lengths from 2^12 on
-are rounded up to a multiple of 1/1024 of their size, so there are never more than some ten thousand).
+The global histogram of lengths goes to the driver: one row of 16 bytes for each distinct length. d distinct
+lengths need d^2 / 2 tokens at least, so 10^13 tokens have some 4.5 million at the very most.
 Dynamic programming finds the boundaries with the least padding for a number of buckets, exactly: the cost of
 a bucket is linear in its end for a given start, so each layer is a lower envelope of lines. A document is
 padded to its bucket's length; a batch holds as many documents as the token budget allows at that length,
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.llm.common import stage
@@ -73,13 +73,6 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) ->
     return out[::-1]
 
 
-def rounded(length: Column) -> Column:
-    """Length, rounded up to a multiple of 2^(bits - 12) where it has more than 12 bits."""
-    shift = F.greatest(F.length(F.bin(length)) - 12, F.lit(0))
-    unit = F.expr("1L") * F.pow(F.lit(2), shift).cast("long")
-    return (F.ceil(length / unit) * unit).cast("long")
-
-
 def token_lengths(docs: DataFrame, path: str) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_tokens by the tokenizers library; 0 for a null or empty text."""
 
@@ -96,23 +89,28 @@ def pack(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> Da
     """lengths(doc_id, n_tokens) -> doc_id, n_tokens, bucket, bucket_len, batch_id, slot.
 
     bucket counts from 0 in order of bucket_len. Within a bucket, slots of batches are filled in the order of
-    a hash of doc_id (then doc_id and n_tokens), so batch_id (unique with its bucket) and slot depend on the
-    rows only. Empty documents are packed like others; a null length counts as 0; repeated rows are packed
-    each for itself; an empty table gives an empty table. A document longer than the budget is a batch alone.
+    a hash of doc_id and n_tokens (then these), so batch_id (unique with its bucket) and slot depend on the
+    rows only. Empty documents are packed like others; a null length counts as 0; repeated rows are counted
+    first, numbered as one and packed each for itself; an empty table gives an empty table. A document longer
+    than the budget is a batch alone.
     """
     rows = stage(lengths.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)).alias("n_tokens")), "lengths")
-    rows = rows.withColumn("padded", rounded(F.col("n_tokens")))
-    histogram = rows.groupBy("padded").agg(F.count("*").alias("n")).orderBy("padded").collect()
-    ends = optimal_boundaries(np.array([r["padded"] for r in histogram]), np.array([r["n"] for r in histogram]), buckets)
+    histogram = rows.groupBy("n_tokens").agg(F.count("*").alias("n")).orderBy("n_tokens").toArrow()
+    length, count = histogram["n_tokens"].to_numpy(), histogram["n"].to_numpy()
+    ends = optimal_boundaries(length, count, buckets)
     if not ends:
-        return rows.selectExpr("doc_id", "n_tokens", "cast(0 as int) bucket", "padded bucket_len", "padded batch_id", "cast(0 as int) slot")
-    held = [sum(r["n"] for r in histogram if a < r["padded"] <= b) for a, b in zip([-1, *ends], ends)]
+        return rows.selectExpr("doc_id", "n_tokens", "cast(0 as int) bucket", "n_tokens bucket_len", "n_tokens batch_id", "cast(0 as int) slot")
+    upto = np.r_[0, np.cumsum(count)][np.searchsorted(length, ends, side="right")].tolist()
+    held = [b - a for a, b in zip([0, *upto], upto)]
     pick = lambda values, kind: F.element_at(F.array(*map(F.lit, values)), F.col("bucket") + 1).cast(kind)
-    placed = rows.withColumn("bucket", F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e < F.col("padded"))))
-    placed = placed.withColumns({"bucket_len": pick(ends, "long"), "room": pick([max(1, budget // max(1, e)) for e in ends], "long"), "h": F.xxhash64("doc_id")})
+    placed = rows.groupBy("doc_id", "n_tokens").agg(F.count("*").alias("copies")).withColumn("bucket", F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e < F.col("n_tokens"))))
+    placed = placed.withColumns({"bucket_len": pick(ends, "long"), "room": pick([max(1, budget // max(1, e)) for e in ends], "long"), "h": F.xxhash64("doc_id", "n_tokens")})
     placed = placed.withColumn("chunk", F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * pick([max(1, -(-n // CHUNK_ROWS)) for n in held], "double")).cast("long"))
-    counts = placed.groupBy("bucket", "chunk").agg(F.count("*").alias("n"))
+    counts = placed.groupBy("bucket", "chunk").agg(F.sum("copies").alias("n"))
     before = counts.select("bucket", "chunk", (F.sum("n").over(Window.partitionBy("bucket").orderBy("chunk")) - F.col("n")).alias("before"))
-    own = F.row_number().over(Window.partitionBy("bucket", "chunk").orderBy("h", "doc_id", "n_tokens"))
-    place = placed.withColumn("own", own).join(before, ["bucket", "chunk"]).withColumn("at", F.col("before") + F.col("own") - 1)
+    own = F.sum("copies").over(Window.partitionBy("bucket", "chunk").orderBy("h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)) - F.col("copies")
+    place = placed.withColumn("own", own).join(before, ["bucket", "chunk"])
+    # copies in stretches, so that no long array is made
+    place = place.select("*", F.explode(F.expr(f"sequence(0L, copies - 1, {CHUNK_ROWS}L)")).alias("from"))
+    place = place.select("*", F.explode(F.expr(f"sequence(`from`, least(`from` + {CHUNK_ROWS - 1}, copies - 1))")).alias("i")).withColumn("at", F.expr("before + own + i"))
     return place.select("doc_id", "n_tokens", "bucket", "bucket_len", F.expr("at div room").alias("batch_id"), F.expr("cast(at % room as int)").alias("slot"))
