@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import filesystem, new_folder, stage
+from tokenloom.llm.common import READERS, filesystem, new_folder, stage
 
 #: Compressed bytes from which a file is closed.
 FILE_BYTES = 256 << 20
@@ -40,8 +40,8 @@ def _uri(url: str | None, page_id: int | None) -> str:
     return re.sub(r"[\x00-\x20\x7f-￿\U00010000-\U0010ffff]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode("utf-8", "surrogatepass")), url) if url else f"urn:page:{page_id}"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC record, a response or (refers_to given) a revisit, before compression."""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None = None) -> bytes:
+    """One WARC record, a response or (refers_to given, with that page's URL) a revisit, before compression."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     sha1 = base64.b32encode(hashlib.sha1(block).digest()).decode()
@@ -51,7 +51,8 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         f"X-Page-ID: {'' if page_id is None else page_id}",
     ]
     if refers_to is not None:
-        head += [f"WARC-Profile: {_PROFILE}", f"X-Refers-To-Page-ID: {refers_to}"]
+        target = [f"WARC-Refers-To: {record_id(refers_to, refers_url, digest)}", f"WARC-Refers-To-Target-URI: {_uri(refers_url, refers_to)}"]
+        head += [f"WARC-Profile: {_PROFILE}", *target, f"X-Refers-To-Page-ID: {refers_to}"]
     return "\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
@@ -77,15 +78,20 @@ def parse_record(raw: bytes) -> dict:
     return {"page_id": number(fields["X-Page-ID"]), "url": fields["WARC-Target-URI"], "payload_bytes": size, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": number(fields.get("X-Refers-To-Page-ID"))}
 
 
-def records_of(stream, chunk: int = 1 << 20):
-    """The records of a file, one gzip member at a time."""
-    z, out, left = zlib.decompressobj(31), [], b""
-    while left or (left := stream.read(chunk)):
-        out.append(z.decompress(left))
-        left = b""
-        if z.eof:
-            yield b"".join(out)
-            z, out, left = zlib.decompressobj(31), [], z.unused_data
+def records_of(stream, chunk: int = 1 << 20, step: int = 1 << 14, seen=None):
+    """The records of a file, one gzip member at a time; seen(bytes) is told of everything read."""
+    z, out = zlib.decompressobj(31), []
+    while read := stream.read(chunk):
+        if seen:
+            seen(read)
+        view, at = memoryview(read), 0
+        while at < len(view):
+            some = view[at : at + step]  # few bytes, as what lies behind a member's end is copied
+            out.append(z.decompress(some))
+            at += len(some) - len(z.unused_data)
+            if z.eof:
+                yield b"".join(out)
+                z, out = zlib.decompressobj(31), []
     if any(out):
         raise ValueError("the file ends within a record")
 
@@ -99,7 +105,7 @@ def _write(folder: str, file_bytes: int):
         fs.create_dir(base)
         out = temporary = hasher = None
         count = size = 0
-        key, target = None, None  # the copy that the last marker row was about, and what it refers to
+        key, target, target_url = None, None, None  # the copy that the last marker row was about, and what it refers to
         written = None
 
         def closed():
@@ -115,7 +121,7 @@ def _write(folder: str, file_bytes: int):
                 for row in batch.slice(at, 64).to_pylist():
                     own = (row["page_id"], row["digest"])
                     if row["kind"] == 0:
-                        key, target = own, row["refers_to"]
+                        key, target, target_url = own, row["refers_to"], row["refers_url"]
                         continue
                     refers_to = target if own == key else None
                     if refers_to is not None and refers_to == row["page_id"] and written != own:
@@ -124,7 +130,7 @@ def _write(folder: str, file_bytes: int):
                     if out is None:
                         temporary, hasher, count, size = f"{base}/.{uuid.uuid4().hex}", hashlib.sha256(), 0, 0
                         out = fs.open_output_stream(temporary, compression=None)
-                    raw = _gzip(record(row["page_id"], row["url"], row["html"].encode("utf-8", "surrogatepass"), row["digest"], refers_to))
+                    raw = _gzip(record(row["page_id"], row["url"], row["html"].encode("utf-8", "surrogatepass"), row["digest"], refers_to, target_url))
                     out.write(raw)
                     hasher.update(raw)
                     count, size = count + 1, size + len(raw)
@@ -148,38 +154,44 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2(F.col("html"), 256))
     # who refers to whom, on narrow rows; hot payloads are combined before the shuffle and salted in the join
-    keys = stage(rows.where(f"octet_length(html) >= {LEAST_REVISIT} and page_id is not null").select("page_id", "digest"), "digests")
-    first = keys.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
-    first = stage(first.select("digest", "refers_to"), "first-copies").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    marks = keys.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(_SALTS)).cast("int")).join(first, ["digest", "salt"]).select("page_id", "digest", "refers_to").distinct()
+    keys = stage(rows.where(f"octet_length(html) >= {LEAST_REVISIT} and page_id is not null").select("page_id", "url", "digest"), "digests")
+    first = keys.groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = stage(first.select("digest", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url")), "first-copies").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    marks = keys.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(_SALTS)).cast("int")).join(first, ["digest", "salt"]).select("page_id", "digest", "refers_to", "refers_url").distinct()
     # marker rows travel just before their pages, so that pages are shuffled once only
-    marks = marks.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", F.lit(0).alias("kind"), "refers_to")
-    both = rows.withColumns({"kind": F.lit(1), "refers_to": F.lit(None).cast("long")}).unionByName(marks)
+    marks = marks.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", F.lit(0).alias("kind"), "refers_to", "refers_url")
+    both = rows.withColumns({"kind": F.lit(1), "refers_to": F.lit(None).cast("long"), "refers_url": F.lit(None).cast("string")}).unionByName(marks)
     run, schema = _write(f"{folder}/files", file_bytes)
     files = both.repartitionByRange("page_id").sortWithinPartitions("page_id", "digest", "kind", "url").mapInArrow(run, schema)
     files.write.parquet(f"{folder}/manifest")
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per record of the files in the manifest, digests checked."""
+    """One row per record of the files in the manifest; digests of records and files are checked."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
     def run(batches):
         fs, base = filesystem(f"{folder}/files")
         for batch in batches:
-            for file in batch.column("file").to_pylist():
-                rows = []
+            for file, records, digest in zip(*(batch.column(c).to_pylist() for c in ("file", "records", "sha256"))):
+                rows, count, whole = [], 0, hashlib.sha256()
                 with fs.open_input_stream(f"{base}/{file}", compression=None) as stream:
-                    for raw in records_of(stream):
+                    for raw in records_of(stream, seen=whole.update):
                         rows.append(parse_record(raw))
+                        count += 1
                         if len(rows) == 1000:
                             yield pa.RecordBatch.from_pylist(rows, schema=schema)
                             rows = []
+                if (count, whole.hexdigest()) != (records, digest):
+                    raise ValueError(f"{file} is not the file of the manifest")
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     manifest = spark.read.schema("part long, seq long, file string, records long, bytes long, sha256 string").parquet(f"{folder}/manifest")
-    return manifest.select("file").repartition("file").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    # a task for each file, at most READERS; a given number of ranges is not coalesced
+    files = manifest.count()
+    dealt = manifest.select("file", "records", "sha256").repartitionByRange(max(1, min(READERS, files)), "file")
+    return dealt.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archives(pages: DataFrame) -> DataFrame:
