@@ -1,10 +1,10 @@
 import hashlib
 import json
-import os
 import random
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
@@ -12,8 +12,7 @@ from tokenloom.llm.bpe import PairMerges, Recent, WordEncoder, encode_documents
 from tokenloom.llm.packing import optimal_boundaries, pack, token_lengths
 from tokenloom.llm.token_store import EliasFano, Shard, library_ids, read_token_store, shard_bytes, token_store, write_token_store
 
-PATH = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers") + "/word_bpe_49k.json"
-pytestmark = pytest.mark.skipif(not os.path.exists(PATH), reason="no tokenizer files")
+PATH = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, ids string, start long"
 ODD = ["", "don't", "É́x", "İstanbul", "ΑΣ", "１２", "é́", "日本語", "한국어", "a\x1fb", "a\x0bb", "x" * 3000, "ab" * 90 + "'s", "\U0001f600'll", "ﬁ", "a\x85b", " b", "<|endoftext|>", "<|EndOfText|>x<|startoftext|>", "It's  we'll\n\tgo ÜBER café’s 3.14"]
 
@@ -131,3 +130,18 @@ def test_packing_is_whole(spark, library):
         room = max(1, 100 // max(1, batches[b, 0][0]["bucket_len"]))
         assert numbers == [*range(len(numbers))] and all(len(batches[b, n]) == room for n in numbers[:-1])
     assert pack(spark.createDataFrame([], "doc_id long, n_tokens long")).count() == 0
+
+
+def test_added_tokens_of_other_files(tmp_path):
+    with open(PATH, encoding="utf-8") as file:
+        config = json.load(file)
+    flags = {k: False for k in ("single_word", "lstrip", "rstrip")}
+    config["added_tokens"] += [{"id": 49408, "content": "[END]", "normalized": False, "special": True, **flags}, {"id": 49409, "content": "Ünit", "normalized": True, "special": False, **flags}]
+    path = str(tmp_path / "more.json")
+    with open(path, "w", encoding="utf-8") as file:
+        json.dump(config, file)
+    library, own = Tokenizer.from_file(path), WordEncoder(path)
+    some = ["a [END] b", "[end] a[END][END]", "x ÜNIT y ünit", "plain words", "", *texts(60)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in some]
+    assert 49408 in want[0] and own.encode(some) == want
+    assert [x.tolist() for x in library_ids(path, some)] == want == [x.tolist() for x in library_ids(path, some, whole=True)]

@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tokenloom.llm.common import CACHE_WORDS, texts
+from tokenloom.functions.bytelevel import byte_alphabet
+from tokenloom.llm.common import CACHE_WORDS
 
 _NEVER = 1 << 40
 _END = "\x00"
@@ -33,7 +34,9 @@ _SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}
 
 
 def has_plain_pieces(config: dict) -> bool:
-    """Whether a tokenizer cuts plain texts into plain_pieces()."""
+    """Whether a tokenizer cuts plain texts into plain_pieces(): its steps, and no added token in texts without "<|"."""
+    if not all(t["content"].startswith("<|") for t in config.get("added_tokens") or []):
+        return False
     steps = (config.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
     byte_level = steps[-1].get("type") == "ByteLevel" and not steps[-1].get("add_prefix_space") and not steps[-1].get("use_regex")
     return config.get("normalizer") == _NORMALIZER and len(steps) == 2 and steps[0] == _SPLIT and byte_level
@@ -71,13 +74,6 @@ class Recent(dict):
         return True
 
 
-def byte_alphabet() -> list[str]:
-    """The printable character that stands for each byte: itself if it is visible, else the next from U+0100."""
-    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    spare = iter(range(256, 512))
-    return [chr(b) if b in visible else chr(next(spare)) for b in range(256)]
-
-
 class PairMerges:
     """A vocabulary and its ranked merges as arrays."""
 
@@ -200,8 +196,14 @@ class WordEncoder:
             config = json.load(file)
         self.pairs = PairMerges(config)
         self.library = Tokenizer.from_file(path)
-        self.special = {t["content"]: t["id"] for t in config["added_tokens"]}
-        self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        added = config.get("added_tokens") or []
+        if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that take in white space or match whole words only are not supported")
+        #: Added tokens that are looked for in the text, and those that are looked for in its normal form.
+        self.special = {t["content"]: t["id"] for t in added if not t.get("normalized")}
+        self.normal = {self.library.normalizer.normalize_str(t["content"]) if self.library.normalizer else t["content"]: t["id"] for t in added if t.get("normalized")}
+        self.specials, self.normals = (re.compile("(" + "|".join(map(re.escape, sorted(some, key=len, reverse=True))) + ")") if some else None for some in (self.special, self.normal))
+        self.joined = config.get("decoder") is None
         self.alphabet = str.maketrans({chr(b): c for b, c in enumerate(byte_alphabet())})
 
         self.plain = has_plain_pieces(config)
@@ -214,11 +216,16 @@ class WordEncoder:
         if self.plain and (found := plain_pieces(text)) is not None:
             return [self.byte_level(p) for p in found]
         out: list[str | int] = []
-        for part in self.specials.split(text) if self.special else (text,):
-            if part in self.special:
+        for i, part in enumerate(self.specials.split(text) if self.specials else (text,)):
+            if i % 2:
                 out.append(self.special[part])
-            elif part:
-                out += [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))]
+                continue
+            part = self.library.normalizer.normalize_str(part) if self.library.normalizer else part
+            for j, own in enumerate(self.normals.split(part) if self.normals else (part,)):
+                if j % 2:
+                    out.append(self.normal[own])
+                elif own:
+                    out += [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(own)]
         return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -230,6 +237,8 @@ class WordEncoder:
 
     def decoded(self, ids: list[int]) -> str:
         """Tokens joined by one space, as a tokenizer without a decoder does; special tokens stay."""
+        if not self.joined:
+            raise ValueError("tokenizers with a decoder are not supported")
         return " ".join(self.pairs.text[i] for i in ids)
 
 

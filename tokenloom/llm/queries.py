@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tokenloom.llm import chat_format, quality_rules, spot_signatures, warc
@@ -15,9 +14,7 @@ from tokenloom.llm.quality_classifier import score_quality
 from tokenloom.llm.token_store import token_store
 from tokenloom.llm.toxicity import score_toxicity
 
-#: Folder of the public tokenizer files.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
-WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tokenloom.llm.bpe import Recent, has_plain_pieces, plain_pieces
-from tokenloom.llm.common import CACHE_WORDS, filesystem, new_folder, stage
+from tokenloom.llm.common import CACHE_WORDS, READERS, filesystem, new_folder, stage
 
 _MAGIC = b"IDSHARD1"
 #: Ids after which a task begins another shard.
@@ -67,15 +67,27 @@ class EliasFano:
             low |= (int(self.low[at >> 3]) >> (at & 7) & 1) << b
         return (place - i) << self.low_bits | low
 
-    def values(self) -> np.ndarray:
-        """All values, decoded at once."""
-        place = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        out = (place - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
+    def select_range(self, i: int, j: int) -> np.ndarray:
+        """Values i to j - 1, found from the samples around them; nothing before or after them is decoded."""
+        j = min(j, self.n)
+        if i >= j:
+            return np.empty(0, np.int64)
+        a, b = i // _SAMPLE, -(-j // _SAMPLE)
+        first, last = int(self.samples[a]), int(self.samples[b]) if b < len(self.samples) else 8 * len(self.high)
+        bits = np.unpackbits(self.high[first >> 3 : (last + 7) >> 3], bitorder="little")
+        bits[: first & 7] = 0
+        place = np.flatnonzero(bits)[i - a * _SAMPLE : j - a * _SAMPLE] + (first >> 3 << 3)
+        out = (place - np.arange(i, j)).astype(np.uint64) << np.uint64(self.low_bits)
         if self.low_bits:
-            bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-            out |= (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
+            start = i * self.low_bits
+            low = np.unpackbits(self.low[start >> 3 : (j * self.low_bits + 7) >> 3], bitorder="little")[start & 7 :][: (j - i) * self.low_bits]
+            out |= (low.reshape(j - i, self.low_bits).astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
         return out.astype(np.int64)
 
+    def values(self) -> np.ndarray:
+        """All values, decoded at once."""
+        return self.select_range(0, self.n)
+
     def to_bytes(self) -> bytes:
         return struct.pack("<QBQQ", self.n, self.low_bits, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes() + self.samples.astype("<u4").tobytes()
 
@@ -121,12 +133,14 @@ class Shard:
         return self.flat[a:b]
 
     def rows(self):
-        """(doc_id, start, ids) of every document, in order."""
-        ends = self.ends.values()
-        starts = np.concatenate([np.zeros(1, np.int64), ends[:-1]])
-        keys = [None] * self.nulls + (self.keys.values() + self.first).tolist()
-        for d, a, b in zip(keys, starts.tolist(), ends.tolist()):
-            yield d, a, self.flat[a:b]
+        """(doc_id, start, ids) of every document, in order; ends and keys are selected a few samples' stretch at a time."""
+        start, step = 0, 16 * _SAMPLE
+        for i in range(0, self.ends.n, step):
+            ends = self.ends.select_range(i, i + step).tolist()
+            known = (self.keys.select_range(max(0, i - self.nulls), max(0, i + len(ends) - self.nulls)) + self.first).tolist()
+            for d, end in zip([None] * (len(ends) - len(known)) + known, ends):
+                yield d, start, self.flat[start:end]
+                start = end
 
 
 class _Library:
@@ -159,13 +173,17 @@ class _Library:
 _tokenizers: dict[str, _Library] = {}
 
 
-def library_ids(path: str, texts: list[str | None]) -> list[np.ndarray]:
-    """Ids of texts by the tokenizers library; of plain texts, whose pieces are known, each piece once (a bounded cache)."""
+def library_ids(path: str, texts: list[str | None], whole: bool = False) -> list[np.ndarray]:
+    """Ids of texts by the tokenizers library.
+
+    The library encodes each piece of plain texts once (a bounded cache) if its file cuts such texts in the known
+    way, and other texts whole; with `whole` it encodes every text whole, which gives the same ids in more time.
+    """
     if path not in _tokenizers:
         _tokenizers[path] = _Library(path)
     library = _tokenizers[path]
     cache = library.cache
-    cut = [plain_pieces(t or "") if cache is not None else None for t in texts]
+    cut = [plain_pieces(t or "") if cache is not None and not whole else None for t in texts]
     keys = [p for pieces in cut if pieces for p in pieces]
     if keys:
         new = cache.missing(keys)
@@ -225,7 +243,10 @@ def write_token_store(docs: DataFrame, path: str, folder: str, end_id: int, shar
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     run, schema = _write(path, f"{folder}/shards", end_id, shard_ids)
     shards = stage(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, schema), "shards")
-    shards.selectExpr("file", "n_docs", "n_ids", "sum(n_ids) over (order by part, seq) - n_ids as base").write.parquet(f"{folder}/manifest")
+    # one row for each writing task is summed in one place, a task's own shards where they lie
+    before = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).selectExpr("part", "sum(n) over (order by part) - n as before")
+    placed = shards.selectExpr("*", "sum(n_ids) over (partition by part order by seq) - n_ids as within").join(before, "part")
+    placed.selectExpr("file", "n_docs", "n_ids", "before + within as base").write.parquet(f"{folder}/manifest")
 
 
 def read_token_store(spark: SparkSession, folder: str) -> DataFrame:
@@ -242,7 +263,9 @@ def read_token_store(spark: SparkSession, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
 
     manifest = spark.read.schema("file string, n_docs long, n_ids long, base long").parquet(f"{folder}/manifest")
-    return manifest.repartition("file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # a task for each shard, at most READERS; a given number of ranges is not coalesced
+    files = manifest.count()
+    return manifest.repartitionByRange(max(1, min(READERS, files)), "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_store(docs: DataFrame, path: str, end_id: int) -> DataFrame:
