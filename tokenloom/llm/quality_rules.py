@@ -3,9 +3,14 @@
 Every document gets counts of its words, symbols, repeated lines and repeated word windows. Documents that
 fail the base rules go. Of the others, five integer features are put into mergeable sketches: a histogram
 whose buckets keep the leading bits of a value (relative error under 1/64), so merging is adding counts, in
-any order and with the same result. The sketches of a (language, source), merged upwards to the language and
-to everything, give quartiles; a document is kept if each feature lies within SPREADS interquartile ranges
-of its group's quartiles (and a least distance, so that a group without spread rejects no ordinary text).
+any order and with the same result. Documents with equal counts are put in once, so that a group of copies
+does not narrow its source's spread, and features that are mostly 0 are sketched where they are not.
+
+Sketches are merged along a hierarchy by weight, whatever a group's size: that of a language has PRIOR
+documents of the overall sketch added, that of a (language, source) PRIOR documents of its language's. All
+weights are integers, so the quantiles are exact. A document is kept if each feature lies within SPREADS
+interquartile ranges (the wider of its group's and its language's) of its group's quartiles, or is not
+among the outer tenth of its group. No threshold is a constant.
 """
 
 from __future__ import annotations
@@ -18,17 +23,19 @@ from pyspark.sql import functions as F
 from tokenloom.llm.common import BROADCAST_ROWS, byte_words, stage, texts
 
 #: Interquartile ranges beyond the quartiles that are still accepted.
-SPREADS = 3
-#: Documents from which a group's own sketch is used; smaller ones take the language's, then the overall one.
-LEAST_GROUP = 200
-#: Feature: its value as SQL over the counts, the least distance from the quartiles, whether low values fail too.
+SPREADS = 4
+#: Documents of the sketch above that are added to a group's own, as if the group had so many of them.
+PRIOR = 100
+#: Feature: its value as SQL over the counts, the documents whose values are sketched, whether low values fail too.
 FEATURES = {
-    "symbols": ("10000 * n_symbols div greatest(n_words, 1)", 2000, False),
-    "dup_lines": ("10000 * n_dup_lines div greatest(n_lines, 1)", 5000, False),
-    "repeats": ("10000 * n_repeat_words div greatest(n_words, 1)", 3000, False),
-    "word_length": ("1000 * word_chars div greatest(n_words, 1)", 2000, True),
-    "upper": ("10000 * n_upper div greatest(word_chars, 1)", 3000, False),
+    "symbols": ("10000 * n_symbols div greatest(n_words, 1)", "true", False),
+    "dup_lines": ("10000 * n_dup_lines div greatest(n_lines, 1)", "n_dup_lines > 0", False),
+    "repeats": ("10000 * n_repeat_words div greatest(n_words, 1)", "n_repeat_words > 0", False),
+    "word_length": ("1000 * word_chars div greatest(n_words, 1)", "true", True),
+    "upper": ("10000 * n_upper div greatest(word_chars, 1)", "true", False),
 }
+#: Quantile of the sketches: its share as a fraction.
+QUANTILES = {"q10": (1, 10), "q25": (1, 4), "q75": (3, 4), "q90": (9, 10)}
 _SALTS = 32
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper"]
 
@@ -77,29 +84,52 @@ def text_counts(docs: DataFrame) -> DataFrame:
 
 
 def sketches(counted: DataFrame) -> DataFrame:
-    """(lang, source, feature, low, n): how many documents of the group have the feature in the bucket from low."""
-    values = counted.where("not base_failed").select("lang", "source", F.expr("stack(%d, %s) as (feature, v)" % (len(FEATURES), ", ".join(f"'{k}', {sql}" for k, (sql, _, _) in FEATURES.items()))))
+    """(lang, source, feature, low, n): how many different documents of the group have the feature in the bucket from low."""
+    rows = counted.where("not base_failed").select("lang", "source", *_COUNTS).distinct()
+    made = ", ".join(f"if({domain}, struct('{k}' as feature, {sql} as v), null)" for k, (sql, domain, _) in FEATURES.items())
+    values = rows.select("lang", "source", F.explode(F.expr(f"filter(array({made}), x -> x is not null)")).alias("x")).select("lang", "source", "x.feature", "x.v")
     low = F.expr("shiftleft(shiftright(v, greatest(length(bin(v)) - 7, 0)), greatest(length(bin(v)) - 7, 0))")
     return values.groupBy("lang", "source", "feature", low.alias("low")).agg(F.count("*").alias("n"))
 
 
-def _quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Per group and feature: documents, lower and upper quartile (the low end of the bucket that holds it)."""
-    merged = sketch.groupBy(*by, "feature", "low").agg(F.sum("n").alias("n"))
+def _added(*parts: DataFrame) -> DataFrame:
+    """Weighted sketches added up: columns of the first part, of which all but w are keys."""
+    keys = [c for c in parts[0].columns if c != "w"]
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part)
+    return both.groupBy(*keys).agg(F.sum("w").cast("decimal(38,0)").alias("w"))
+
+
+def _quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """Per group and feature the buckets that hold the quantiles: their low ends below the middle, their high ends above."""
     w = Window.partitionBy(*by, "feature")
-    ranked = merged.select(*by, "feature", "low", F.sum("n").over(w.orderBy("low").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("n").over(w).alias("docs"))
-    return ranked.groupBy(*by, "feature").agg(F.max("docs").alias("docs"), F.min(F.when(F.expr("4 * upto >= docs"), F.col("low"))).alias("q1"), F.min(F.when(F.expr("4 * upto >= 3 * docs"), F.col("low"))).alias("q3"))
+    ranked = sketch.select(*by, "feature", "low", F.sum("w").over(w.orderBy("low").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("w").over(w).alias("total"))
+    high = F.expr("low + shiftleft(1L, greatest(length(bin(low)) - 7, 0)) - 1")
+    return ranked.groupBy(*by, "feature").agg(*(F.min(F.when(F.expr(f"{d} * upto >= {m} * total"), F.col("low") if 2 * m < d else high)).alias(q) for q, (m, d) in QUANTILES.items()))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """(lang, source, <feature>_lo, <feature>_hi) for every group that has a sketch."""
-    own, of_lang, of_all = _quartiles(sketch, ["lang", "source"]), _quartiles(sketch, ["lang"]), _quartiles(sketch, [])
-    named = lambda df, n: df.withColumnsRenamed({c: f"{c}{n}" for c in ("docs", "q1", "q3")})
-    all_levels = named(own, 0).join(named(of_lang, 1), ["lang", "feature"]).join(named(of_all, 2), "feature")
-    pick = lambda q: F.expr(f"case when docs0 >= {LEAST_GROUP} then {q}0 when docs1 >= {LEAST_GROUP} then {q}1 else {q}2 end")
-    least = F.expr("case feature " + " ".join(f"when '{k}' then {d}" for k, (_, d, _) in FEATURES.items()) + " end")
-    far = F.greatest(SPREADS * (pick("q3") - pick("q1")), least)
-    bounds = all_levels.select("lang", "source", "feature", (pick("q1") - far).alias("lo"), (pick("q3") + far).alias("hi"))
+    """(lang, source, <feature>_lo, <feature>_hi) for every group that has a sketch; null where no document has the feature.
+
+    sketch is small: a feature has some 3,600 buckets at most. The overall one, of at most 18,000 rows, is broadcast.
+    """
+    many = lambda c: F.col(c).cast("decimal(38,0)")
+    times = lambda a, b: (a * b).cast("decimal(38,0)")
+    prior = F.lit(PRIOR).cast("decimal(38,0)")
+    overall = sketch.groupBy("feature", "low").agg(F.sum("n").alias("n"))
+    size = overall.groupBy("feature").agg(F.sum("n").alias("size"))
+    of_lang = sketch.groupBy("lang", "feature", "low").agg(F.sum("n").alias("n")).join(F.broadcast(size), "feature").select("lang", "feature", "low", times(many("n"), many("size")).alias("w"))
+    langs = sketch.select("lang").distinct().select("lang", F.explode(F.array(*map(F.lit, FEATURES))).alias("feature"))
+    above = langs.join(F.broadcast(overall), "feature").select("lang", "feature", "low", times(prior, many("n")).alias("w"))
+    by_lang = stage(_added(of_lang, above), "language-sketches")
+    total = by_lang.groupBy("lang", "feature").agg(F.sum("w").cast("decimal(38,0)").alias("total"))
+    own = sketch.join(total, ["lang", "feature"]).select("lang", "source", "feature", "low", times(many("n"), F.col("total")).alias("w"))
+    above = sketch.select("lang", "source").distinct().join(by_lang, "lang").select("lang", "source", "feature", "low", times(prior, F.col("w")).alias("w"))
+    wide = _quantiles(by_lang, ["lang"]).select("lang", "feature", F.expr("q75 - q25").alias("lang_spread"))
+    found = _quantiles(_added(own, above), ["lang", "source"]).join(wide, ["lang", "feature"])
+    far = f"{SPREADS} * greatest(q75 - q25, lang_spread)"
+    bounds = found.select("lang", "source", "feature", F.expr(f"least(q25 - {far}, q10)").alias("lo"), F.expr(f"greatest(q75 + {far}, q90)").alias("hi"))
     return bounds.groupBy("lang", "source").agg(*(F.max(F.when(F.col("feature") == k, F.col(end))).alias(f"{k}_{end}") for k in FEATURES for end in ("lo", "hi")))
 
 
@@ -107,22 +137,22 @@ def apply_rules(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, lang, source) -> doc_id, the counts, base_failed and kept, one row per row.
 
     Null or empty texts have no words and fail the base rules; a null language or source counts as an empty
-    one; repeated rows are judged (and counted in the sketches) each for itself; other columns of docs are
+    one; repeated rows are judged each for itself and sketched once; other columns of docs are
     ignored, whatever their names. An empty table gives an empty table.
     """
     counted = stage(text_counts(docs), "counts")
     bounds = stage(thresholds(stage(sketches(counted), "sketches")), "thresholds")
     inside = F.lit(True)
     for name, (sql, _, both) in FEATURES.items():
-        inside &= F.expr(f"{sql} <= {name}_hi")
+        inside &= F.coalesce(F.expr(f"{sql} <= {name}_hi"), F.lit(True))
         if both:
-            inside &= F.expr(f"{sql} >= {name}_lo")
+            inside &= F.coalesce(F.expr(f"{sql} >= {name}_lo"), F.lit(True))
     if bounds.count() <= BROADCAST_ROWS:
         judged = counted.join(F.broadcast(bounds), ["lang", "source"], "left")
     else:
         salted = bounds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
         judged = counted.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)).cast("int")).join(salted, ["lang", "source", "salt"], "left")
-    kept = F.when(F.col("base_failed"), False).otherwise(F.coalesce(inside, F.lit(False)))
+    kept = F.when(F.col("base_failed"), False).otherwise(inside)
     return judged.select("doc_id", *_COUNTS, "base_failed", kept.alias("kept"))
 
 
@@ -143,19 +173,22 @@ c AS (SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words,
     length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper
   FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
 s AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
-f AS (SELECT lang, source, unnest([{', '.join(f"{{'k': '{k}', 'v': {v}}}" for k, v in _VALUE_SQL.items())}]) AS x FROM s WHERE NOT base_failed),
-b AS (SELECT lang, source, x.k AS k, (x.v >> greatest(length(bin(x.v)) - 7, 0)) << greatest(length(bin(x.v)) - 7, 0) AS low, count(*) AS n FROM f GROUP BY ALL),
+u AS (SELECT DISTINCT lang, source, {', '.join(_COUNTS)} FROM s WHERE NOT base_failed),
+f AS ({' UNION ALL '.join(f"SELECT lang, source, '{k}' AS k, {v} AS v FROM u WHERE {FEATURES[k][1]}" for k, v in _VALUE_SQL.items())}),
+b AS (SELECT lang, source, k, (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) AS low, CAST(count(*) AS HUGEINT) AS n FROM f GROUP BY ALL),
+b0 AS (SELECT k, low, sum(n) AS n FROM b GROUP BY ALL), size AS (SELECT k, sum(n) AS size FROM b0 GROUP BY k),
+b1 AS (SELECT lang, k, low, sum(w) AS w FROM (
+    SELECT lang, k, low, n * size AS w FROM b JOIN size USING (k) UNION ALL SELECT lang, k, low, {PRIOR}::HUGEINT * n FROM (SELECT DISTINCT lang FROM b), b0) GROUP BY ALL),
+b2 AS (SELECT lang, source, k, low, sum(w) AS w FROM (
+    SELECT lang, source, k, low, n * total AS w FROM b JOIN (SELECT lang, k, sum(w) AS total FROM b1 GROUP BY ALL) USING (lang, k)
+    UNION ALL SELECT lang, source, k, low, {PRIOR}::HUGEINT * w FROM (SELECT DISTINCT lang, source FROM b) JOIN b1 USING (lang)) GROUP BY ALL),
 {''.join(f'''
-r{i} AS (SELECT {by} k, low, sum(n) OVER (PARTITION BY {by} k ORDER BY low) AS upto, sum(n) OVER (PARTITION BY {by} k) AS docs FROM (SELECT {by} k, low, sum(n) AS n FROM b GROUP BY ALL)),
-q{i} AS (SELECT {by} k, max(docs) AS docs, min(low) FILTER (WHERE 4 * upto >= docs) AS q1, min(low) FILTER (WHERE 4 * upto >= 3 * docs) AS q3 FROM r{i} GROUP BY ALL),''' for i, by in enumerate(("lang, source,", "lang,", "")))}
-q AS (SELECT q0.lang, q0.source, q0.k,
-    CASE WHEN q0.docs >= {LEAST_GROUP} THEN q0.q1 WHEN q1.docs >= {LEAST_GROUP} THEN q1.q1 ELSE q2.q1 END AS q1,
-    CASE WHEN q0.docs >= {LEAST_GROUP} THEN q0.q3 WHEN q1.docs >= {LEAST_GROUP} THEN q1.q3 ELSE q2.q3 END AS q3
-  FROM q0 JOIN q1 ON q0.lang = q1.lang AND q0.k = q1.k JOIN q2 ON q0.k = q2.k),
-h AS (SELECT lang, source, k, q1 - greatest({SPREADS} * (q3 - q1), m) AS lo, q3 + greatest({SPREADS} * (q3 - q1), m) AS hi
-  FROM (SELECT *, CASE k {' '.join(f"WHEN '{k}' THEN {d}" for k, (_, d, _) in FEATURES.items())} END AS m FROM q)),
+r{i} AS (SELECT {by} k, low, low + (1::BIGINT << greatest(length(bin(low)) - 7, 0)) - 1 AS high, sum(w) OVER (PARTITION BY {by} k ORDER BY low) AS upto, sum(w) OVER (PARTITION BY {by} k) AS total FROM b{i}),
+q{i} AS (SELECT {by} k, {', '.join(f"min({'low' if 2 * m < d else 'high'}) FILTER (WHERE {d} * upto >= {m} * total) AS {q}" for q, (m, d) in QUANTILES.items())} FROM r{i} GROUP BY ALL),''' for i, by in ((1, "lang,"), (2, "lang, source,")))}
+h AS (SELECT lang, source, k, least(q25 - far, q10) AS lo, greatest(q75 + far, q90) AS hi
+  FROM (SELECT q2.*, {SPREADS} * greatest(q2.q75 - q2.q25, q1.q75 - q1.q25) AS far FROM q2 JOIN q1 USING (lang, k))),
 t AS (SELECT lang, source, {', '.join(f"max(CASE WHEN k = '{k}' THEN {e} END) AS {k}_{e}" for k in FEATURES for e in ('lo', 'hi'))} FROM h GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  CASE WHEN base_failed THEN false ELSE {' AND '.join(f"{_VALUE_SQL[k]} <= {k}_hi" + (f" AND {_VALUE_SQL[k]} >= {k}_lo" if both else '') for k, (_, _, both) in FEATURES.items())} END AS kept
+  CASE WHEN base_failed THEN false ELSE {' AND '.join(f"coalesce({_VALUE_SQL[k]} <= {k}_hi, true)" + (f" AND coalesce({_VALUE_SQL[k]} >= {k}_lo, true)" if both else '') for k, (_, _, both) in FEATURES.items())} END AS kept
 FROM s LEFT JOIN t USING (lang, source)
 """
