@@ -7,11 +7,13 @@ A turn is written between the marks of its role, and a conversation is its turns
     assistant   [ASST]text</s>
     any other   [ROLE:hex of the role]text[/ROLE]
 
-A turn is first rendered as it is and parsed again. Where the parser recovers another text, because the text
-contains marks or escaped marks, it is escaped: each such mark gets one more backslash after its first
-character, which the parser removes. The rendered turn is then parsed once more, so the number of rounds is
-0 or 1 and the last one is always exact (no escaped text contains a mark, and a mark that begins in a text
-cannot end in the closing mark). The loss mask covers the texts of assistant turns.
+A conversation is first rendered as it is, parsed again and compared with its turns. Where they differ, because
+texts contain marks or escaped marks, those turns are escaped that do not survive on their own: each mark in
+them gets one more backslash after its first character, which the parser removes. The conversation is then
+rendered, parsed and compared again; if it still differs all its turns are escaped, and if it differs after
+that too the query fails, so no output goes unverified. (One round is enough by construction: no escaped text
+contains a mark, and a mark that begins in a text cannot end in the closing mark.) The loss mask covers the
+texts of assistant turns.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from tokenloom.llm.common import stage
 
 #: Roles with marks of their own.
 MARKS = {"system": ("[SYS]", "[/SYS]"), "user": ("[INST]", "[/INST]"), "assistant": ("[ASST]", "</s>")}
+#: Renderings of a conversation at most: nothing escaped, the conflicting turns, all turns.
+ROUNDS = 3
 #: A mark, or a mark that was escaped before: first character, backslashes, the rest.
 _CONTROL = r"([\[<])(\\*)(/?SYS\]|/?INST\]|ASST\]|/s>|ROLE:[0-9A-F]*\]|/ROLE\])"
 _ESCAPED = r"([\[<])\\(\\*)(/?SYS\]|/?INST\]|ASST\]|/s>|ROLE:[0-9A-F]*\]|/ROLE\])"
@@ -66,22 +70,27 @@ def parsed(formatted: Column) -> Column:
     return F.transform(F.regexp_extract_all(formatted, F.lit(_TURN), F.lit(0)), turn)
 
 
+def _same(turns: Column, formatted: Column) -> Column:
+    """Whether the parser recovers just the roles and texts of these turns."""
+    return parsed(formatted).eqNullSafe(F.transform(turns, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))))
+
+
 def format_turns(conversations: DataFrame) -> DataFrame:
-    """conversations(conv_id, turn, role, text) -> its columns, rendered turn, escape rounds and loss span.
+    """conversations(conv_id, turn, role, text) -> conv_id, turn, role, text, conflict, starts, chars.
 
-    body_start and body_chars give the text's span in the formatted conversation. Null texts and roles are
-    empty; rows with equal turns stand in order of role and text; null turns come first, and rows with a null
-    conv_id form one conversation. Other columns are ignored, whatever their names.
+    conflict says whether the turn, rendered as it is, is parsed as another. starts and chars have the span of
+    its text in the formatted conversation after each round: nothing escaped, the conflicting turns, all. Null
+    texts and roles are empty; rows with equal turns stand in order of role and text; null turns come first,
+    and rows with a null conv_id form one conversation. Other columns are ignored, whatever their names.
     """
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")))
-    plain = F.concat(_open(F.col("role")), F.col("text"), _close(F.col("role")))
-    rows = rows.withColumn("back", parsed(plain))
-    same = (F.size("back") == 1) & (F.get("back", F.lit(0))["role"] == F.col("role")) & (F.get("back", F.lit(0))["text"] == F.col("text"))
-    rows = rows.withColumn("rounds", F.when(same, 0).otherwise(1)).withColumn("body", F.when(F.col("rounds") == 0, F.col("text")).otherwise(escaped(F.col("text"))))
-    rows = rows.select("conv_id", "turn", "role", "text", "rounds", _open(F.col("role")).alias("head"), "body", _close(F.col("role")).alias("tail"))
-    whole = F.length("head") + F.length("body") + F.length("tail")
-    before = F.sum(whole).over(Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("body_start", F.coalesce(before, F.lit(0)) + F.length("head")).withColumn("body_chars", F.length("body"))
+    head, tail = _open(F.col("role")), _close(F.col("role"))
+    rows = rows.withColumn("conflict", ~_same(F.array(F.struct("role", "text")), F.concat(head, F.col("text"), tail)))
+    rows = rows.withColumn("marks", F.length(head)).withColumn("rest", F.length(tail)).withColumn("plain", F.length("text")).withColumn("more", F.length(escaped(F.col("text"))))
+    rows = rows.withColumn("chars", F.array("plain", F.when(F.col("conflict"), F.col("more")).otherwise(F.col("plain")), "more"))
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    start = [F.coalesce(F.sum(F.col("marks") + F.get("chars", F.lit(r)) + F.col("rest")).over(before), F.lit(0)) + F.col("marks") for r in range(ROUNDS)]
+    return rows.withColumn("starts", F.array(*start)).select("conv_id", "turn", "role", "text", "conflict", "starts", "chars")
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
@@ -89,15 +98,23 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
 
     The turns of one conversation are one text in the end, so they meet in one row; nothing else does.
     """
-    turns = format_turns(conversations)
-    item = F.struct("turn", "role", "text", "rounds", F.concat("head", "body", "tail").alias("rendered"), "body_start", "body_chars")
-    grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(item)).alias("t"), F.max("rounds").alias("escape_rounds"))
-    return grouped.select(
-        "conv_id",
-        F.array_join(F.col("t.rendered"), "").alias("formatted"),
-        F.transform(F.filter("t", lambda x: x["role"] == "assistant"), lambda x: F.struct(x["body_start"].alias("start"), x["body_chars"].alias("chars"))).alias("loss_spans"),
-        "escape_rounds",
-    )
+    item = F.struct("turn", "role", "text", "conflict", "starts", "chars")
+    state = format_turns(conversations).groupBy("conv_id").agg(F.sort_array(F.collect_list(item)).alias("t"))
+
+    def rendered(level: int) -> Column:
+        """The conversation after so many rounds."""
+        escape = lambda x: [F.lit(False), x["conflict"], F.lit(True)][level]
+        turn = lambda x: F.concat(_open(x["role"]), F.when(escape(x), escaped(x["text"])).otherwise(x["text"]), _close(x["role"]))
+        return F.array_join(F.transform("t", turn), "")
+
+    state = state.withColumn("formatted", rendered(0)).withColumn("escape_rounds", F.lit(0))
+    for level in range(1, ROUNDS):
+        state = state.withColumn("same", _same(F.col("t"), F.col("formatted")))
+        state = state.withColumns({"formatted": F.when(F.col("same"), F.col("formatted")).otherwise(rendered(level)), "escape_rounds": F.when(F.col("same"), F.col("escape_rounds")).otherwise(level)})
+    lost = F.raise_error(F.concat(F.lit("the grammar loses conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))).cast("string")
+    state = state.withColumn("formatted", F.when(_same(F.col("t"), F.col("formatted")), F.col("formatted")).otherwise(lost))
+    own = lambda x: F.struct(F.get(x["starts"], F.col("escape_rounds")).alias("start"), F.get(x["chars"], F.col("escape_rounds")).alias("chars"))
+    return state.select("conv_id", "formatted", F.transform(F.filter("t", lambda x: x["role"] == "assistant"), own).alias("loss_spans"), "escape_rounds")
 
 
 def round_trip(formatted: DataFrame) -> DataFrame:
