@@ -16,11 +16,13 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm.common import CACHE_WORDS, mix, stage
 
+#: Rows of a range of doc_id, about, and ranges at most; a range is sorted and read as a stream in one task.
+RANGE_ROWS, MOST_RANGES = 4_000, 10_000
 #: Content words of a signature.
 CHAIN = 2
 #: Common words of the languages of the corpus. Fixed values.
@@ -102,28 +104,37 @@ def _edited(text: str, following: str) -> str:
 
 
 def _range_starts(docs: DataFrame) -> list[int]:
-    """doc_ids that cut the table into ranges of about equal numbers of rows: one more than there are shuffle partitions at most."""
-    spark = docs.sparkSession
-    parts = max(2, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """doc_ids that cut the table into ranges of about RANGE_ROWS rows, at most MOST_RANGES of them."""
+    parts = min(MOST_RANGES, max(2, -(-docs.count() // RANGE_ROWS)))
     found = docs.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts).alias("q")).first()["q"]
     return sorted(set(found or []))
 
 
+def _range_of(doc_id: Column, starts: list[int]) -> Column:
+    """The number of the range of a doc_id, 0 for null: first among every 64th start, then among the 64 behind it."""
+    if not starts:
+        return F.lit(0)
+    blocks = [starts[at : at + 64] for at in range(0, len(starts), 64)]
+    at = F.size(F.filter(F.array(*(F.lit(b[0]) for b in blocks)), lambda c: c <= doc_id))
+    own = F.element_at(F.array(*(F.array(*map(F.lit, b)) for b in blocks)), F.greatest(at, F.lit(1)))
+    place = (F.greatest(at, F.lit(1)) - 1) * 64 + F.size(F.filter(own, lambda c: c <= doc_id))
+    return F.when(doc_id.isNull(), 0).otherwise(place).cast("int")
+
+
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """Each document against its edited text and the next document in ascending doc_id order (after the last: the first).
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the
     next document. Null texts count as empty ones; null doc_ids come first; rows with equal doc_id stand in
     order of their texts; a table of one row is its own next; an empty table gives an empty table; other
-    columns are ignored, whatever their names. Rows are shuffled once, by ranges of doc_id; the first row of
+    columns are ignored, whatever their names. Rows are shuffled once, by ranges of doc_id (rows of one id stay together); the first row of
     each range, found beforehand, is also sent to the range before it.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     starts = _range_starts(rows)
-    cuts = F.array(*map(F.lit, starts)) if starts else F.array().cast("array<bigint>")
-    ranged = rows.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(cuts, lambda c: c <= F.col("doc_id")))))
+    ranged = rows.withColumn("part", _range_of(F.col("doc_id"), starts))
     # the first row of each range that has rows, as the row after the last of the range before it
-    keys = rows.select("doc_id").withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(cuts, lambda c: c <= F.col("doc_id")))))
+    keys = rows.select("doc_id").withColumn("part", _range_of(F.col("doc_id"), starts))
     firsts = keys.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("doc_id"))).alias("f")).orderBy("part").collect()
     after = {firsts[i - 1]["part"]: r["f"]["doc_id"] for i, r in enumerate(firsts)}
     wanted = F.array(*(F.struct(F.lit(p).alias("part"), F.lit(d).cast("long").alias("doc_id")) for p, d in after.items())) if after else None
@@ -156,7 +167,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
                     held = None if last else (doc, text, own, part)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * len(names), schema)], schema=schema)
 
-    dealt = ranged.repartition("part").sortWithinPartitions("part", "last", "doc_id", "text").select("doc_id", "text", "part", "last")
+    dealt = ranged.repartition(len(starts) + 1, "part").sortWithinPartitions("part", "last", "doc_id", "text").select("doc_id", "text", "part", "last")
     return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
