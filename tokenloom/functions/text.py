@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import copy
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -87,14 +88,19 @@ def bytes_in_script(raw: Column, script: str) -> Column:
     return F.hex(raw).rlike("^(?:..)*?(?:" + "|".join(x.hex().upper() for x in script_leads(script)) + ")")
 
 
+#: What a pattern is made of, as far as letters matter: a character class, an escape, anything else.
+_PARTS = re.compile(r"\[\^?(?:\\p\{\w+\}|\\.|[^\]\\])*\]|\\p\{\w+\}|\\.|.", re.S)
+
+
 def fix_marks(pattern: str, marks: str = r"\p{M}") -> str:
-    """The pattern with combining marks allowed inside words. ValueError if it has no place for them."""
-    fixed = pattern
-    for found, put in ((r"\p{L}\p{N}", rf"\p{{L}}{marks}\p{{N}}"), (r"]?\p{L}+", rf"]?[\p{{L}}{marks}]+")):
-        fixed = fixed.replace(found, put)
-    if fixed == pattern:
+    """The pattern with combining marks taken for letters: in classes that name letters, and where letters stand alone.
+
+    ValueError if the pattern names letters nowhere.
+    """
+    letters, parts = r"\p{L}", _PARTS.findall(pattern)
+    if not any(letters in part for part in parts):
         raise ValueError("the pattern has no letter class to extend")
-    return fixed
+    return "".join(f"[{letters}{marks}]" if part == letters else part.replace(letters, letters + marks) for part in parts)
 
 
 def with_marks(config: dict, marks: str = r"\p{M}") -> dict:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions import text as T
+from tokenloom.operators.staged import staged
 
 Merge = tuple[str, str]
 #: Pairs looked at in one step of the learner, the most frequent ones.
@@ -100,43 +101,32 @@ def encoded(words: DataFrame, merges: list[Merge]) -> DataFrame:
     return words.withColumn("symbols", symbols(merged(bytes_as_symbols(F.col("word")), merges)))
 
 
-def confine(merges: list[Merge], vocabulary: set[str], marker: Callable[[str], bool]) -> list[Merge]:
-    """The merges whose token holds the marker and whose parts exist, in order; what builds on a dropped one drops."""
-    known, out = set(vocabulary), []
-    for a, b in merges:
-        if a in known and b in known and marker(a + b):
-            out.append((a, b))
-            known.add(a + b)
-    return out
+def confine(merges: DataFrame, vocab: DataFrame, marker: Callable[[Column], Column]) -> DataFrame:
+    """Of merges(rank, left, right) those whose token marker accepts and whose parts are tokens of vocab or made before.
 
+    Merges with a part that neither vocab(token) nor an earlier merge left gives are dropped, round after round
+    until none is; as ranks ascend, what is left then is the only such set. Needs a round for each merge in the
+    longest chain that falls, two or three as a rule.
+    """
+    known = vocab.select("token", F.lit(-1).alias("made")).distinct()
+    left = staged(merges.select("rank", "left", "right", F.concat("left", "right").alias("token")).where(marker(F.concat("left", "right"))), "merges")
+    while True:
+        made = left.groupBy("token").agg(F.min("rank").alias("made")).unionByName(known).groupBy("token").agg(F.min("made").alias("made"))
+        of = lambda side: made.select(F.col("token").alias(side), F.col("made").alias(f"made_{side}"))  # noqa: B023, E731
+        next_ = staged(left.join(of("left"), "left").join(of("right"), "right").where("made_left < rank and made_right < rank").select("rank", "left", "right", "token"), "merges")
+        if next_.count() == left.count():
+            return next_.select("rank", "left", "right")
+        left = next_
 
-def hex_in_script(script: str) -> Callable[[str], bool]:
-    """A marker: whether hexadecimal bytes hold the start of a character of the script."""
-    leads = T.script_leads(script)
-    return lambda token: any(lead in bytes.fromhex(token) for lead in leads)
 
+def in_script(script: str) -> Callable[[Column], Column]:
+    """A marker for tokens of hexadecimal bytes: whether they hold the start of a character of the script."""
+    return lambda token: T.bytes_in_script(F.unhex(token), script)
 
-def append(config: dict, merges: list[Merge]) -> tuple[dict, list[str]]:
-    """A copy of a tokenizer configuration with merges appended, and its new tokens.
 
-    New tokens are numbered after every id in use; a merge that is there already is skipped, and one whose
-    token is there gets no new id.
-    """
-    model = config["model"]
-    vocab, own = dict(model["vocab"]), list(model["merges"])
-    pairs = not own or isinstance(own[0], list)
-    have = {tuple(m) if isinstance(m, list) else tuple(m.split(" ", 1)) for m in own}
-    number = max([*vocab.values(), *(t["id"] for t in config.get("added_tokens", []))], default=-1) + 1
-    added = []
-    for a, b in merges:
-        if (a, b) in have:
-            continue
-        have.add((a, b))
-        own.append([a, b] if pairs else f"{a} {b}")
-        if a + b not in vocab:
-            vocab[a + b] = number + len(added)
-            added.append(a + b)
-    return config | {"model": model | {"vocab": vocab, "merges": own}}, added
+def new_merges(own: DataFrame, merges: DataFrame) -> DataFrame:
+    """merges(rank, left, right) that own(left, right) lacks, each once at its first rank."""
+    return merges.groupBy("left", "right").agg(F.min("rank").alias("rank")).join(own, ["left", "right"], "left_anti").select("rank", "left", "right")
 
 
 def appended_ids(spark: SparkSession, vocab: DataFrame, merges: DataFrame) -> DataFrame:
@@ -146,6 +136,22 @@ def appended_ids(spark: SparkSession, vocab: DataFrame, merges: DataFrame) -> Da
     return made.select("token", (F.row_number().over(Window.orderBy("rank")) + F.lit(-1 if last is None else last)).cast("long").alias("id"))
 
 
+def extended_config(spark: SparkSession, config: dict, merges: DataFrame) -> dict:
+    """A tokenizer configuration with merges(rank, left, right) that it lacks behind its own, and their tokens.
+
+    Added tokens take part in the numbering. A configuration is one file, so the result is made on the driver.
+    """
+    model = config["model"]
+    in_pairs = [m.split(" ", 1) if isinstance(m, str) else m for m in model["merges"]]
+    more = staged(new_merges(spark.createDataFrame(in_pairs, "left string, right string"), merges), "new-merges")
+    ids = [*model["vocab"].items(), *((t["content"], t["id"]) for t in config.get("added_tokens") or ())]
+    fresh = appended_ids(spark, spark.createDataFrame(ids, "token string, id long"), more)
+    behind = [[r["left"], r["right"]] for r in more.orderBy("rank").collect()]
+    as_text = bool(model["merges"]) and isinstance(model["merges"][0], str)
+    tokens = model["vocab"] | {r["token"]: r["id"] for r in fresh.collect()}
+    return {**config, "model": {**model, "vocab": tokens, "merges": [*model["merges"], *(map(" ".join, behind) if as_text else behind)]}}
+
+
 def ladder(words: DataFrame, merges: list[Merge], sizes: list[int]) -> DataFrame:
     """(size, tokens): tokens of words(word, n, ...) with the first `size` merges, all sizes in one pass."""
     marked, columns = bytes_as_symbols(F.col("word")), []
