@@ -12,14 +12,24 @@ from tokenloom.sources.tokenizers import Tokenizer
 COUNTS = ["tokens", "letters", "chars", "bytes", "words", "unk", "floor", "exact", "exact_tokens", "exact_letters", "fragments", "broken"]
 
 
-def text_counts(texts: DataFrame, tokenizer: Tokenizer) -> DataFrame:
-    """texts with the counts of each text; measures of bytes are null where the pieces do not spell the text."""
-    text = F.col("text")
-    own = texts.withColumn("__m", graphemes.measured(text, tokenizer.pieces(text)))
-    return own.withColumns(
-        {"tokenizer": F.lit(tokenizer.key), "tokens": tokenizer.tokens(text), "chars": T.chars(text), "bytes": T.octets(text), "words": T.words(text), "unk": tokenizer.unknown(text), "floor": tokenizer.floor(text)}
-        | {c: F.col(f"__m.{c}") for c in ("letters", "exact", "exact_tokens", "exact_letters", "fragments", "broken")}
-    ).drop("__m")
+def _counts(tokenizer: Tokenizer, text: Column) -> Column:
+    """The counts of a text under a tokenizer, as a struct."""
+    measured = graphemes.measured(text, tokenizer.pieces(text))
+    own = {"tokenizer": F.lit(tokenizer.key), "tokens": tokenizer.tokens(text), "chars": T.chars(text), "bytes": T.octets(text), "words": T.words(text), "unk": tokenizer.unknown(text), "floor": tokenizer.floor(text)}
+    return F.struct(*(v.alias(k) for k, v in own.items()), measured.alias("m"))
+
+
+def text_counts(texts: DataFrame, *tokenizers: Tokenizer) -> DataFrame:
+    """texts with the counts of each text, a row for every tokenizer; texts are read and sent to Python once.
+
+    Measures of bytes are null where the pieces do not spell the text.
+    """
+    name = "counts"
+    while name in texts.columns:
+        name += "_"
+    each = texts.withColumn(name, F.explode(F.array(*(_counts(t, F.col("text")) for t in tokenizers))))
+    plain = ("tokenizer", "tokens", "chars", "bytes", "words", "unk", "floor")
+    return each.select(*texts.columns, *(F.col(f"{name}.{c}").alias(c) for c in plain), *(F.col(f"{name}.m.{c}").alias(c) for c in graphemes.MEASURED.names))
 
 
 def corpus_counts(counted: DataFrame, by: tuple[str, ...] = ("tokenizer", "lang")) -> DataFrame:

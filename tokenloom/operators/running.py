@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Chunks per group, about.
-CHUNKS = 64
+#: Chunks per group, about: one for so many rows of the table, within these limits.
+CHUNK_ROWS, LEAST_CHUNKS, MOST_CHUNKS = 500_000, 64, 4096
 
 
 def with_running_sum(rows: DataFrame, by: list[str], order: str, value: Column, name: str) -> DataFrame:
@@ -16,7 +16,9 @@ def with_running_sum(rows: DataFrame, by: list[str], order: str, value: Column,
     whole group. Groups are joined without hints: their few rows are broadcast while they are small, and a
     hot group's rows are split otherwise.
     """
-    cuts = rows.groupBy(*by).agg(F.percentile_approx(order, [i / CHUNKS for i in range(1, CHUNKS)], 1000).alias("__cuts")) if by else rows.agg(F.percentile_approx(order, [i / CHUNKS for i in range(1, CHUNKS)], 1000).alias("__cuts"))
+    chunks = min(MOST_CHUNKS, max(LEAST_CHUNKS, rows.count() // CHUNK_ROWS))
+    shares, accuracy = [i / chunks for i in range(1, chunks)], max(1000, 10 * chunks)
+    cuts = rows.groupBy(*by).agg(F.percentile_approx(order, shares, accuracy).alias("__cuts")) if by else rows.agg(F.percentile_approx(order, shares, accuracy).alias("__cuts"))
     placed = rows.join(cuts, by) if by else rows.crossJoin(F.broadcast(cuts))
     placed = placed.withColumn("__chunk", F.size(F.filter("__cuts", lambda c: c < F.col(order)))).drop("__cuts").withColumn("__value", value)
     sums = placed.groupBy(*by, "__chunk").agg(F.sum("__value").alias("__sum"))
