@@ -16,7 +16,7 @@ from tokenloom.functions import text as T
 from tokenloom.operators import corpus, measure, score, vocabulary
 from tokenloom.session import ship
 from tokenloom.sources import dims
-from tokenloom.sources.tokenizers import Characters, FixedCut, PreTokens
+from tokenloom.sources.tokenizers import Characters, FixedCut, Library, PreTokens, Ranks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -79,10 +79,15 @@ def floor_tax(spark, d):
     return sums.select("lang", "floor", "tokens", (F.col("floor") / measure.of_base(F.col("tokens"), "en")).alias("floor_tax"), (F.col("floor") / measure.of_base(F.col("floor"), "en")).alias("floor_ratio"))
 
 
-@query(f"SELECT lang, CAST(sum({_SQL_FLOOR}) AS BIGINT) AS floor, CAST(sum({_SQL_FLOOR}) AS BIGINT) AS floor_with_marks FROM documents GROUP BY lang")
+# the pattern with U+0B3F inside words, for texts in which that is the only mark
+_SQL_MARKED = rf"(?i:'s|'t|'re|'ve|'m|'ll|'d)|{_MARK}?[^\r\n\p{{L}}\x{{0B3F}}\p{{N}}{_MARK}]?[\p{{L}}\x{{0B3F}}]+|\p{{N}}|{_MARK}? ?[^\s\p{{L}}\x{{0B3F}}\p{{N}}{_MARK}]+[\r\n{_MARK}]*|[\s{_MARK}]*[\r\n]+|{_MARK}?\s+".replace("'", "''")
+
+
+@query(f"""WITH t AS (SELECT lang, regexp_replace(translate(text, 'ae', chr(2837) || chr(2879)), '(\\s)([^\\s])', '{_MARK}\\1\\2', 'g') AS text FROM documents)
+SELECT lang, CAST(sum(len(regexp_extract_all(text, '{_SQL_PATTERN}'))) AS BIGINT) AS floor, CAST(sum(len(regexp_extract_all(text, '{_SQL_MARKED}'))) AS BIGINT) AS floor_with_marks FROM t GROUP BY lang""")
 def marks_floor_delta(spark, d):
-    """Pieces before and after marks are allowed in words; these tables have no combining marks."""
-    text = F.col("text")
+    """Pieces before and after marks are allowed in words, of texts in which an Odia letter and mark stand for a and e."""
+    text = F.translate("text", "ae", "\u0b15\u0b3f")
     return _docs(spark, d, "text", "lang").groupBy("lang").agg(F.sum(T.floor(text)).alias("floor"), F.sum(T.floor(text, T.fix_marks(T.PATTERN, T.INDIC_MARKS))).alias("floor_with_marks"))
 
 
@@ -128,14 +133,34 @@ def fixed_cut_fragments(spark, d):
 @query()
 def fixed_cut_measures(spark, d):
     """Every measure of the three-byte, byte, character and pre-token tokenizers, with ratios to English."""
-    docs = _docs(spark, d, "doc_id", "text", "lang")
-    counted = None
-    for tokenizer in (FixedCut(CUT), FixedCut(1), Characters(), PreTokens()):
-        own = measure.text_counts(docs, tokenizer).drop("text")
-        counted = own if counted is None else counted.unionByName(own)
+    counted = measure.text_counts(_docs(spark, d, "text", "lang"), FixedCut(CUT), FixedCut(1), Characters(), PreTokens())
     return measure.tax(measure.corpus_counts(counted), "en")
 
 
+_TAXED = {"bytes1": _SQL_BYTES, f"bytes{CUT}": f"({_SQL_BYTES} + {CUT - 1}) // {CUT}", "chars": "length(text)"}
+
+
+@query(f"""WITH c AS (SELECT lang, unnest([{', '.join(f"{{'tokenizer': '{k}', 'n': CAST({v} AS BIGINT)}}" for k, v in _TAXED.items())}]) AS x,
+    length_grapheme(text) AS letters, length(text) AS chars, {_SQL_BYTES} AS bytes, {_SQL_WORDS} AS words, text FROM documents),
+s AS (SELECT x.tokenizer AS tokenizer, lang, count(*) AS sentences, CAST(sum(x.n) AS BIGINT) AS tokens, CAST(sum(letters) AS BIGINT) AS letters, CAST(sum(chars) AS BIGINT) AS chars,
+    CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(words) AS BIGINT) AS words, count(text) AS exact, CAST(sum(x.n) AS BIGINT) AS exact_tokens, CAST(sum(letters) AS BIGINT) AS exact_letters FROM c GROUP BY ALL)
+SELECT *, tokens / max(CASE WHEN lang = 'en' THEN tokens END) OVER (PARTITION BY tokenizer) AS tax, tokens / letters AS tokens_per_letter, chars / tokens AS chars_per_token FROM s""")
+def corpus_tax(spark, d):
+    """Sums of the counts of three tokenizers by language, and their ratios to English."""
+    counted = measure.text_counts(_docs(spark, d, "text", "lang"), FixedCut(1), FixedCut(CUT), Characters())
+    columns = ("tokenizer", "lang", "sentences", "tokens", "letters", "chars", "bytes", "words", "exact", "exact_tokens", "exact_letters", "tax", "tokens_per_letter", "chars_per_token")
+    return measure.tax(measure.corpus_counts(counted), "en").select(*columns)
+
+
+@query()
+def vocabulary_tax(spark, d):
+    """Every measure under two byte-level vocabularies, read from a tokenizer file and from a rank file."""
+    import public_tokenizers
+
+    own = Library.from_file("bytes_50k", public_tokenizers.path("byte_bpe_50k.json")), Ranks("bytes_50k_ranks", public_tokenizers.path("byte_bpe_50k.tiktoken"), T.PATTERN)
+    return measure.tax(measure.corpus_counts(measure.text_counts(_docs(spark, d, "text", "lang"), *own)), "en")
+
+
 @query()
 def segments_exploded(spark, d):
     """Segments of the benchmark texts under three-byte tokens, flagged where tokens outnumber letters."""
@@ -189,13 +214,20 @@ def weighted_tax(spark, d):
     return measure.speaker_weighted(taxes, speakers).select("weighted_tax")
 
 
-@query()
+def _values(rows: list[tuple], columns: str) -> str:
+    """SQL for rows of fixed values; columns as in a schema."""
+    literal = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    names, kinds = zip(*(c.split() for c in columns.split(", ")))
+    return f"SELECT {', '.join(f'CAST({n} AS {k.upper()}) AS {n}' for n, k in zip(names, kinds))} FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) AS t({', '.join(names)})"
+
+
+@query(_values(dims.LANGUAGES, dims.LANGUAGE_COLUMNS))
 def language_dimension(spark, d):
     """The languages and their speakers."""
     return dims.languages(spark)
 
 
-@query()
+@query(_values(dims.SPECS, dims.SPEC_COLUMNS))
 def tokenizer_dimension(spark, d):
     """Public tokenizers."""
     return dims.specs(spark)
@@ -258,12 +290,17 @@ def spread_order(spark, d):
     return corpus.spread_order(spark, 100)
 
 
-@query(f"""WITH {_spread_sql('20')}, z AS (SELECT {_GRP} AS grp, sum({_SQL_BYTES}) AS size FROM documents GROUP BY 1),
+_N_GROUPS = f"(SELECT max(doc_id) // {GROUP} + 1 FROM documents)"
+
+
+@query(f"""WITH {_spread_sql(_N_GROUPS)}, z AS (SELECT {_GRP} AS grp, sum({_SQL_BYTES}) AS size FROM documents GROUP BY 1),
 r AS (SELECT o.grp, ord, sum(coalesce(size, 0)) OVER (ORDER BY ord) - coalesce(size, 0) AS before FROM o LEFT JOIN z ON o.grp = z.grp)
 SELECT doc_id, CAST(r.grp AS BIGINT) AS grp, ord FROM documents JOIN r ON {_GRP} = r.grp WHERE before < 1000000""")
 def byte_budget_sample(spark, d):
     """Whole groups in spread order up to a million bytes."""
-    return corpus.byte_budget_sample(_docs(spark, d, "doc_id", "text"), F.floor(F.col("doc_id") / GROUP), 20, 1_000_000).select("doc_id", "grp", "ord")
+    docs = _docs(spark, d, "doc_id", "text")
+    groups = (docs.agg(F.max("doc_id")).first()[0] or 0) // GROUP + 1
+    return corpus.byte_budget_sample(docs, F.floor(F.col("doc_id") / GROUP), groups, 1_000_000).select("doc_id", "grp", "ord")
 
 
 @query(f"""WITH n AS (SELECT lang, doc_id, {_SQL_FLOOR} AS n_tokens FROM documents),
@@ -336,20 +373,32 @@ def padded_batches_in_order(spark, d):
     return corpus.padded_batches(_lengths(spark, d), 16, by_length=False)
 
 
-_W = f"w0 AS (SELECT hex(encode(piece)) AS word, regexp_replace(hex(encode(piece)), '(..)', '<\\1>', 'g') AS m, count(*) AS n FROM (SELECT unnest({_SQL_PIECES}) AS piece FROM documents) GROUP BY 1, 2)"
+def _sql_words(where: str = "") -> str:
+    return f"SELECT hex(encode(piece)) AS word, regexp_replace(hex(encode(piece)), '(..)', '<\\1>', 'g') AS m, count(*) AS n FROM (SELECT unnest({_SQL_PIECES}) AS piece FROM documents {where}) GROUP BY 1, 2"
+
+
+_W = f"w0 AS ({_sql_words()})"
 
 
-def _sql_pairs(i: int) -> str:
-    return f"""s{i} AS (SELECT n, string_split(m[2:-2], '><') AS s FROM w{i}),
-p{i} AS (SELECT s[j] AS l, s[j + 1] AS r, sum(n) AS c FROM (SELECT n, s, unnest(range(1, len(s))) AS j FROM s{i}) GROUP BY 1, 2)"""
+def _sql_pairs(i: int, name: str = "") -> str:
+    return f"""{name}s{i} AS (SELECT n, string_split(m[2:-2], '><') AS s FROM {name}w{i}),
+{name}p{i} AS (SELECT s[j] AS l, s[j + 1] AS r, sum(n) AS c FROM (SELECT n, s, unnest(range(1, len(s))) AS j FROM {name}s{i}) GROUP BY 1, 2)"""
 
 
-def _sql_learn(k: int) -> str:
-    parts = [_W]
+def _sql_merged(words: str, merges: str) -> str:
+    return f"SELECT word, replace(m, '<' || l || '><' || r || '>', '<' || l || r || '>') AS m, n FROM {words}, {merges}"
+
+
+def _sql_learn(k: int, where: str = "", name: str = "", base: str = "", base_k: int = 0) -> str:
+    """k merges (name)t0.. learned on documents, after the merges of another such run (base)t0.. if it is named."""
+    if base:
+        parts = [f"{name}b0 AS ({_sql_words(where)})", *(f"{name}b{i + 1} AS MATERIALIZED ({_sql_merged(f'{name}b{i}', f't{i}')})" for i in range(base_k)), f"{name}w0 AS (SELECT * FROM {name}b{base_k})"]
+    else:
+        parts = [f"{name}w0 AS ({_sql_words(where)})"]
     for i in range(k):
-        parts.append(_sql_pairs(i))
-        parts.append(f"t{i} AS (SELECT * FROM p{i} ORDER BY c DESC, l, r LIMIT 1)")
-        parts.append(f"w{i + 1} AS MATERIALIZED (SELECT word, replace(m, '<' || l || '><' || r || '>', '<' || l || r || '>') AS m, n FROM w{i}, t{i})")
+        parts.append(_sql_pairs(i, name))
+        parts.append(f"{name}t{i} AS (SELECT * FROM {name}p{i} ORDER BY c DESC, l, r LIMIT 1)")
+        parts.append(f"{name}w{i + 1} AS MATERIALIZED ({_sql_merged(f'{name}w{i}', f'{name}t{i}')})")
     return ",\n".join(parts)
 
 
@@ -405,16 +454,33 @@ def _extended(spark, d) -> tuple[list, list]:
     return base, more
 
 
-@query()
+def _confined(spark, base, more) -> tuple[DataFrame, DataFrame]:
+    """The merges as a table, and those of them kept: tokens that hold a byte beyond ASCII."""
+    tokens = [(f"{b:02X}",) for b in range(256)] + [(a + b,) for a, b in base]
+    merges = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(more)], "rank int, left string, right string")
+    return merges, vocabulary.confine(merges, spark.createDataFrame(tokens, "token string"), lambda t: t.rlike("^(?:..)*?[89A-F]"))
+
+
+# merges of English, then those of French on top of them, and which of these hold a byte beyond ASCII and have their parts
+_EXTENDED = f"""{_sql_learn(MERGES, "WHERE lang = 'en'")},
+{_sql_learn(MERGES, "WHERE lang = 'fr'", "f", "w", MERGES)},
+more AS ({' UNION ALL '.join(f"SELECT {i} AS rank, l, r FROM ft{i}" for i in range(MERGES))}),
+base AS ({' UNION ALL '.join(f"SELECT {i} AS rank, l, r FROM t{i}" for i in range(MERGES))}),
+k0 AS (SELECT DISTINCT * FROM (SELECT l || r AS token FROM base UNION ALL SELECT upper(printf('%02x', i)) FROM (SELECT unnest(range(256)) AS i))),
+{','.join(f"""
+k{i + 1} AS (SELECT * FROM k{i} UNION SELECT l || r FROM more WHERE rank = {i} AND regexp_matches(l || r, '^(..)*?[89A-F]') AND l IN (SELECT * FROM k{i}) AND r IN (SELECT * FROM k{i}))""" for i in range(MERGES))},
+kept AS (SELECT rank, l, r, regexp_matches(l || r, '^(..)*?[89A-F]') AND ({' OR '.join(f"(rank = {i} AND l IN (SELECT * FROM k{i}) AND r IN (SELECT * FROM k{i}))" for i in range(MERGES))}) AS kept FROM more)"""
+
+
+@query(f'WITH {_EXTENDED} SELECT CAST(rank AS INTEGER) AS rank, l AS "left", r AS "right", kept FROM kept')
 def bpe_confine(spark, d):
     """French merges on top of English ones, confined to tokens that hold a letter beyond ASCII."""
-    base, more = _extended(spark, d)
-    known = {f"{b:02X}" for b in range(256)} | {a + b for a, b in base}
-    kept = vocabulary.confine(more, known, lambda t: any(b > 127 for b in bytes.fromhex(t)))
-    return spark.createDataFrame([(i, a, b, (a, b) in kept) for i, (a, b) in enumerate(more)], "rank int, left string, right string, kept boolean")
+    merges, kept = _confined(spark, *_extended(spark, d))
+    return merges.join(kept.select("rank", F.lit(True).alias("kept")), "rank", "left").select("rank", "left", "right", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
-@query()
+@query(f"""WITH {_EXTENDED}, old AS (SELECT DISTINCT l || r AS token FROM base), fresh AS (SELECT l || r AS token, min(rank) AS rank FROM more WHERE l || r NOT IN (SELECT * FROM old) GROUP BY 1)
+SELECT token, CAST(255 + (SELECT count(*) FROM old) + row_number() OVER (ORDER BY rank) AS BIGINT) AS id FROM fresh""")
 def bpe_apply_ids(spark, d):
     """Ids of the tokens that the French merges add to the English vocabulary."""
     base, more = _extended(spark, d)
@@ -427,8 +493,7 @@ def bpe_apply_ids(spark, d):
 def identical_ids_by_lang(spark, d):
     """Whether each language's pieces keep their tokens when confined merges are appended."""
     base, more = _extended(spark, d)
-    known = {f"{b:02X}" for b in range(256)} | {a + b for a, b in base}
-    kept = vocabulary.confine(more, known, lambda t: any(b > 127 for b in bytes.fromhex(t)))
+    kept = [(r["left"], r["right"]) for r in _confined(spark, base, more)[1].orderBy("rank").collect()]
     docs = _docs(spark, d, "text", "lang")
     words = docs.select("lang", F.explode(T.pieces(F.col("text"))).alias("p")).distinct().select("lang", F.hex(F.encode("p", "UTF-8")).alias("sent_id"))
     ids = lambda merges: words.select("lang", "sent_id", vocabulary.merged(vocabulary.bytes_as_symbols(F.col("sent_id")), merges).alias("ids"))
@@ -458,10 +523,11 @@ def embedding_mean_init(spark, d):
     return means.select("token", F.round(total * 1000).cast("long").alias("total"), F.size("embedding").cast("long").alias("size"))
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT i, avg(v) AS m FROM e GROUP BY i)
+SELECT vec_id, round(sum(v * m) / sqrt(sum(v * v) * sum(m * m)), 9) AS cosine FROM e JOIN m USING (i) GROUP BY vec_id""")
 def embedding_cosine(spark, d):
-    """Cosine of every vector with the mean of all."""
-    return vocabulary.cosine_to_mean(_table(spark, d, "embeddings").select("vec_id", "embedding"))
+    """Cosine of every vector with the mean of all, to nine places."""
+    return vocabulary.cosine_to_mean(_table(spark, d, "embeddings").select("vec_id", "embedding")).withColumn("cosine", F.round("cosine", 9))
 
 
 # a table of model outputs made from the documents: four answers a question, log-probabilities from lengths
@@ -524,7 +590,7 @@ def speed_up(spark, d):
     return score.speed_up(score.best_of(_timed(spark, d), ("source", "lang")).withColumnRenamed("source", "tokenizer"), "src0")
 
 
-@query()
+@query("SELECT step, round(2e-4 * CASE WHEN step < 50 THEN (step + 1) / 50 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * (step - 50) / 950)) END, 12) AS rate FROM (SELECT unnest(range(1000)) AS step)")
 def learning_rates(spark, d):
-    """A learning-rate schedule: warm-up and cosine."""
-    return corpus.learning_rates(spark, 1000, 50, 2e-4)
+    """A learning-rate schedule: warm-up and cosine, to twelve places."""
+    return corpus.learning_rates(spark, 1000, 50, 2e-4).withColumn("rate", F.round("rate", 12))
