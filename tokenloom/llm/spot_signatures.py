@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.llm.common import CACHE_WORDS, mix, stage
@@ -121,6 +121,13 @@ def _range_of(doc_id: Column, starts: list[int]) -> Column:
     return F.when(doc_id.isNull(), 0).otherwise(place).cast("int")
 
 
+def _task_keys(spark: SparkSession, n: int) -> list[int]:
+    """For each of n tasks a number that hash partitioning sends there, so that no two ranges meet in one by chance."""
+    rows = spark.range(40 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("task")).agg(F.min("id").alias("id")).collect()
+    found = {r["task"]: r["id"] for r in rows}
+    return [found.get(t, t) for t in range(n)]
+
+
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """Each document against its edited text and the next document in ascending doc_id order (after the last: the first).
 
@@ -167,7 +174,9 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
                     held = None if last else (doc, text, own, part)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * len(names), schema)], schema=schema)
 
-    dealt = ranged.repartition(len(starts) + 1, "part").sortWithinPartitions("part", "last", "doc_id", "text").select("doc_id", "text", "part", "last")
+    keys = _task_keys(docs.sparkSession, len(starts) + 1)
+    key = F.element_at(F.array(*(F.lit(k).cast("long") for k in keys)), F.col("part") + 1)
+    dealt = ranged.withColumn("task", key).repartition(len(keys), "task").sortWithinPartitions("part", "last", "doc_id", "text").select("doc_id", "text", "part", "last")
     return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
