@@ -81,9 +81,12 @@ def mined_terms(docs: DataFrame, labels: DataFrame) -> list[tuple[str, bool, int
     terms = words.select(F.col("w").alias("term"), F.lit(False).alias("start"), "part", "bad", "good").unionByName(
         starts.groupBy(F.col("s.term").alias("term"), "part").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).withColumn("start", F.lit(True))
     )
-    totals = words.groupBy("part").agg(F.sum("bad").alias("all_bad"), F.sum("good").alias("all_good")).where("all_bad > 0 and all_good > 0")
-    odds = (F.col("bad") + 0.5) / (F.col("all_bad") + 1) / ((F.col("good") + 0.5) / (F.col("all_good") + 1))
-    kept = terms.where(F.col("bad") >= least).join(totals, "part").where(odds >= 8).orderBy("term", "start", "part")
+    # the two halves' totals are literals: a join on the half would gather all terms in two tasks
+    totals = words.groupBy("part").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where("bad > 0 and good > 0").collect()
+    odds = F.lit(0.0)
+    for r in totals:
+        odds = F.when(F.col("part") == r["part"], (F.col("bad") + 0.5) / (r["bad"] + 1) / ((F.col("good") + 0.5) / (r["good"] + 1))).otherwise(odds)
+    kept = terms.where(F.col("bad") >= least).where(odds >= 8).orderBy("term", "start", "part")
     return [(r["term"], r["start"], r["part"]) for r in kept.select("term", "start", "part").collect()]
 
 
