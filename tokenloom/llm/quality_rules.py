@@ -3,14 +3,14 @@
 Every document gets counts of its words, symbols, repeated lines and repeated word windows. Documents that
 fail the base rules go. Of the others, five integer features are put into mergeable sketches: a histogram
 whose buckets keep the leading bits of a value (relative error under 1/64), so merging is adding counts, in
-any order and with the same result. Documents with equal counts are put in once, so that a group of copies
-does not narrow its source's spread, and features that are mostly 0 are sketched where they are not.
+any order and with the same result. Equal texts of a group are put in once, so that a group of copies does
+not narrow its source's spread, and features that are mostly 0 are sketched where they are not.
 
 Sketches are merged along a hierarchy by weight, whatever a group's size: that of a language has PRIOR
 documents of the overall sketch added, that of a (language, source) PRIOR documents of its language's. All
 weights are integers, so the quantiles are exact. A document is kept if each feature lies within SPREADS
-interquartile ranges (the wider of its group's and its language's) of its group's quartiles, or is not
-among the outer tenth of its group. No threshold is a constant.
+interquartile ranges of its group's quartiles, or is not among the outer tenth of its group. No threshold is
+a constant.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from tokenloom.llm.common import BROADCAST_ROWS, byte_words, stage, texts
 #: Interquartile ranges beyond the quartiles that are still accepted.
 SPREADS = 4
 #: Documents of the sketch above that are added to a group's own, as if the group had so many of them.
-PRIOR = 100
+PRIOR = 10
 #: Feature: its value as SQL over the counts, the documents whose values are sketched, whether low values fail too.
 FEATURES = {
     "symbols": ("10000 * n_symbols div greatest(n_words, 1)", "true", False),
@@ -71,21 +71,23 @@ def counts_of(text: str | None) -> tuple[int, ...]:
 
 
 def _count(batches):
+    kept = ["doc_id", "lang", "source", "h"]
     for batch in batches:
         rows = np.array([counts_of(t) for t in texts(batch.column("text"))], np.int64).reshape(-1, len(_COUNTS))
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "lang", "source")] + [pa.array(rows[:, i]) for i in range(len(_COUNTS))], names=["doc_id", "lang", "source", *_COUNTS])
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(rows[:, i]) for i in range(len(_COUNTS))], names=[*kept, *_COUNTS])
 
 
 def text_counts(docs: DataFrame) -> DataFrame:
-    """One row per row of docs(doc_id, text, lang, source) with its counts and base_failed."""
+    """One row per row of docs(doc_id, text, lang, source) with h, a hash of its text, its counts and base_failed."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")))
-    counted = rows.mapInArrow(_count, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in _COUNTS))
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    counted = rows.mapInArrow(_count, "doc_id long, lang string, source string, h long, " + ", ".join(f"{c} long" for c in _COUNTS))
     return counted.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
 
 
 def sketches(counted: DataFrame) -> DataFrame:
-    """(lang, source, feature, low, n): how many different documents of the group have the feature in the bucket from low."""
-    rows = counted.where("not base_failed").select("lang", "source", *_COUNTS).distinct()
+    """(lang, source, feature, low, n): how many different texts of the group have the feature in the bucket from low."""
+    rows = counted.where("not base_failed").select("lang", "source", "h", *_COUNTS).distinct()
     made = ", ".join(f"if({domain}, struct('{k}' as feature, {sql} as v), null)" for k, (sql, domain, _) in FEATURES.items())
     values = rows.select("lang", "source", F.explode(F.expr(f"filter(array({made}), x -> x is not null)")).alias("x")).select("lang", "source", "x.feature", "x.v")
     low = F.expr("shiftleft(shiftright(v, greatest(length(bin(v)) - 7, 0)), greatest(length(bin(v)) - 7, 0))")
@@ -126,9 +128,8 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     total = by_lang.groupBy("lang", "feature").agg(F.sum("w").cast("decimal(38,0)").alias("total"))
     own = sketch.join(total, ["lang", "feature"]).select("lang", "source", "feature", "low", times(many("n"), F.col("total")).alias("w"))
     above = sketch.select("lang", "source").distinct().join(by_lang, "lang").select("lang", "source", "feature", "low", times(prior, F.col("w")).alias("w"))
-    wide = _quantiles(by_lang, ["lang"]).select("lang", "feature", F.expr("q75 - q25").alias("lang_spread"))
-    found = _quantiles(_added(own, above), ["lang", "source"]).join(wide, ["lang", "feature"])
-    far = f"{SPREADS} * greatest(q75 - q25, lang_spread)"
+    found = _quantiles(_added(own, above), ["lang", "source"])
+    far = f"{SPREADS} * (q75 - q25)"
     bounds = found.select("lang", "source", "feature", F.expr(f"least(q25 - {far}, q10)").alias("lo"), F.expr(f"greatest(q75 + {far}, q90)").alias("hi"))
     return bounds.groupBy("lang", "source").agg(*(F.max(F.when(F.col("feature") == k, F.col(end))).alias(f"{k}_{end}") for k in FEATURES for end in ("lo", "hi")))
 
@@ -166,14 +167,14 @@ tri AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM
 rep AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM tri WHERE n > 1) GROUP BY doc_id),
 lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
   FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
-c AS (SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words,
+c AS (SELECT doc_id, lang, source, t, CAST(len(w) AS BIGINT) AS n_words,
     length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
     length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
     coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
     length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper
   FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
 s AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
-u AS (SELECT DISTINCT lang, source, {', '.join(_COUNTS)} FROM s WHERE NOT base_failed),
+u AS (SELECT DISTINCT lang, source, t, {', '.join(_COUNTS)} FROM s WHERE NOT base_failed),
 f AS ({' UNION ALL '.join(f"SELECT lang, source, '{k}' AS k, {v} AS v FROM u WHERE {FEATURES[k][1]}" for k, v in _VALUE_SQL.items())}),
 b AS (SELECT lang, source, k, (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) AS low, CAST(count(*) AS HUGEINT) AS n FROM f GROUP BY ALL),
 b0 AS (SELECT k, low, sum(n) AS n FROM b GROUP BY ALL), size AS (SELECT k, sum(n) AS size FROM b0 GROUP BY k),
@@ -184,11 +185,11 @@ b2 AS (SELECT lang, source, k, low, sum(w) AS w FROM (
     UNION ALL SELECT lang, source, k, low, {PRIOR}::HUGEINT * w FROM (SELECT DISTINCT lang, source FROM b) JOIN b1 USING (lang)) GROUP BY ALL),
 {''.join(f'''
 r{i} AS (SELECT {by} k, low, low + (1::BIGINT << greatest(length(bin(low)) - 7, 0)) - 1 AS high, sum(w) OVER (PARTITION BY {by} k ORDER BY low) AS upto, sum(w) OVER (PARTITION BY {by} k) AS total FROM b{i}),
-q{i} AS (SELECT {by} k, {', '.join(f"min({'low' if 2 * m < d else 'high'}) FILTER (WHERE {d} * upto >= {m} * total) AS {q}" for q, (m, d) in QUANTILES.items())} FROM r{i} GROUP BY ALL),''' for i, by in ((1, "lang,"), (2, "lang, source,")))}
+q{i} AS (SELECT {by} k, {', '.join(f"min({'low' if 2 * m < d else 'high'}) FILTER (WHERE {d} * upto >= {m} * total) AS {q}" for q, (m, d) in QUANTILES.items())} FROM r{i} GROUP BY ALL),''' for i, by in ((2, "lang, source,"),))}
 h AS (SELECT lang, source, k, least(q25 - far, q10) AS lo, greatest(q75 + far, q90) AS hi
-  FROM (SELECT q2.*, {SPREADS} * greatest(q2.q75 - q2.q25, q1.q75 - q1.q25) AS far FROM q2 JOIN q1 USING (lang, k))),
-t AS (SELECT lang, source, {', '.join(f"max(CASE WHEN k = '{k}' THEN {e} END) AS {k}_{e}" for k in FEATURES for e in ('lo', 'hi'))} FROM h GROUP BY lang, source)
+  FROM (SELECT *, {SPREADS} * (q75 - q25) AS far FROM q2)),
+bounds AS (SELECT lang, source, {', '.join(f"max(CASE WHEN k = '{k}' THEN {e} END) AS {k}_{e}" for k in FEATURES for e in ('lo', 'hi'))} FROM h GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   CASE WHEN base_failed THEN false ELSE {' AND '.join(f"coalesce({_VALUE_SQL[k]} <= {k}_hi, true)" + (f" AND coalesce({_VALUE_SQL[k]} >= {k}_lo, true)" if both else '') for k, (_, _, both) in FEATURES.items())} END AS kept
-FROM s LEFT JOIN t USING (lang, source)
+FROM s LEFT JOIN bounds USING (lang, source)
 """
