@@ -38,44 +38,50 @@ def spread_order(spark: SparkSession, n: int) -> DataFrame:
     return first.select(F.row_number().over(Window.orderBy("at")).cast("long").alias("ord"), "grp").withColumn("ord", F.col("ord") - 1)
 
 
-def contains_any(docs: DataFrame, banned: DataFrame, least: int = 30) -> DataFrame:
+def contains_any(docs: DataFrame, banned: DataFrame, least: int = 30, by: str | None = None) -> DataFrame:
     """docs with `overlap`: whether the text holds one of banned(text) of `least` characters or more, as a substring.
 
-    One automaton over all evaluation texts reads each document once, whatever their number. Texts that
-    exceed the size for one automaton are matched in blocks, each over all documents.
+    With `by`, a column of both tables such as the language, only evaluation texts of the document's own value
+    count; a null there meets nothing. One automaton over all evaluation texts reads each document once,
+    whatever their number. Texts that exceed the size for one automaton are matched in blocks, each over all
+    documents.
     """
-    wanted = banned.select("text").where(F.char_length("text") >= least).distinct()
+    own = F.col(by).cast("string") if by else F.lit("")
+    wanted = banned.where(F.char_length("text") >= least).select("text", own.alias("own")).where("own is not null").distinct()
     size = wanted.agg(F.sum(F.char_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BANNED_CHARS))
     overlap = F.lit(False)
     for block in range(blocks):
-        some = [r["text"] for r in wanted.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()]
+        some = [(r["text"], r["own"]) for r in wanted.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()]
         if some:
-            overlap |= _finder(some)(F.coalesce("text", F.lit("")))
+            overlap |= _finder(some)(F.coalesce("text", F.lit("")), own)
     return docs.withColumn("overlap", overlap)
 
 
-def _finder(patterns: list[str]):
+def _finder(patterns: list[tuple[str, str]]):
     built: list = []
 
     @F.pandas_udf("boolean")
-    def found(text: pd.Series) -> pd.Series:
+    def found(text: pd.Series, own: pd.Series) -> pd.Series:
         if not built:
             import ahocorasick
 
+            values: dict[str, set[str]] = {}
+            for p, value in patterns:
+                values.setdefault(p, set()).add(value)
             automaton = ahocorasick.Automaton()
-            for p in patterns:
-                automaton.add_word(p, True)
+            for p, of in values.items():
+                automaton.add_word(p, of)
             automaton.make_automaton()
             built.append(automaton)
-        return text.map(lambda t: next(built[0].iter(t), None) is not None)
+        return pd.Series([any(v in of for _, of in built[0].iter(t)) for t, v in zip(text, own)], dtype=bool)
 
     return found
 
 
-def decontaminate(docs: DataFrame, banned: DataFrame, least: int = 30) -> DataFrame:
-    """docs without those that hold an evaluation text."""
-    return contains_any(docs, banned, least).where(~F.col("overlap")).drop("overlap")
+def decontaminate(docs: DataFrame, banned: DataFrame, least: int = 30, by: str | None = None) -> DataFrame:
+    """docs without those that hold an evaluation text, of their own value of `by` if that is given."""
+    return contains_any(docs, banned, least, by).where(~F.col("overlap")).drop("overlap")
 
 
 def byte_budget_sample(docs: DataFrame, group: Column, n_groups: int, target: int) -> DataFrame:

@@ -75,9 +75,37 @@ def speed_up(rows: DataFrame, base: str) -> DataFrame:
     return rows.withColumn("speed_up", F.try_divide(own, "seconds"))
 
 
-def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Of rows with equal keys the last."""
-    return rows.withColumn("__place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("__place = 1").drop("__place")
+def latest(rows: DataFrame, key: list[str], order: Column) -> DataFrame:
+    """Of rows with equal keys the last by `order`, null first; one aggregate, so hot keys are reduced where they lie."""
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*(c for c in rows.columns if c not in key), F.lit(0).alias("__any")), F.struct(order)).alias("__last"))
+    return last.select(*key, "__last.*").drop("__any").select(*rows.columns)
+
+
+def ordered_distinct(rows: DataFrame, value: str, order: str) -> DataFrame:
+    """(value, order): every distinct value with the place where it is first met."""
+    return rows.groupBy(value).agg(F.min(order).alias(order))
+
+
+def ordinary(rows: DataFrame, column: str) -> DataFrame:
+    """Result rows that have the column; rows of another kind, such as prefill timings, lack it."""
+    return rows.where(F.col(column).isNotNull())
+
+
+def beside(base: DataFrame, extended: DataFrame) -> DataFrame:
+    """base(lang, tax), extended(lang, tax) -> (lang, tax, extended_tax, gain) of languages that both have."""
+    both = base.select("lang", "tax").join(extended.select("lang", F.col("tax").alias("extended_tax")), "lang")
+    return both.withColumn("gain", F.try_divide("tax", "extended_tax"))
+
+
+def with_training(evaluations: DataFrame, training: DataFrame) -> DataFrame:
+    """Evaluation rows with the training row of the same name; arms that were not trained have nulls there."""
+    return evaluations.join(training, "name", "left")
+
+
+def parallel_pairs(texts: DataFrame, source: str, target: str) -> DataFrame:
+    """texts(lang, sent_id, text) -> (sent_id, source, target): the sentences that both languages have."""
+    side = lambda lang, name: texts.where(F.col("lang") == lang).select("sent_id", F.col("text").alias(name))
+    return side(source, "source").join(side(target, "target"), "sent_id")
 
 
 def agree(rows: DataFrame, value: str) -> DataFrame:

@@ -119,6 +119,14 @@ def confine(merges: DataFrame, vocab: DataFrame, marker: Callable[[Column], Colu
         left = next_
 
 
+def learn_confined(words: DataFrame, n: int, vocab: DataFrame, marker: Callable[[Column], Column], base: list[Merge] = (), margin: float = 1.25) -> DataFrame:
+    """Up to n confined merges(rank, left, right): n * margin are learned, as confining drops some of them."""
+    spark = words.sparkSession
+    learned = learn(words, int(n * margin), base, settle=lambda w: staged(w, "words"))
+    merges = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(learned)], "rank int, left string, right string")
+    return confine(merges, vocab, marker).orderBy("rank").limit(n)
+
+
 def in_script(script: str) -> Callable[[Column], Column]:
     """A marker for tokens of hexadecimal bytes: whether they hold the start of a character of the script."""
     return lambda token: T.bytes_in_script(F.unhex(token), script)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions import graphemes
 from tokenloom.functions import text as T
+from tokenloom.functions.rounding import rounded
 from tokenloom.operators import corpus, measure, score, vocabulary
 from tokenloom.session import ship
 from tokenloom.sources import dims
@@ -594,3 +595,79 @@ def speed_up(spark, d):
 def learning_rates(spark, d):
     """A learning-rate schedule: warm-up and cosine, to twelve places."""
     return corpus.learning_rates(spark, 1000, 50, 2e-4).withColumn("rate", F.round("rate", 12))
+
+
+@query(f"""WITH s AS (SELECT lang, CAST(sum({_SQL_FLOOR}) AS BIGINT) AS floor, CAST(sum({_SQL_BYTES}) AS BIGINT) AS tokens, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY lang)
+SELECT lang, round(tokens / (SELECT tokens FROM s WHERE lang = 'en'), 3) AS tax, round(chars / tokens, 3) AS chars_per_token, round(floor / tokens, 4) AS floor_share FROM s""")
+def rounded_tax(spark, d):
+    """Ratios as they are reported: to three places, shares to four."""
+    text = F.col("text")
+    sums = _docs(spark, d, "text", "lang").groupBy("lang").agg(F.sum(T.floor(text)).alias("floor"), F.sum(T.octets(text)).alias("tokens"), F.sum(T.chars(text)).alias("chars"))
+    base = measure.of_base(F.col("tokens"), "en", "one")
+    shares = sums.withColumn("one", F.lit(1)).withColumn("tax", F.try_divide("tokens", base))
+    return shares.select("lang", rounded(F.col("tax"), 3).alias("tax"), rounded(F.try_divide("chars", "tokens"), 3).alias("chars_per_token"), rounded(F.try_divide("floor", "tokens"), 4).alias("floor_share"))
+
+
+@query("SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY source")
+def sources_in_order(spark, d):
+    """Every source with the document that names it first."""
+    return score.ordered_distinct(_docs(spark, d, "doc_id", "source"), "source", "doc_id")
+
+
+@query("SELECT doc_id, source, lang, length(text) AS chars FROM documents QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY doc_id DESC) = 1")
+def latest_rows(spark, d):
+    """The last document of each source and language."""
+    rows = _docs(spark, d).select("doc_id", "source", "lang", T.chars(F.col("text")).alias("chars"))
+    return score.latest(rows, ["source", "lang"], F.col("doc_id"))
+
+
+@query("SELECT d.lang, count(*) AS documents, CAST(sum(l.quality) AS BIGINT) AS good FROM documents d JOIN labels l USING (doc_id) WHERE l.quality IS NOT NULL GROUP BY d.lang")
+def ordinary_rows(spark, d):
+    """Documents by language, without the rows that lack a label."""
+    rows = _docs(spark, d, "doc_id", "lang").join(_table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return score.ordinary(rows, "quality").groupBy("lang").agg(F.count("*").alias("documents"), F.sum("quality").alias("good"))
+
+
+@query(f"""WITH s AS (SELECT lang, sum({_SQL_BYTES}) AS b, sum(length(text)) AS c FROM documents GROUP BY lang),
+t AS (SELECT lang, b / (SELECT b FROM s WHERE lang = 'en') AS tax, c / (SELECT c FROM s WHERE lang = 'en') AS extended_tax FROM s)
+SELECT *, tax / extended_tax AS gain FROM t""")
+def extension_beside_base(spark, d):
+    """The tax of two tokenizers side by side, by language."""
+    return score.beside(_plain_tax(spark, d, FixedCut(1)), _plain_tax(spark, d, Characters()))
+
+
+@query("""WITH t AS (SELECT d.source AS name, count(*) AS steps FROM documents d JOIN labels l USING (doc_id) WHERE l.toxic = 1 GROUP BY ALL)
+SELECT name, e.documents, t.steps FROM (SELECT source AS name, count(*) AS documents FROM documents GROUP BY ALL) e LEFT JOIN t USING (name)""")
+def evaluations_with_training(spark, d):
+    """Rows by name with another table's row of that name, where it has one."""
+    docs = _docs(spark, d, "doc_id", "source").withColumnRenamed("source", "name")
+    toxic = _table(spark, d, "labels").where("toxic = 1").select("doc_id")
+    return score.with_training(docs.groupBy("name").agg(F.count("*").alias("documents")), docs.join(toxic, "doc_id").groupBy("name").agg(F.count("*").alias("steps")))
+
+
+@query("""WITH t AS (SELECT conv_id, role, arg_min(text, turn) AS text FROM conversations GROUP BY ALL)
+SELECT u.conv_id AS sent_id, u.text AS source, a.text AS target FROM t u JOIN t a USING (conv_id) WHERE u.role = 'user' AND a.role = 'assistant'""")
+def parallel_first_turns(spark, d):
+    """The first text of the user and of the assistant of each conversation, paired as translations are."""
+    turns = _table(spark, d, "conversations").groupBy(F.col("conv_id").alias("sent_id"), F.col("role").alias("lang")).agg(F.min_by("text", "turn").alias("text"))
+    return score.parallel_pairs(turns, "user", "assistant")
+
+
+_ITEM_LANG = "CASE item_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE 'es' END"
+
+
+@query(f"SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE length(b.text) >= 30 AND {_ITEM_LANG} = d.lang AND contains(d.text, b.text))")
+def decontaminate_same_lang(spark, d):
+    """Documents that hold no evaluation text of their own language; items are dealt to languages by their number."""
+    banned = _table(spark, d, "benchmark").select("text", F.expr(_ITEM_LANG).alias("lang"))
+    return corpus.decontaminate(_docs(spark, d, "doc_id", "lang", "text"), banned, by="lang").select("doc_id", "lang")
+
+
+@query(f'WITH {_EXTENDED} SELECT CAST(rank AS INTEGER) AS rank, l AS "left", r AS "right" FROM kept WHERE kept ORDER BY rank LIMIT {round(MERGES / 1.2)}')
+def bpe_learn_confined(spark, d):
+    """Confined French merges on top of English ones; more are learned than asked for, since confining drops some."""
+    docs = _docs(spark, d, "text", "lang")
+    base = _learned(spark, d, n=MERGES, texts=docs.where("lang = 'en'"))
+    vocab = spark.createDataFrame([(f"{b:02X}",) for b in range(256)] + [(a + b,) for a, b in base], "token string")
+    words = vocabulary.word_counts(docs.where("lang = 'fr'"))
+    return vocabulary.learn_confined(words, round(MERGES / 1.2), vocab, lambda t: t.rlike("^(?:..)*?[89A-F]"), base, 1.2)

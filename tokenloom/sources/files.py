@@ -5,10 +5,11 @@ from __future__ import annotations
 import html
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.functions import text as T
+from tokenloom.operators.score import latest
 
 QUESTION = "flores_passage string, question string, mc_answer1 string, mc_answer2 string, mc_answer3 string, mc_answer4 string, correct_answer_num string"
 
@@ -34,12 +35,13 @@ def questions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def results(spark: SparkSession, path: str, schema: str, key: list[str], order: str | None = None) -> DataFrame:
-    """Result rows; of those with equal keys the last by `order` (a column of the rows) counts."""
+    """Result rows; of those with equal keys the last counts: by `order`, a column of the rows, else by file name and line."""
     rows = spark.read.schema(schema).json(path)
-    if order is None:
-        return rows.dropDuplicates(key)
-    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order)))
-    return rows.withColumn("__place", place).where("__place = 1").drop("__place")
+    if order is not None:
+        return latest(rows, key, F.col(order))
+    # a split is read in order by one task, so an ascending number tells the lines of a split apart
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    return latest(rows.select("*", place.alias("__at")), key, F.col("__at")).drop("__at")
 
 
 def write_jsonl(docs: DataFrame, path: str) -> DataFrame:
