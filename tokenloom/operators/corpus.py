@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions import text as T
 from tokenloom.operators.running import with_running_sum
+from tokenloom.operators.staged import staged
 
-#: Evaluation texts whose characters together may be sent to every task; more are matched in blocks.
-BANNED_CHARS = 64_000_000
+#: Characters of the evaluation texts in one automaton, about (some 200 MB in a worker); more are matched in passes.
+BANNED_CHARS = 2_000_000
 
 
 def stride_sample(docs: DataFrame, group: Column, groups: int, every: int, holdout: bool = False) -> DataFrame:
@@ -43,19 +44,24 @@ def contains_any(docs: DataFrame, banned: DataFrame, least: int = 30, by: str |
 
     With `by`, a column of both tables such as the language, only evaluation texts of the document's own value
     count; a null there meets nothing. One automaton over all evaluation texts reads each document once,
-    whatever their number. Texts that exceed the size for one automaton are matched in blocks, each over all
-    documents.
+    whatever their number. Texts that exceed the size for one automaton are matched in passes over the
+    documents, a part of the texts in each and the result written between them, so that neither the driver nor
+    a worker ever holds more than one part.
     """
     own = F.col(by).cast("string") if by else F.lit("")
     wanted = banned.where(F.char_length("text") >= least).select("text", own.alias("own")).where("own is not null").distinct()
     size = wanted.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // BANNED_CHARS))
-    overlap = F.lit(False)
-    for block in range(blocks):
-        some = [(r["text"], r["own"]) for r in wanted.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()]
+    passes = max(1, -(-size // BANNED_CHARS))
+    if passes > 1:
+        wanted = staged(wanted, "banned")
+    docs = docs.withColumn("overlap", F.lit(False))
+    for part in range(passes):
+        some = [(r["text"], r["own"]) for r in wanted.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == part).collect()]
         if some:
-            overlap |= _finder(some)(F.coalesce("text", F.lit("")), own)
-    return docs.withColumn("overlap", overlap)
+            docs = docs.withColumn("overlap", F.col("overlap") | _finder(some)(F.coalesce("text", F.lit("")), own))
+            if part + 1 < passes:
+                docs = staged(docs, "overlap")
+    return docs
 
 
 def _finder(patterns: list[tuple[str, str]]):
@@ -88,20 +94,21 @@ def byte_budget_sample(docs: DataFrame, group: Column, n_groups: int, target: in
     """Documents of whole groups in spread order until their bytes reach the target; the group that reaches it stays whole."""
     sized = docs.withColumn("grp", group)
     sizes = sized.groupBy("grp").agg(F.sum(T.octets(F.col("text"))).alias("size"))
-    order = spread_order(docs.sparkSession, n_groups).join(sizes, "grp", "left").withColumn("size", F.coalesce("size", F.lit(0)))
-    picked = order.withColumn("before", F.sum("size").over(Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).where(F.col("before") < target)
-    return sized.join(F.broadcast(picked.select("grp", "ord")), "grp")
+    order = spread_order(docs.sparkSession, n_groups).join(sizes, "grp", "left").withColumn("size", F.coalesce("size", F.lit(0).cast("long")))
+    picked = with_running_sum(order, [], "ord", F.col("size"), "before").where(F.col("before") < target)
+    return sized.join(picked.select("grp", "ord"), "grp")
 
 
-def mixture(docs: DataFrame, caps: dict[str, int]) -> DataFrame:
-    """docs(doc_id, lang, text) of the languages in caps, interleaved so that each keeps its share of bytes.
+def mixture(sized: DataFrame, caps: dict[str, int]) -> DataFrame:
+    """sized(doc_id, lang, size) of the languages in caps, interleaved so that each keeps its share of bytes.
+
+    size is a document's bytes; texts are better joined to the result than carried through it.
 
     A document's place is the share of its language's bytes that go before it; documents beyond a language's
     cap do not take part; equal places go to the language named first. Adds bytes_before, share and rank_lang.
     """
     langs = [*caps]
-    own = docs.where(F.col("lang").isin(langs))
-    own = with_running_sum(own, ["lang"], "doc_id", T.octets(F.col("text")), "bytes_before")
+    own = with_running_sum(sized.where(F.col("lang").isin(langs)), ["lang"], "doc_id", F.col("size"), "bytes_before")
     cap = F.lit(None).cast("long")
     place = F.lit(None).cast("int")
     for i, (lang, most) in enumerate(caps.items()):
@@ -109,6 +116,11 @@ def mixture(docs: DataFrame, caps: dict[str, int]) -> DataFrame:
     return own.where(F.col("bytes_before") < cap).withColumns({"share": F.col("bytes_before") / cap, "rank_lang": place})
 
 
+def in_mixed_order(mixed: DataFrame, value: Column, name: str) -> DataFrame:
+    """mixed with `name`: the sum of value over the rows before in the mixture's order."""
+    return with_running_sum(mixed, [], "share", value, name, then=("rank_lang", "doc_id"))
+
+
 def seeded_order(key: Column, seed: int) -> Column:
     """A repeatable shuffle order of keys."""
     return F.xxhash64(key, F.lit(seed))

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 CHUNK_ROWS, LEAST_CHUNKS, MOST_CHUNKS = 500_000, 64, 4096
 
 
-def with_running_sum(rows: DataFrame, by: list[str], order: str, value: Column, name: str) -> DataFrame:
-    """rows with `name`: the sum of value over the group's rows before this one in the order of a unique integer column.
+def with_running_sum(rows: DataFrame, by: list[str], order: str, value: Column, name: str, then: tuple[str, ...] = ()) -> DataFrame:
+    """rows with `name`: the sum of value over the group's rows before this one in the order of a column of numbers.
+
+    The column must be unique unless `then` names columns that order its equal values; those share a chunk.
 
     A group of any size is cut into chunks at quantiles of the order; only the chunks' sums are summed over the
     whole group. Groups are joined without hints: their few rows are broadcast while they are small, and a
@@ -23,5 +25,5 @@ def with_running_sum(rows: DataFrame, by: list[str], order: str, value: Column,
     placed = placed.withColumn("__chunk", F.size(F.filter("__cuts", lambda c: c < F.col(order)))).drop("__cuts").withColumn("__value", value)
     sums = placed.groupBy(*by, "__chunk").agg(F.sum("__value").alias("__sum"))
     before = sums.select(*by, "__chunk", (F.sum("__sum").over(Window.partitionBy(*by).orderBy("__chunk")) - F.col("__sum")).alias("__before"))
-    own = F.sum("__value").over(Window.partitionBy(*by, "__chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__value")
+    own = F.sum("__value").over(Window.partitionBy(*by, "__chunk").orderBy(order, *then).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__value")
     return placed.withColumn("__own", own).join(before, [*by, "__chunk"]).withColumn(name, F.col("__before") + F.col("__own")).drop("__own", "__before", "__value", "__chunk")

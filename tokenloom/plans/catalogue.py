@@ -15,6 +15,7 @@ from tokenloom.functions import graphemes
 from tokenloom.functions import text as T
 from tokenloom.functions.rounding import rounded
 from tokenloom.operators import corpus, measure, score, vocabulary
+from tokenloom.operators.staged import staged
 from tokenloom.session import ship
 from tokenloom.sources import dims
 from tokenloom.sources.tokenizers import Characters, FixedCut, Library, PreTokens, Ranks
@@ -319,22 +320,24 @@ m AS (SELECT *, row_number() OVER (ORDER BY bytes_before / cap, rank_lang, doc_i
 
 
 def _mixed(spark, d) -> DataFrame:
-    mixed = corpus.mixture(_docs(spark, d, "doc_id", "lang", "text"), CAPS).withColumn("n_tokens", T.floor(F.col("text")))
-    order = F.struct("share", "rank_lang", "doc_id")
-    return mixed.select("doc_id", "lang", "n_tokens", F.col("bytes_before").cast("long").alias("bytes_before"), order.alias("order"))
+    """The mixture without texts, which are read once; later steps read its few numbers a row."""
+    text = F.col("text")
+    sized = _docs(spark, d, "doc_id", "lang", "text").where(F.col("lang").isin([*CAPS])).select("doc_id", "lang", T.octets(text).alias("size"), T.floor(text).alias("n_tokens"))
+    return staged(corpus.mixture(staged(sized, "sized"), CAPS), "mixed")
 
 
 @query(f"WITH {_MIX} SELECT doc_id, lang, CAST(bytes_before AS BIGINT) AS bytes_before, place FROM m")
 def mixture_order(spark, d):
     """Two languages interleaved by their shares of bytes; the caps bound what is numbered."""
-    return _mixed(spark, d).select("doc_id", "lang", "bytes_before", (F.expr("row_number() over (order by `order`)") - 1).cast("long").alias("place"))
+    placed = corpus.in_mixed_order(_mixed(spark, d), F.lit(1).cast("long"), "place")
+    return placed.select("doc_id", "lang", F.col("bytes_before").cast("long").alias("bytes_before"), "place")
 
 
 @query(f"WITH {_MIX}, b AS (SELECT doc_id, lang, place, n_tokens, sum(n_tokens) OVER (ORDER BY place) - n_tokens AS tokens_before FROM m) SELECT doc_id, lang, CAST(tokens_before AS BIGINT) AS tokens_before FROM b WHERE tokens_before < 50000")
 def token_budget_prefix(spark, d):
     """The mixture up to a budget of tokens."""
-    run = _mixed(spark, d).select("doc_id", "lang", F.expr("sum(n_tokens) over (order by `order`) - n_tokens").cast("long").alias("tokens_before"))
-    return run.where("tokens_before < 50000")
+    run = corpus.in_mixed_order(_mixed(spark, d), F.col("n_tokens"), "tokens_before")
+    return run.select("doc_id", "lang", F.col("tokens_before").cast("long").alias("tokens_before")).where("tokens_before < 50000")
 
 
 _BLOCKS = f"""n AS (SELECT doc_id, {_SQL_FLOOR} AS k FROM documents), a AS (SELECT doc_id, k, sum(k) OVER (ORDER BY doc_id) - k AS pos FROM n),
