@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from tokenloom.llm import jaccard_join
 from tokenloom.llm.common import WordHashes, shingles
 from tokenloom.llm.components import connected_components
 from tokenloom.llm.jaccard_join import Bands, JaccardJoin, one_of_each, signatures
@@ -80,7 +81,10 @@ def test_linked_sets_always_share_a_signature():
                 assert len(np.intersect1d(signatures(a, bands), signatures(b, bands)))
 
 
-def test_hot_group_of_near_copies(spark):
+@pytest.mark.parametrize("share,least", [(32, 256), (1, 2)])
+def test_hot_group_of_near_copies(spark, monkeypatch, share, least):
+    monkeypatch.setattr(jaccard_join, "HOT_SHARE", share)
+    monkeypatch.setattr(jaccard_join, "HOT_ROWS", least)
     base = [f"w{i}" for i in range(80)]
     rows = [(d, " ".join(base[:i] + [f"x{d}"] + base[i + 1 :])) for d, i in enumerate(random.Random(7).choices(range(80), k=400))]
     rows += [(1000 + d, " ".join(base)) for d in range(300)]

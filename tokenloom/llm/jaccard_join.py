@@ -33,6 +33,9 @@ from tokenloom.llm.components import connected_components
 SALT_ROWS = 256
 #: Members of a signature that are compared with each other in one group; more are split into blocks, and blocks meet in pairs.
 BLOCK_ROWS = 1024
+#: A signature is hot if one in HOT_SHARE documents holds it HOT_ROWS times; its rows are then dealt to HOT_PARTS tasks.
+#: Which ones are hot decides where rows lie and not what is found; of more than HOT_SIGNATURES the hottest are taken.
+HOT_SHARE, HOT_ROWS, HOT_PARTS, HOT_SIGNATURES = 32, 256, 256, 100_000
 #: Bytes of the sketches that travel with the members of signatures, of sets of up to 1,023 features.
 SMALL_BLOCKS = 256
 _ONE = np.uint64(1)
@@ -304,10 +307,22 @@ class JaccardJoin:
         drop_staged(*self.staged)
         self.staged.clear()
 
+    def _shared(self) -> DataFrame:
+        """(sig, doc) of signatures with two documents or more.
+
+        Hot signatures are known to be shared from the documents that show them to be hot, so their rows need
+        not meet in one task.
+        """
+        rows = self.prepared.where("sigs is not null and doc_id is not null").select(F.col("doc_id").alias("doc"), F.explode("sigs").alias("sig"))
+        some = rows.where(F.pmod(F.xxhash64("doc", F.lit(11)), F.lit(HOT_SHARE)) == 0).groupBy("sig").agg(F.count("*").alias("c"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+        hot = some.where(f"c >= {HOT_ROWS} and lo <> hi").orderBy(F.desc("c"), "sig").limit(HOT_SIGNATURES).select("sig", F.lit(True).alias("hot"))
+        dealt = rows.join(F.broadcast(hot), "sig", "left").selectExpr("sig", "doc", f"if(hot, pmod(xxhash64(doc), {HOT_PARTS}) + 1, 0) part")
+        ends = dealt.selectExpr("sig", "doc", "part", "min(doc) over (partition by sig, part) lo", "max(doc) over (partition by sig, part) hi")
+        return ends.where("part > 0 or lo <> hi").select("sig", "doc")
+
     def _buckets(self) -> DataFrame:
         """(sig, doc) of signatures with two texts or more, one signature for each set of members."""
-        rows = self.prepared.where("sigs is not null and doc_id is not null").select(F.col("doc_id").alias("doc"), F.explode("sigs").alias("sig"))
-        members = rows.selectExpr("sig", "doc", "min(doc) over (partition by sig) lo", "max(doc) over (partition by sig) hi").where("lo <> hi").select("sig", "doc")
+        members = self._shared()
         rep = self.prepared.where("sigs is not null").select("doc_id", "fp").join(self.copies, "fp").select(F.col("doc_id").alias("doc"), "rep").distinct()
         members = members.join(rep, "doc").select("sig", F.col("rep").alias("doc")).distinct()
         members = stage(members, "members")  # dropped below
