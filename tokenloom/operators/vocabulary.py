@@ -6,18 +6,23 @@ string replacement from the left, which is what byte-pair encoding does with a p
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions import text as T
-from tokenloom.operators.staged import staged
+from tokenloom.operators.staged import staged, unstaged
 
 Merge = tuple[str, str]
 #: Pairs looked at in one step of the learner, the most frequent ones.
 TOP_PAIRS = 256
+#: Merges that are applied as nested replacements; more are applied by rank, over Arrow batches. The learner
+#: writes its words after as many.
+NESTED = 64
 
 
 def word_counts(texts: DataFrame, keep: Callable[[Column], Column] | None = None, pattern: str = T.PATTERN) -> DataFrame:
@@ -40,11 +45,45 @@ def symbols(marked: Column) -> Column:
 
 def merged(marked: Column, merges: Iterable[Merge]) -> Column:
     """marked after the merges, in order."""
+    merges = [*merges]
+    if len(merges) > NESTED:
+        return _by_rank(merges)(marked)
     for a, b in merges:
         marked = F.replace(marked, F.lit(f"<{a}><{b}>"), F.lit(f"<{a}{b}>"))
     return marked
 
 
+def replayed(own: list[str], merges: list[Merge], ranks: dict[Merge, list[int]]) -> list[str]:
+    """Symbols after all merges in order, looking only at those whose pair occurs; ranks holds the places of each pair."""
+    last = -1
+    while len(own) > 1:
+        nexts = (r[k] for p in zip(own, own[1:]) if (r := ranks.get(p)) and (k := bisect_right(r, last)) < len(r))
+        last = min(nexts, default=None)
+        if last is None:
+            break
+        a, b = merges[last]
+        out, i = [], 0
+        while i < len(own):
+            pair = own[i] == a and i + 1 < len(own) and own[i + 1] == b
+            out.append(a + b if pair else own[i])
+            i += 2 if pair else 1
+        own = out
+    return own
+
+
+def _by_rank(merges: list[Merge]):
+    ranks: dict[Merge, list[int]] = {}
+
+    @F.pandas_udf("string")
+    def apply(marked: pd.Series) -> pd.Series:
+        if not ranks:
+            for i, m in enumerate(merges):
+                ranks.setdefault(tuple(m), []).append(i)
+        return marked.map(lambda m: "<" + "><".join(replayed(m[1:-1].split("><"), merges, ranks)) + ">" if m else m, na_action="ignore")
+
+    return apply
+
+
 def pair_counts(words: DataFrame) -> DataFrame:
     """words(marked, n) -> (left, right, count): how often each pair of symbols stands side by side."""
     s = words.select(symbols(F.col("marked")).alias("s"), "n").where(F.size("s") > 1)
@@ -57,42 +96,57 @@ def ranked_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.orderBy(F.desc("count"), "left", "right")
 
 
-def learn(words: DataFrame, n: int, base: list[Merge] = (), least: int = 2, settle: Callable[[DataFrame], DataFrame] | None = None) -> list[Merge]:
+def learn(words: DataFrame, n: int, base: list[Merge] = (), least: int = 2) -> list[Merge]:
     """Up to n merges that continue base on words(word, n); learning stops below `least` occurrences.
 
-    A step counts all pairs where the words lie and takes as many merges from the top as are certain: a pair
-    follows the ones taken before it if no pair at least as frequent shares a symbol with them, since merging
-    changes only such pairs and makes none more frequent than them. So the result is that of one merge a step.
-    settle, if given, is applied to the words after each step, to cut their lineage.
+    A step counts all pairs where the words lie and takes as many merges from the top as are certain, so the
+    result is that of one merge a step. After every NESTED merges or more the words are written, which ends
+    their lineage, and what was written before is deleted.
     """
     words = words.select(merged(bytes_as_symbols(F.col("word")), base).alias("marked"), "n")
     made: list[Merge] = []
+    since, written = 0, None
     while len(made) < n:
         top = [(r["left"], r["right"], r["count"]) for r in ranked_pairs(pair_counts(words)).limit(TOP_PAIRS).collect()]
-        step = certain_merges(top, n - len(made), least, whole=len(top) < TOP_PAIRS)
+        step = certain_merges(top, n - len(made), least, len(top) < TOP_PAIRS, {a + b for a, b in [*base, *made]})
         if not step:
             break
         made += step
         words = words.select(merged(F.col("marked"), step).alias("marked"), "n")
-        words = settle(words) if settle else words
+        since += len(step)
+        if since >= NESTED and len(made) < n:
+            words, before = staged(words, "words"), written
+            if before is not None:
+                unstaged(before)
+            since, written = 0, words
+    if written is not None:
+        unstaged(written)
     return made
 
 
-def certain_merges(top: list[tuple[str, str, int]], most: int, least: int, whole: bool) -> list[Merge]:
-    """The longest run of merges from ranked pairs that counting again after each would give too."""
+def certain_merges(top: list[tuple[str, str, int]], most: int, least: int, whole: bool, known: Iterable[str] = ()) -> list[Merge]:
+    """The longest run of merges from ranked pairs that counting again after each would give too.
+
+    Merging (a, b) makes pairs rarer that end in a or begin with b, and no others; the new pairs are no more
+    frequent than the ones they come from. So a pair stays next in rank while it, and all as frequent, are not
+    of that kind. If the new symbol was there before (known), its old pairs grow, and the run ends with it.
+    """
     out: list[Merge] = []
-    touched: set[str] = set()
-    for at, (a, b, n) in enumerate(top):
+    lefts, rights, symbols_made = set(), set(), {*known}
+    for a, b, n in top:
         if len(out) == most or n < least:
             break
         if out:
             equals = [p for p in top if p[2] == n]
-            if {a, b} & touched or any({p, q} & touched for p, q, _ in equals) or (not whole and equals[-1] == top[-1]):
+            if any(p in rights or q in lefts for p, q, _ in equals) or (not whole and equals[-1] == top[-1]):
                 break
         out.append((a, b))
-        touched |= {a, b, a + b}
-        if a == b:  # a run of one symbol: its new pairs can rank anywhere below
+        lefts.add(a)
+        rights.add(b)
+        # in a run of one symbol the new pairs can rank anywhere below
+        if a == b or a + b in symbols_made:
             break
+        symbols_made.add(a + b)
     return out
 
 
@@ -122,7 +176,7 @@ def confine(merges: DataFrame, vocab: DataFrame, marker: Callable[[Column], Colu
 def learn_confined(words: DataFrame, n: int, vocab: DataFrame, marker: Callable[[Column], Column], base: list[Merge] = (), margin: float = 1.25) -> DataFrame:
     """Up to n confined merges(rank, left, right): n * margin are learned, as confining drops some of them."""
     spark = words.sparkSession
-    learned = learn(words, int(n * margin), base, settle=lambda w: staged(w, "words"))
+    learned = learn(words, int(n * margin), base)
     merges = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(learned)], "rank int, left string, right string")
     return confine(merges, vocab, marker).orderBy("rank").limit(n)
 
