@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenloom.llm import chat_format, quality_rules, spot_signatures, warc
+from tokenloom.llm import chat_format, conversation_repair, periodic_runs, quality_rules, spot_signatures, warc
+from tokenloom.llm.best_fit import best_fit
 from tokenloom.llm.bpe import encode_documents
 from tokenloom.llm.common import table
 from tokenloom.llm.jaccard_join import JaccardJoin
@@ -69,6 +70,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_lengths(table(spark, sf_dir, "documents"), WORD_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_store, op3_ngram_jaccard_join, op4_chat_format, op5_warc, op6_spot_signatures, op7_toxicity, op8_quality_classifier, op9_bpe, op10_packing)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words of every document, one in ten of them with a looped tail."""
+    return periodic_runs.run_digests(table(spark, sf_dir, "documents"))
 
-SQL: dict[str, str] = {"op1_quality_rules": quality_rules.SQL, "op4_chat_format": chat_format.SQL, "op5_warc": warc.SQL}
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text of every conversation after damage."""
+    return conversation_repair.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in sequences of 4,096 tokens."""
+    return best_fit(table(spark, sf_dir, "documents"), WORD_BPE, end_id=1)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_store, op3_ngram_jaccard_join, op4_chat_format, op5_warc, op6_spot_signatures, op7_toxicity, op8_quality_classifier, op9_bpe, op10_packing, op11_periodic_runs, op12_conversation_repair, op13_best_fit_packing)}
+
+SQL: dict[str, str] = {"op1_quality_rules": quality_rules.SQL, "op4_chat_format": chat_format.SQL, "op5_warc": warc.SQL, "op11_periodic_runs": periodic_runs.SQL, "op12_conversation_repair": conversation_repair.SQL}
