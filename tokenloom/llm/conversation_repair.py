@@ -414,15 +414,15 @@ keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ')
 hashed AS (SELECT *, xor(list_reduce(list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT), lambda x, b: xor(x >> 8, t[(xor(x, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 20 AS k FROM keyed, crc_table),
 damaged AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
   unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM hashed WHERE k <> 0),
-rows_ AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(role || chr(0) || text), copy) AS at, regexp_replace(text, '[ \t-\r]+', '', 'g') AS bare FROM damaged),
-faults AS (SELECT *, bare = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY at) > 1 AS again, right(bare, 1) NOT IN ('.', '!', '?') AS open,
-  lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY at) AS next FROM rows_),
-sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(NOT blank AND again) AS duplicate, count_if(NOT blank AND NOT again AND open) AS truncated,
-  count_if(next IS NOT NULL AND left(role, 1) || next NOT IN ('su', 'ua', 'au')) AS illegal,
-  list({{ins: false, i: left(role, 1), forced: blank OR again, more: CASE WHEN open THEN 1 ELSE 0 END, role: role, text: text}} ORDER BY at) AS turns FROM faults GROUP BY conv_id),
-nothing AS (SELECT {{ins: true, i: '', forced: false, more: 0, role: '', text: ''}} AS e, {{c: 1000000000, a: '', t: []::VARCHAR[]}} AS far),
+rows_ AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(role || chr(0) || text), copy) AS pos, regexp_replace(text, '[ \t-\r]+', '', 'g') AS bare FROM damaged),
+faults AS (SELECT *, bare = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again, right(bare, 1) NOT IN ('.', '!', '?') AS cut_,
+  lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS follows FROM rows_),
+sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(NOT blank AND again) AS duplicate, count_if(NOT blank AND NOT again AND cut_) AS truncated,
+  count_if(follows IS NOT NULL AND left(role, 1) || follows NOT IN ('su', 'ua', 'au')) AS illegal,
+  list({{ins: false, i: left(role, 1), forced: blank OR again, more: CASE WHEN cut_ THEN 1 ELSE 0 END, role: role, text: text}} ORDER BY pos) AS turns FROM faults GROUP BY conv_id),
+nothing AS (SELECT {{ins: true, i: '', forced: false, more: 0, role: '', text: ''}} AS gap, {{c: 1000000000, a: '', t: []::VARCHAR[]}} AS far),
 folded AS (SELECT conv_id, gaps, blank, duplicate, truncated, illegal,
-  list_reduce(list_concat(flatten(list_transform(turns, lambda x: [e, e, x])), [e, e]), lambda v, e: {_dp_sql()}, {{s0: {{c: 0, a: '', t: []::VARCHAR[]}}, s1: far, s2: far, s3: far}}) AS v FROM sums, nothing),
+  list_reduce(list_concat(flatten(list_transform(turns, lambda x: [gap, gap, x])), [gap, gap]), lambda v, e: {_dp_sql()}, {{s0: {{c: 0, a: '', t: []::VARCHAR[]}}, s1: far, s2: far, s3: far}}) AS v FROM sums, nothing),
 best AS (SELECT *, list_min([v.s0, v.s3]) AS b FROM folded)
 SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
   coalesce(b.c, 0)::BIGINT AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(array_to_string(b.t, chr(10)), '')) AS repaired_sha256

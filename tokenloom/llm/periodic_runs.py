@@ -187,30 +187,30 @@ def with_runs(docs: DataFrame, text: Column, name: str = "found") -> DataFrame:
     return docs.withColumn(name, _found(text.cast("string")))
 
 
-def looped_text(doc_id: Column, text: Column) -> Column:
-    """The text, or, for one id in ten by its crc32, its words with a tail that repeats with one period.
+def with_loops(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) with one id in ten, by its crc32, having a tail of words that repeats with one period.
 
     With h the crc32 of the decimal id, g = h div 10 and n words: if h is a multiple of 10, each word i >= a
     becomes word a + (i - a) % p, where a = g % n and p = 1 + (n - a) div (3 + g % 8). The words are then
     joined by one space. Texts without words and rows without an id stay as they are.
     """
-    h = F.crc32(doc_id.cast("string").cast("binary"))
-    words = F.filter(F.split(text, "[ \\t-\\r]+"), lambda w: w != "")
-    g, n = F.floor(h / 10).cast("long"), F.size(words).cast("long")
-    a = g % n
-    p = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
-    tail = F.transform(F.sequence(F.lit(0).cast("long"), n - a - 1), lambda i: F.get(words, (a + i % p).cast("int")))
-    looped = F.array_join(F.concat(F.slice(words, F.lit(1), a.cast("int")), tail), " ")
-    return F.when((h % 10 == 0) & (n > 0), looped).otherwise(text)
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", "[ \\t-\\r]+"), lambda w: w != "")
+    rows = docs.select("doc_id", "text", F.floor(h / 10).cast("long").alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    rows = rows.select("doc_id", "text", "words", "g", F.size("words").cast("long").alias("n"), (F.col("g") % F.nullif(F.size("words"), F.lit(0))).alias("a"))
+    rows = rows.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    # the words are a column of their own, so that they are cut once and not for each place
+    looped = F.expr("array_join(concat(slice(words, 1, int(a)), transform(sequence(0L, n - a - 1), i -> get(words, int(a + i % p)))), ' ')")
+    return rows.select("doc_id", F.when(F.col("n") > 0, looped).otherwise(F.col("text")).alias("text"))
 
 
 def run_digests(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text), looped by looped_text(): the number of runs, the longest one and digests, a row for each row.
+    """docs(doc_id, text), looped by with_loops(): the number of runs, the longest one and digests, a row for each row.
 
     start, length, period and exponent_milli describe the longest run (ties: smallest start, then period) and
     are null without one; the digests are never null. Odd rows as in with_runs().
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), looped_text(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("text"))
+    rows = with_loops(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     rows = with_runs(rows, F.col("text")).select("doc_id", "found.n_words", "found.runs", "found.collapsed")
     longest = F.element_at(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("start"), r["period"].alias("period")))), 1)
     lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
