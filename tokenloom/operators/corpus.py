@@ -4,17 +4,14 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions import text as T
+from tokenloom.operators.overlap import overlapping_keys
 from tokenloom.operators.running import with_running_sum
 from tokenloom.operators.staged import staged
 
-#: Characters of the evaluation texts in one automaton, about (some 200 MB in a worker); more are matched in passes.
-BANNED_CHARS = 2_000_000
-
 
 def stride_sample(docs: DataFrame, group: Column, groups: int, every: int, holdout: bool = False) -> DataFrame:
     """Rows of `groups` groups, every `every`-th one; a held-out sample begins half a stride later.
@@ -43,46 +40,19 @@ def contains_any(docs: DataFrame, banned: DataFrame, least: int = 30, by: str |
     """docs with `overlap`: whether the text holds one of banned(text) of `least` characters or more, as a substring.
 
     With `by`, a column of both tables such as the language, only evaluation texts of the document's own value
-    count; a null there meets nothing. One automaton over all evaluation texts reads each document once,
-    whatever their number. Texts that exceed the size for one automaton are matched in passes over the
-    documents, a part of the texts in each and the result written between them, so that neither the driver nor
-    a worker ever holds more than one part.
+    count; a null there meets nothing. Null texts hold nothing. The texts that overlap are found by anchors
+    (operators/overlap.py) and joined to the documents by a digest, so copies are compared as one.
     """
     own = F.col(by).cast("string") if by else F.lit("")
     wanted = banned.where(F.char_length("text") >= least).select("text", own.alias("own")).where("own is not null").distinct()
-    size = wanted.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    passes = max(1, -(-size // BANNED_CHARS))
-    if passes > 1:
-        wanted = staged(wanted, "banned")
-    docs = docs.withColumn("overlap", F.lit(False))
-    for part in range(passes):
-        some = [(r["text"], r["own"]) for r in wanted.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == part).collect()]
-        if some:
-            docs = docs.withColumn("overlap", F.col("overlap") | _finder(some)(F.coalesce("text", F.lit("")), own))
-            if part + 1 < passes:
-                docs = staged(docs, "overlap")
-    return docs
-
-
-def _finder(patterns: list[tuple[str, str]]):
-    built: list = []
-
-    @F.pandas_udf("boolean")
-    def found(text: pd.Series, own: pd.Series) -> pd.Series:
-        if not built:
-            import ahocorasick
-
-            values: dict[str, set[str]] = {}
-            for p, value in patterns:
-                values.setdefault(p, set()).add(value)
-            automaton = ahocorasick.Automaton()
-            for p, of in values.items():
-                automaton.add_word(p, of)
-            automaton.make_automaton()
-            built.append(automaton)
-        return pd.Series([any(v in of for _, of in built[0].iter(t)) for t, v in zip(text, own)], dtype=bool)
-
-    return found
+    texts = docs.select("text", own.alias("own"), F.sha2(F.col("text").cast("binary"), 256).alias("key")).where("text is not null and own is not null")
+    found = staged(overlapping_keys(texts, wanted, least).select(F.col("key").alias("__key"), F.col("own").alias("__found")), "overlap")
+    # rows without a key are spread over the join by the partition they come from
+    spread = F.concat(F.lit("-"), F.spark_partition_id().cast("string"))
+    keyed = docs.withColumns({"__text_key": F.coalesce(F.sha2(F.col("text").cast("binary"), 256), spread), "__own": F.coalesce(own, F.lit(""))})
+    joined = keyed.join(found, (F.col("__text_key") == F.col("__key")) & (F.col("__own") == F.col("__found")), "left")
+    joined = joined.withColumn("overlap", F.col("__key").isNotNull() & own.isNotNull())
+    return joined.drop("__text_key", "__own", "__key", "__found")
 
 
 def decontaminate(docs: DataFrame, banned: DataFrame, least: int = 30, by: str | None = None) -> DataFrame:

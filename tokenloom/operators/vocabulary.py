@@ -15,14 +15,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions import text as T
+from tokenloom.operators.learner import MOST_PAIRS, MOST_SEGMENTS, learned_round
 from tokenloom.operators.staged import staged, unstaged
 
 Merge = tuple[str, str]
-#: Pairs looked at in one step of the learner, the most frequent ones.
+#: Pairs looked at in a round of the learner, at least.
 TOP_PAIRS = 256
-#: Merges that are applied as nested replacements; more are applied by rank, over Arrow batches. The learner
-#: writes its words after as many.
-NESTED = 64
+#: Merges that are applied as nested replacements; more are applied by rank, over Arrow batches.
+NESTED = 8
 
 
 def word_counts(texts: DataFrame, keep: Callable[[Column], Column] | None = None, pattern: str = T.PATTERN) -> DataFrame:
@@ -96,31 +96,32 @@ def ranked_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.orderBy(F.desc("count"), "left", "right")
 
 
-def learn(words: DataFrame, n: int, base: list[Merge] = (), least: int = 2) -> list[Merge]:
+def learn(words: DataFrame, n: int, base: list[Merge] = (), least: int = 2, most_pairs: int = MOST_PAIRS, most_segments: int = MOST_SEGMENTS) -> list[Merge]:
     """Up to n merges that continue base on words(word, n); learning stops below `least` occurrences.
 
-    A step counts all pairs where the words lie and takes as many merges from the top as are certain, so the
-    result is that of one merge a step. After every NESTED merges or more the words are written, which ends
-    their lineage, and what was written before is deleted.
+    The result is that of one merge a step: a round makes as many as the counts of its frequent stretches decide
+    (operators/learner.py). Where more pairs are equally frequent than a round may hold, it makes those that
+    are certain from the counts alone. Words are written after each round, and what was written before is deleted.
     """
-    words = words.select(merged(bytes_as_symbols(F.col("word")), base).alias("marked"), "n")
+    words = staged(words.select(merged(bytes_as_symbols(F.col("word")), base).alias("marked"), "n"), "words")
     made: list[Merge] = []
-    since, written = 0, None
+    known, looked = {a + b for a, b in base}, most_pairs
     while len(made) < n:
-        top = [(r["left"], r["right"], r["count"]) for r in ranked_pairs(pair_counts(words)).limit(TOP_PAIRS).collect()]
-        step = certain_merges(top, n - len(made), least, len(top) < TOP_PAIRS, {a + b for a, b in [*base, *made]})
-        if not step:
+        top = [(r["left"], r["right"], r["count"]) for r in ranked_pairs(pair_counts(words)).limit(looked + 1).collect()]
+        whole = len(top) <= looked or top[-1][2] < least
+        top = [t for t in top if t[2] >= least]
+        if not top:
             break
+        step, used = learned_round(words, top, whole, n - len(made), least, {*known}, most_segments)
+        if not step:
+            step = certain_merges(top, n - len(made), least, whole, known)
         made += step
-        words = words.select(merged(F.col("marked"), step).alias("marked"), "n")
-        since += len(step)
-        if since >= NESTED and len(made) < n:
-            words, before = staged(words, "words"), written
-            if before is not None:
-                unstaged(before)
-            since, written = 0, words
-    if written is not None:
-        unstaged(written)
+        known |= {a + b for a, b in step}
+        looked = min(most_pairs, max(TOP_PAIRS, 4 * used))
+        if len(made) < n:
+            words, before = staged(words.select(merged(F.col("marked"), step).alias("marked"), "n"), "words"), words
+            unstaged(before)
+    unstaged(words)
     return made
 
 
