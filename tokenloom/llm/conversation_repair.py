@@ -38,7 +38,6 @@ CHUNK, CHUNK_CHARS = 2048, 1 << 20
 #: Chunks that are joined in one group of a round.
 FAN = 16
 _SPACE = " \t\n\x0b\x0c\r"
-_PLAIN = str.maketrans("JS", "IR")
 
 Element = tuple[int, str] | None
 Matrix = tuple[tuple[Element, ...], ...]
@@ -195,57 +194,61 @@ def _result(found: Segment, sha256: str | None) -> dict:
     return own | {c: getattr(found, c) for c in ("blank", "duplicate", "truncated", "illegal")}
 
 
-def _pieces(batches):
-    """Sorted turns -> a finished row for each conversation that lies whole in this task, chunks of the others."""
-    part, seq, n_convs = TaskContext.get().partitionId(), 0, 0
-    conv, long, chars = None, False, 0
-    held: tuple[list, list, list, list] = ([], [], [], [])
-    rows: list[dict] = []
-
-    def chunk():
-        nonlocal seq, chars
-        rows.append({"conv_id": conv, "part": part, "seq": seq, "whole": False, **dict(zip(("turns", "roles", "texts", "digests"), map(list, held)))})
-        seq, chars = seq + 1, 0
-        for column in held:
-            column.clear()
-
-    def finished(last: bool):
-        if not held[0]:
-            return
-        if long or last or n_convs == 1:
-            return chunk()
-        seen, repeated = set(), []
-        for digest in held[3]:
-            repeated.append(digest in seen)
-            seen.add(digest)
-        found = Segment.of(*held[:3], repeated)
-        own = _result(found, None)
-        own["repaired_sha256"] = hashlib.sha256("\n".join(repaired_lines(held[1], held[2], own["audit"])).encode()).hexdigest()
-        rows.append({"conv_id": conv, "part": part, "whole": True, **own})
-        for column in held:
-            column.clear()
-
-    def written(least: int):
-        nonlocal rows
-        if rows and (len(rows) >= least or not rows[-1]["whole"]):
-            out, rows = pa.RecordBatch.from_pylist(rows, schema=_PIECES), []
-            yield out
-
-    for batch in batches:
-        for row in batch.to_pylist():
-            if not n_convs or row["conv_id"] != conv:
-                finished(False)
-                conv, long, chars, n_convs = row["conv_id"], False, 0, n_convs + 1
-                yield from written(512)
-            for column, name in zip(held, ("turn", "role", "text", "digest")):
-                column.append(row[name])
-            chars += len(row["text"])
-            if len(held[0]) >= CHUNK or chars >= CHUNK_CHARS:
-                long = True
-                chunk()
-                yield from written(1)
-    finished(True)
-    yield from written(1)
+def _pieces(most: int):
+    """Sorted turns -> a finished row for each conversation that lies whole in this task, chunks of at most `most` turns of the others."""
+
+    def run(batches):
+        part, seq, n_convs = TaskContext.get().partitionId(), 0, 0
+        conv, long, chars = None, False, 0
+        held: tuple[list, list, list, list] = ([], [], [], [])
+        rows: list[dict] = []
+
+        def chunk():
+            nonlocal seq, chars
+            rows.append({"conv_id": conv, "part": part, "seq": seq, "whole": False, **dict(zip(("turns", "roles", "texts", "digests"), map(list, held)))})
+            seq, chars = seq + 1, 0
+            for column in held:
+                column.clear()
+
+        def finished(last: bool):
+            if not held[0]:
+                return
+            if long or last or n_convs == 1:
+                return chunk()
+            seen, repeated = set(), []
+            for digest in held[3]:
+                repeated.append(digest in seen)
+                seen.add(digest)
+            found = Segment.of(*held[:3], repeated)
+            own = _result(found, None)
+            own["repaired_sha256"] = hashlib.sha256("\n".join(repaired_lines(held[1], held[2], own["audit"])).encode()).hexdigest()
+            rows.append({"conv_id": conv, "part": part, "whole": True, **own})
+            for column in held:
+                column.clear()
+
+        def written(least: int):
+            nonlocal rows
+            if rows and (len(rows) >= least or not rows[-1]["whole"]):
+                out, rows = pa.RecordBatch.from_pylist(rows, schema=_PIECES), []
+                yield out
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if not n_convs or row["conv_id"] != conv:
+                    finished(False)
+                    conv, long, chars, n_convs = row["conv_id"], False, 0, n_convs + 1
+                    yield from written(512)
+                for column, name in zip(held, ("turn", "role", "text", "digest")):
+                    column.append(row[name])
+                chars += len(row["text"])
+                if len(held[0]) >= most or chars >= CHUNK_CHARS:
+                    long = True
+                    chunk()
+                    yield from written(1)
+        finished(True)
+        yield from written(1)
+
+    return run
 
 
 def _node(key: dict, found: Segment) -> dict:
@@ -327,7 +330,7 @@ def _kind(schema: pa.Schema):
     return from_arrow_schema(schema)
 
 
-def _long_conversations(chunks: DataFrame) -> DataFrame:
+def _long_conversations(chunks: DataFrame, fan: int) -> DataFrame:
     """The results of the conversations that lie in chunks."""
     # a turn repeated in its own chunk is known there; one row for each different turn of a chunk is compared with the others
     turns = chunks.select("conv_id", "part", "seq", F.posexplode("digests").alias("at", "digest"))
@@ -341,14 +344,14 @@ def _long_conversations(chunks: DataFrame) -> DataFrame:
     for column, others, most in (("seq", ["part"], tall[1] or 0), ("part", [], tall[0] or 0)):
         width = 1
         while width <= most:
-            width *= FAN
+            width *= fan
             nodes = stage(nodes.groupBy("conv_id", *others, F.expr(f"{column} div {width}").alias("__group")).applyInArrow(_joined, _kind(_NODES)), "segments")
     slices = nodes.alias("n").join(sizes.alias("s"), F.expr("n.conv_id <=> s.conv_id")).select("n.*", "chunks").mapInArrow(_sliced, _kind(_SLICES))
     lines = chunks.select("part", "seq", "roles", "texts").join(slices, ["part", "seq"]).mapInArrow(_lines, _kind(_LINES))
     return lines.repartition("conv_id").sortWithinPartitions("conv_id", "part", "seq").mapInArrow(_hashed, _kind(pa.schema([_KEY[0], *_RESULT])))
 
 
-def repair(conversations: DataFrame) -> DataFrame:
+def repair(conversations: DataFrame, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """conversations(conv_id, turn, role, text) -> conv_id and the faults, cheapest edits and digest of each one's repair.
 
     gaps, blank, duplicate, truncated and illegal count faults (a turn counts by the first of blank, duplicate,
@@ -366,11 +369,11 @@ def repair(conversations: DataFrame) -> DataFrame:
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
     rows = rows.withColumn("digest", F.unhex(F.sha2(F.concat_ws("\0", "role", "text"), 256))).withColumn("__salt", F.spark_partition_id())
     order = ["conv_id", "turn", "role", "digest", "__salt"]  # equal rows may go to several tasks
-    pieces = stage(rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("__salt").mapInArrow(_pieces, _kind(_PIECES)), "repair")
+    pieces = stage(rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("__salt").mapInArrow(_pieces(chunk), _kind(_PIECES)), "repair")
     results = [f.name for f in _RESULT]
     found = pieces.where("whole").select("conv_id", *results)
     rest = pieces.where("not whole").select("conv_id", "part", "seq", "turns", "roles", "texts", "digests")
-    return found.unionByName(_long_conversations(rest)).withColumn("audit", F.translate("audit", "JS", "IR"))
+    return found.unionByName(_long_conversations(rest, fan)).withColumn("audit", F.translate("audit", "JS", "IR"))
 
 
 def damaged(conversations: DataFrame) -> DataFrame:
