@@ -12,9 +12,8 @@ from tokenloom.sources.tokenizers import Tokenizer
 COUNTS = ["tokens", "letters", "chars", "bytes", "words", "unk", "floor", "exact", "exact_tokens", "exact_letters", "fragments", "broken"]
 
 
-def _counts(tokenizer: Tokenizer, text: Column) -> Column:
+def _counts(tokenizer: Tokenizer, text: Column, measured: Column) -> Column:
     """The counts of a text under a tokenizer, as a struct."""
-    measured = graphemes.measured(text, tokenizer.pieces(text))
     own = {"tokenizer": F.lit(tokenizer.key), "tokens": tokenizer.tokens(text), "chars": T.chars(text), "bytes": T.octets(text), "words": T.words(text), "unk": tokenizer.unknown(text), "floor": tokenizer.floor(text)}
     return F.struct(*(v.alias(k) for k, v in own.items()), measured.alias("m"))
 
@@ -22,12 +21,20 @@ def _counts(tokenizer: Tokenizer, text: Column) -> Column:
 def text_counts(texts: DataFrame, *tokenizers: Tokenizer) -> DataFrame:
     """texts with the counts of each text, a row for every tokenizer; texts are read and sent to Python once.
 
-    Measures of bytes are null where the pieces do not spell the text.
+    Measures of bytes are null where the pieces do not spell the text. Of tokenizers that say where their tokens
+    end, only that goes to Python, and one function measures them all; of others, the bytes of their pieces.
     """
     name = "counts"
     while name in texts.columns:
         name += "_"
-    each = texts.withColumn(name, F.explode(F.array(*(_counts(t, F.col("text")) for t in tokenizers))))
+    text = F.col("text")
+    cuts = [t.cuts(text) for t in tokenizers]
+    known = [c for c in cuts if c is not None]
+    shared = graphemes.measured_cuts([c for c, _ in known])(text, *(lengths for _, lengths in known if lengths is not None)) if known else F.lit(None)
+    # the shared measures are a column of their own, so that they are made once
+    rows, places = texts.withColumn(f"{name}_m", shared), iter(range(len(known)))
+    measures = [graphemes.measured(text, t.pieces(text)) if c is None else F.get(f"{name}_m", F.lit(next(places))) for t, c in zip(tokenizers, cuts)]
+    each = rows.withColumn(name, F.explode(F.array(*(_counts(t, text, m) for t, m in zip(tokenizers, measures)))))
     plain = ("tokenizer", "tokens", "chars", "bytes", "words", "unk", "floor")
     return each.select(*texts.columns, *(F.col(f"{name}.{c}").alias(c) for c in plain), *(F.col(f"{name}.m.{c}").alias(c) for c in graphemes.MEASURED.names))
 

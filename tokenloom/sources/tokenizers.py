@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions import text as T
 from tokenloom.functions.bytelevel import from_byte_level, from_sentence_piece
+from tokenloom.functions.graphemes import Cuts
 
 
 class Tokenizer:
@@ -33,6 +34,10 @@ class Tokenizer:
     def unknown(self, text: Column) -> Column:
         return F.lit(0).cast("long")
 
+    def cuts(self, text: Column) -> tuple[Cuts, Column | None] | None:
+        """Where the tokens end, if they spell the text by their making; then no piece has to be made to measure it."""
+        return None
+
 
 @dataclass
 class FixedCut(Tokenizer):
@@ -47,6 +52,9 @@ class FixedCut(Tokenizer):
     def tokens(self, text: Column) -> Column:
         return F.ceil(T.octets(text) / self.size).cast("long")
 
+    def cuts(self, text: Column) -> tuple[Cuts, Column | None]:
+        return Cuts(self.size), None
+
     def pieces(self, text: Column) -> Column:
         # of hexadecimal digits in one pass; places in the bytes would have them encoded again for each piece
         return F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(f".{{1,{2 * self.size}}}"), F.lit(0)), F.unhex)
@@ -60,6 +68,9 @@ class Characters(Tokenizer):
     def tokens(self, text: Column) -> Column:
         return T.chars(text)
 
+    def cuts(self, text: Column) -> tuple[Cuts, Column | None]:
+        return Cuts(0), None
+
     def pieces(self, text: Column) -> Column:
         return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.encode(c, "UTF-8"))
 
@@ -81,6 +92,9 @@ class PreTokens(Tokenizer):
     def pieces(self, text: Column) -> Column:
         return F.transform(T.pieces(text, self.pattern), lambda p: F.encode(p, "UTF-8"))
 
+    def cuts(self, text: Column) -> tuple[Cuts, Column | None]:
+        return Cuts(), F.transform(T.pieces(text, self.pattern), F.octet_length)
+
 
 def style_of(config: dict) -> str:
     """wordpiece by the model's type; bytelevel if the decoder or pre-tokenizer has a ByteLevel step; else spm."""
