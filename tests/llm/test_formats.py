@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tokenloom.llm import quality_rules, spot_signatures, warc
 from tokenloom.llm.chat_format import format_conversations, formatted_and_read, round_trip
@@ -76,6 +77,20 @@ def test_archives(spark, tmp_path):
     assert warc.archives(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_archives_depend_on_the_pages_alone(spark, tmp_path):
+    """More rows than a range sampler looks at, in other partitions and another order: the same files, byte for byte."""
+    pages = spark.range(30_000).selectExpr("cast(id * 7919 % 40000 as long) as page_id", "concat('http://x/', id) as url", "repeat(concat('page ', id % 20000, ' '), 12) as html")
+    files = []
+    for name, rows, advisory in (("a", pages.repartition(3), "64m"), ("b", pages.orderBy(F.desc("url")).repartition(11), "100k")):
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", advisory)
+        warc.write_archives(rows, f"file://{tmp_path}/{name}", file_bytes=60_000, range_bytes=400_000)
+        files.append({p.name: hashlib.sha256(p.read_bytes()).hexdigest() for p in (tmp_path / name / "files").iterdir()})
+    spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert files[0] == files[1] and len({f.split("-")[1] for f in files[0]}) > 5
+    got = warc.read_archives(spark, f"file://{tmp_path}/b")
+    assert got.count() == 30_000 and got.where("record_type = 'revisit'").count() == 9_900  # payloads of some hundred pages are too short
+
+
 def test_damage_is_noticed():
     raw = warc.record(1, "u", b"payload", hashlib.sha256(b"payload").hexdigest(), None)
     assert warc.parse_record(raw)["page_id"] == 1

@@ -162,3 +162,37 @@ def shingles(text: str | None, width: int, hashes: WordHashes) -> np.ndarray:
     for i in range(min(width, len(h))):
         out = mix(out * _M3 + h[i : i + n])
     return np.unique(out)
+
+
+#: Ranges that a table is cut into at most, and ids of the sample that cuts them, for each range.
+MOST_RANGES, SAMPLED = 10_000, 64
+
+
+def id_cuts(ids: DataFrame, rows: int, ranges: int) -> np.ndarray:
+    """Values that cut ids(id) of a table of so many rows into about equal ranges, the same for the same rows.
+
+    The ids are taken by their hash, so neither the order of the rows nor their partitions matter; some SAMPLED
+    for each range come to the driver, with how often they occur.
+    """
+    ranges = min(MOST_RANGES, ranges)
+    if ranges < 2:
+        return np.empty(0, np.int64)
+    every = max(1, rows // (ranges * SAMPLED))
+    found = ids.where(F.col("id").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(every)) == 0)).groupBy("id").agg(F.count("*").alias("n")).toArrow()
+    order = np.argsort(found["id"].to_numpy())
+    values, upto = found["id"].to_numpy()[order], np.cumsum(found["n"].to_numpy()[order])
+    if not len(values):
+        return np.empty(0, np.int64)
+    return np.unique(values[np.minimum(np.searchsorted(upto, upto[-1] * np.arange(1, ranges) / ranges), len(values) - 1)])
+
+
+def range_of(cuts: np.ndarray):
+    """A function of an id: the number of its range, 0 for null."""
+
+    @F.arrow_udf("int")
+    def place(column: pa.Array) -> pa.Array:
+        known = column.is_valid().to_numpy(zero_copy_only=False)
+        at = np.searchsorted(cuts, column.fill_null(0).to_numpy(zero_copy_only=False), "right")
+        return pa.array(np.where(known, at, 0), pa.int32())
+
+    return place

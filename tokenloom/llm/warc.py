@@ -1,7 +1,7 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are sorted by page_id over ranges; each task writes its range into files that it closes once their
-compressed size reaches a limit. A record is a gzip member of its own, with headers and digests made from the
+Records are sorted by page_id over ranges, whose cuts depend on the page_ids alone; each range is written into
+files of its own, each closed once its compressed size reaches a limit. A record is a gzip member of its own, with headers and digests made from the
 page alone, so that the same pages give the same bytes. Files appear under temporary names and are renamed
 when complete; the manifest, written last, names the files that count.
 """
@@ -15,16 +15,17 @@ import uuid
 import zlib
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import READERS, filesystem, new_folder, stage
+from tokenloom.llm.common import READERS, filesystem, id_cuts, new_folder, range_of, stage
 
 #: Compressed bytes from which a file is closed.
 FILE_BYTES = 256 << 20
 #: Payloads of fewer bytes are always written whole.
 LEAST_REVISIT = 100
+#: Bytes of payloads in a range, about.
+RANGE_BYTES = 64 << 20
 #: WARC-Date of all records: the writer is deterministic, so the time of writing isn't recorded.
 DATE = "1970-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -100,7 +101,7 @@ def _write(folder: str, file_bytes: int):
     names = ["part", "seq", "file", "records", "bytes", "sha256"]
 
     def run(batches):
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq = None, 0
         fs, base = filesystem(folder)
         fs.create_dir(base)
         out = temporary = hasher = None
@@ -120,6 +121,10 @@ def _write(folder: str, file_bytes: int):
             for at in range(0, batch.num_rows, 64):
                 for row in batch.slice(at, 64).to_pylist():
                     own = (row["page_id"], row["digest"])
+                    if row["range"] != part:
+                        if out is not None:
+                            yield closed()
+                        part, seq = row["range"], 0
                     if row["kind"] == 0:
                         key, target, target_url = own, row["refers_to"], row["refers_url"]
                         continue
@@ -142,14 +147,15 @@ def _write(folder: str, file_bytes: int):
     return run, "part long, seq long, file string, records long, bytes long, sha256 string"
 
 
-def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> None:
+def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, range_bytes: int = RANGE_BYTES) -> None:
     """Writes pages(page_id, url, html) as WARC files and a manifest into folder.
 
     A null html is an empty payload; a null url gets the target URI urn:page:<page_id>. Of pages with equal
     payloads of LEAST_REVISIT bytes or more, the one with the smallest page_id (null ones never) is the
     response and the others are revisits that refer to it; of rows with the same page_id and payload the
     first by url is the response. An empty table gives a manifest without rows; other columns are ignored,
-    whatever their names.
+    whatever their names. The same rows give the same files, however they are partitioned; the rows of one
+    page_id lie in one range.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2(F.col("html"), 256))
@@ -161,8 +167,11 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES)
     # marker rows travel just before their pages, so that pages are shuffled once only
     marks = marks.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", F.lit(0).alias("kind"), "refers_to", "refers_url")
     both = rows.withColumns({"kind": F.lit(1), "refers_to": F.lit(None).cast("long"), "refers_url": F.lit(None).cast("string")}).unionByName(marks)
+    # a range lies whole in one task, whichever that is, and its files are named after it
+    n, size = rows.agg(F.count("*"), F.sum(F.octet_length("html"))).first()
+    cuts = id_cuts(rows.select(F.col("page_id").alias("id")), n, -(-(size or 0) // range_bytes))
     run, schema = _write(f"{folder}/files", file_bytes)
-    files = both.repartitionByRange("page_id").sortWithinPartitions("page_id", "digest", "kind", "url").mapInArrow(run, schema)
+    files = both.withColumn("range", range_of(cuts)("page_id")).repartitionByRange("range").sortWithinPartitions("range", "page_id", "digest", "kind", "url").mapInArrow(run, schema)
     files.write.parquet(f"{folder}/manifest")
 
 
