@@ -7,36 +7,38 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions import graphemes
 from tokenloom.functions import text as T
+from tokenloom.functions.letters import letters
 from tokenloom.sources.tokenizers import Tokenizer
 
 COUNTS = ["tokens", "letters", "chars", "bytes", "words", "unk", "floor", "exact", "exact_tokens", "exact_letters", "fragments", "broken"]
 
 
-def _counts(tokenizer: Tokenizer, text: Column, measured: Column) -> Column:
-    """The counts of a text under a tokenizer, as a struct."""
-    own = {"tokenizer": F.lit(tokenizer.key), "tokens": tokenizer.tokens(text), "chars": T.chars(text), "bytes": T.octets(text), "words": T.words(text), "unk": tokenizer.unknown(text), "floor": tokenizer.floor(text)}
-    return F.struct(*(v.alias(k) for k, v in own.items()), measured.alias("m"))
-
-
 def text_counts(texts: DataFrame, *tokenizers: Tokenizer) -> DataFrame:
-    """texts with the counts of each text, a row for every tokenizer; texts are read and sent to Python once.
+    """texts with the counts of each text, a row for every tokenizer; what does not depend on one is counted once a text.
 
     Measures of bytes are null where the pieces do not spell the text. Of tokenizers that say where their tokens
-    end, only that goes to Python, and one function measures them all; of others, the bytes of their pieces.
+    end, only that goes to Python, and one function measures them all; of others, the bytes of their pieces. If
+    all cut by bytes or characters, only fragments and broken letters need Python, and nothing does if they are not asked for.
     """
-    name = "counts"
-    while name in texts.columns:
+    text, name = F.col("text"), "counts"
+    while any(c.startswith(name) for c in texts.columns):
         name += "_"
-    text = F.col("text")
     cuts = [t.cuts(text) for t in tokenizers]
     known = [c for c in cuts if c is not None]
     shared = graphemes.measured_cuts([c for c, _ in known])(text, *(lengths for _, lengths in known if lengths is not None)) if known else F.lit(None)
-    # the shared measures are a column of their own, so that they are made once
-    rows, places = texts.withColumn(f"{name}_m", shared), iter(range(len(known)))
+    # what all tokenizers share is made in columns of its own, before the rows of each
+    rows, places = texts.withColumns({f"{name}_m": shared, f"{name}_chars": T.chars(text), f"{name}_bytes": T.octets(text), f"{name}_words": T.words(text), f"{name}_letters": letters(text)}), iter(range(len(known)))
     measures = [graphemes.measured(text, t.pieces(text)) if c is None else F.get(f"{name}_m", F.lit(next(places))) for t, c in zip(tokenizers, cuts)]
-    each = rows.withColumn(name, F.explode(F.array(*(_counts(t, text, m) for t, m in zip(tokenizers, measures)))))
-    plain = ("tokenizer", "tokens", "chars", "bytes", "words", "unk", "floor")
-    return each.select(*texts.columns, *(F.col(f"{name}.{c}").alias(c) for c in plain), *(F.col(f"{name}.m.{c}").alias(c) for c in graphemes.MEASURED.names))
+    rows = rows.withColumn(f"{name}_all", F.array(*measures))
+    own = [F.struct(F.lit(i).alias("i"), F.lit(t.key).alias("tokenizer"), t.tokens(text).alias("tokens"), t.unknown(text).alias("unk"), t.floor(text).alias("floor")) for i, t in enumerate(tokenizers)]
+    each = rows.withColumn(name, F.explode(F.array(*own)))
+    measured = {c: F.get(f"{name}_all", F.col(f"{name}.i"))[c] for c in graphemes.MEASURED.names} | {"letters": F.col(f"{name}_letters")}
+    if all(c is not None and c[0].size is not None for c in cuts):
+        there = lambda value: F.when(text.isNotNull(), value)
+        measured |= {"exact": there(F.lit(1).cast("long")), "exact_tokens": there(F.col(f"{name}.tokens")), "exact_letters": F.col(f"{name}_letters")}
+    plain = {c: F.col(f"{name}_{c}") for c in ("chars", "bytes", "words")}
+    counted = {"tokenizer": F.col(f"{name}.tokenizer"), "tokens": F.col(f"{name}.tokens")} | plain | {c: F.col(f"{name}.{c}") for c in ("unk", "floor")} | measured
+    return each.select(*texts.columns, *(v.alias(c) for c, v in counted.items()))
 
 
 def corpus_counts(counted: DataFrame, by: tuple[str, ...] = ("tokenizer", "lang")) -> DataFrame:

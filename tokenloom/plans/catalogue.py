@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions import graphemes
 from tokenloom.functions import text as T
+from tokenloom.functions.letters import letters
 from tokenloom.functions.rounding import rounded
 from tokenloom.operators import corpus, measure, score, vocabulary
 from tokenloom.operators.staged import staged
@@ -98,7 +99,7 @@ def marks_floor_delta(spark, d):
 def tokens_per_letter(spark, d):
     """Letters (grapheme clusters), and pre-tokenizer tokens for each."""
     text = F.col("text")
-    sums = _docs(spark, d, "text", "lang").select("lang", graphemes.letters(text).alias("letters"), T.floor(text).alias("tokens")).groupBy("lang").agg(F.sum("letters").alias("letters"), F.sum("tokens").alias("tokens"))
+    sums = _docs(spark, d, "text", "lang").select("lang", letters(text).alias("letters"), T.floor(text).alias("tokens")).groupBy("lang").agg(F.sum("letters").alias("letters"), F.sum("tokens").alias("tokens"))
     return sums.withColumn("tokens_per_letter", F.try_divide("tokens", "letters"))
 
 
@@ -132,7 +133,29 @@ def fixed_cut_fragments(spark, d):
     return pieces.groupBy("lang").agg(F.sum(F.size("p")).cast("long").alias("tokens"), F.sum(F.size(F.filter("p", lambda x: ~F.is_valid_utf8(x)))).cast("long").alias("fragments"))
 
 
-@query()
+# letters are characters with their marks here, which is all that the rules ask of texts without conjuncts, flags and the like
+_MEASURES_SQL = rf"""t AS (SELECT row_number() OVER () AS k, lang, text, {_SQL_BYTES} AS bytes, {_SQL_PIECES} AS pieces FROM documents),
+l0 AS (SELECT k, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM (SELECT k, regexp_extract_all(text, '\r\n|(?s:.)\p{{M}}*') AS ls FROM t)),
+l AS (SELECT k, length(l) AS chars, octet_length(encode(l)) AS own, CAST(sum(octet_length(encode(l))) OVER (PARTITION BY k ORDER BY i) AS BIGINT) AS upto FROM l0),
+h0 AS (SELECT k, unnest(cs) AS c, generate_subscripts(cs, 1) AS i FROM (SELECT k, string_split(text, '') AS cs FROM t)),
+h AS (SELECT k, octet_length(encode(c)) AS own, CAST(sum(octet_length(encode(c))) OVER (PARTITION BY k ORDER BY i) AS BIGINT) AS upto FROM h0),
+p0 AS (SELECT k, unnest(pieces) AS p, generate_subscripts(pieces, 1) AS i FROM t),
+p AS (SELECT k, CAST(sum(octet_length(encode(p))) OVER (PARTITION BY k ORDER BY i) AS BIGINT) AS upto FROM p0),
+z AS (SELECT unnest([1, {CUT}]) AS z),
+cuts AS (SELECT k, z, unnest(range((upto - own) // z * z + z, upto, z)) AS x FROM h, z WHERE own > 1),
+parts AS (SELECT k, 'bytes' || z AS tokenizer, count(DISTINCT x) AS fragments FROM (SELECT k, z, x FROM cuts UNION ALL SELECT k, z, x - z FROM cuts) GROUP BY ALL),
+broken AS (SELECT k, 'bytes' || z AS tokenizer, count(*) AS broken FROM l, z WHERE (upto - 1) // z * z > upto - own GROUP BY ALL
+  UNION ALL SELECT k, 'chars', count(*) FROM l WHERE chars > 1 GROUP BY ALL
+  UNION ALL SELECT k, 'pretokens', count(*) FROM l WHERE chars > 1 AND EXISTS (SELECT 1 FROM p WHERE p.k = l.k AND p.upto > l.upto - l.own AND p.upto < l.upto) GROUP BY ALL),
+each AS (SELECT k, lang, text, bytes, unnest([{{'tokenizer': 'bytes1', 'n': bytes}}, {{'tokenizer': 'bytes{CUT}', 'n': (bytes + {CUT - 1}) // {CUT}}}, {{'tokenizer': 'chars', 'n': length(text)}}, {{'tokenizer': 'pretokens', 'n': len(pieces)}}], recursive := true) FROM t),
+s AS (SELECT tokenizer, lang, count(*) AS sentences, CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(length_grapheme(text)) AS BIGINT) AS letters, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(bytes) AS BIGINT) AS bytes,
+  CAST(sum({_SQL_WORDS}) AS BIGINT) AS words, CAST(0 AS BIGINT) AS unk, CAST(sum(CASE WHEN tokenizer = 'pretokens' THEN n END) AS BIGINT) AS floor, count(*) AS exact, CAST(sum(n) AS BIGINT) AS exact_tokens,
+  CAST(sum(length_grapheme(text)) AS BIGINT) AS exact_letters, CAST(sum(coalesce(fragments, 0)) AS BIGINT) AS fragments, CAST(sum(coalesce(broken, 0)) AS BIGINT) AS broken
+  FROM each LEFT JOIN parts USING (k, tokenizer) LEFT JOIN broken USING (k, tokenizer) GROUP BY tokenizer, lang)"""
+
+
+@query(f"""WITH {_MEASURES_SQL}, e AS (SELECT *, max(CASE WHEN lang = 'en' THEN tokens END) OVER (PARTITION BY tokenizer) AS t, max(CASE WHEN lang = 'en' THEN floor END) OVER (PARTITION BY tokenizer) AS f FROM s)
+SELECT * EXCLUDE (t, f), tokens / t AS tax, tokens / letters AS tokens_per_letter, chars / tokens AS chars_per_token, floor / t AS floor_tax, floor / f AS floor_ratio, broken / exact_letters AS broken_letters, fragments / exact_tokens AS byte_fragments FROM e""")
 def fixed_cut_measures(spark, d):
     """Every measure of the three-byte, byte, character and pre-token tokenizers, with ratios to English."""
     counted = measure.text_counts(_docs(spark, d, "text", "lang"), FixedCut(CUT), FixedCut(1), Characters(), PreTokens())
