@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,15 +17,34 @@ from tokenloom.operators.running import with_running_sum
 from tokenloom.operators.staged import staged
 
 
-def stride_sample(docs: DataFrame, group: Column, groups: int, every: int, holdout: bool = False) -> DataFrame:
-    """Rows of `groups` groups, every `every`-th one; a held-out sample begins half a stride later.
+#: Groups that a byte budget reads first, and at most at once; beyond as many in all, a join picks them instead of ranges.
+FIRST_GROUPS, MOST_GROUPS = 8, 512
 
-    every must be 2 or more: with 1 the two samples would share their groups.
+
+def in_ranges(key: str, size: int, groups: Iterable[int]) -> Column:
+    """Whether a whole number lies in one of the groups of `size` neighbouring ones, as ranges that a scan can skip by.
+
+    Neighbouring groups make one range.
+    """
+    out, begin, end = F.lit(False), None, None
+    for g in [*sorted(groups), None]:
+        if begin is not None and (g is None or g > end):
+            out, begin = out | ((F.col(key) >= begin * size) & (F.col(key) < end * size)), None
+        if g is not None:
+            begin, end = g if begin is None else begin, g + 1
+    return out
+
+
+def stride_sample(docs: DataFrame, key: str, size: int, groups: int, every: int, holdout: bool = False) -> DataFrame:
+    """Rows of `groups` groups of `size` neighbouring keys, every `every`-th one; a held-out sample begins half a stride later.
+
+    every must be 2 or more: with 1 the two samples would share their groups. The groups are ranges of the key, so
+    a scan reads only the row groups of files that hold some; null keys are in no group.
     """
     if every < 2:
         raise ValueError("every must be at least 2")
     start = every // 2 if holdout else 0
-    return docs.where((group >= start) & ((group - start) % every == 0) & (F.floor((group - start) / every) < groups))
+    return docs.where(in_ranges(key, size, range(start, start + groups * every, every)))
 
 
 def spread_order(spark: SparkSession, n: int) -> DataFrame:
@@ -60,13 +83,47 @@ def decontaminate(docs: DataFrame, banned: DataFrame, least: int = 30, by: str |
     return contains_any(docs, banned, least, by).where(~F.col("overlap")).drop("overlap")
 
 
-def byte_budget_sample(docs: DataFrame, group: Column, n_groups: int, target: int) -> DataFrame:
-    """Documents of whole groups in spread order until their bytes reach the target; the group that reaches it stays whole."""
-    sized = docs.withColumn("grp", group)
-    sizes = sized.groupBy("grp").agg(F.sum(T.octets(F.col("text"))).alias("size"))
-    order = spread_order(docs.sparkSession, n_groups).join(sizes, "grp", "left").withColumn("size", F.coalesce("size", F.lit(0).cast("long")))
-    picked = with_running_sum(order, [], "ord", F.col("size"), "before").where(F.col("before") < target)
-    return sized.join(picked.select("grp", "ord"), "grp")
+def spread_numbers(n: int) -> Iterator[int]:
+    """0 to n-1 in the order of spread_order(), one after another."""
+    seen: set[int] = set()
+    for level in range(max(1, math.ceil(math.log2(max(2, n))) + 2)):
+        for i in range(1 << level):
+            at = (2 * i + 1) * n // (2 << level)
+            if at < n and at not in seen:
+                seen.add(at)
+                yield at
+
+
+def byte_budget_sample(docs: DataFrame, key: str, size: int, target: int, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Documents of whole groups in spread order until their bytes reach the target; the group that reaches it stays whole.
+
+    A group is `size` neighbouring whole numbers of the key. Of its documents only those that `keep` leaves are
+    taken and count, such as decontaminate(). Adds grp and ord, the group and its place in the order. Groups are
+    read in batches until the bytes suffice, each by ranges of the key that a scan can skip by, the next batch as
+    large as the bytes so far suggest; other groups are never read. Rows without a key are in no group.
+    """
+    spark = docs.sparkSession
+    last = docs.agg(F.max(key)).first()[0]
+    left = spread_numbers(0 if last is None or last < 0 else int(last) // size + 1)
+    taken: list[tuple[int, int]] = []  # groups in order and the bytes before them
+    done, step, total = False, FIRST_GROUPS, 0
+    while not done and (batch := [*itertools.islice(left, step)]):
+        some = docs.where(in_ranges(key, size, batch))
+        some = keep(some) if keep else some
+        found = some.groupBy(F.floor(F.col(key) / size).alias("grp")).agg(F.sum(T.octets(F.col("text"))).alias("size")).collect()
+        sizes = {r["grp"]: r["size"] or 0 for r in found}
+        for g in batch:
+            if total >= target:
+                done = True
+                break
+            taken.append((len(taken), g))
+            total += sizes.get(g, 0)
+        each = max(1, total // max(1, len(taken)))
+        step = min(MOST_GROUPS, max(1, (target - total) // each + 1))
+    order = spark.createDataFrame(taken, "ord long, grp long")
+    some = docs.where(in_ranges(key, size, [g for _, g in taken])) if len(taken) <= MOST_GROUPS else docs
+    some = (keep(some) if keep else some).withColumn("grp", F.floor(F.col(key) / size).cast("long"))
+    return some.join(order, "grp")
 
 
 def mixture(sized: DataFrame, caps: dict[str, int]) -> DataFrame:
@@ -86,14 +143,44 @@ def mixture(sized: DataFrame, caps: dict[str, int]) -> DataFrame:
     return own.where(F.col("bytes_before") < cap).withColumns({"share": F.col("bytes_before") / cap, "rank_lang": place})
 
 
+def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with `name`: their number from 0 in the order of a unique key of numbers, counted over chunks."""
+    return with_running_sum(rows, [], key, F.lit(1).cast("long"), name)
+
+
 def in_mixed_order(mixed: DataFrame, value: Column, name: str) -> DataFrame:
     """mixed with `name`: the sum of value over the rows before in the mixture's order."""
     return with_running_sum(mixed, [], "share", value, name, then=("rank_lang", "doc_id"))
 
 
-def seeded_order(key: Column, seed: int) -> Column:
-    """A repeatable shuffle order of keys."""
-    return F.xxhash64(key, F.lit(seed))
+#: Rounds of the shuffle's bijection.
+ROUNDS = 6
+
+
+def shuffled_place(i: Column, n: int, seed: int) -> Column:
+    """The place of row i of n (0 <= i < n) in a repeatable shuffle: a keyed bijection of 0 to n-1, without a sort.
+
+    A Feistel network permutes the numbers of as many bits, up to four times n; a place beyond n is sent through
+    again until it lies within (cycle walking), which keeps it a bijection and takes four steps a row at most on average.
+    """
+    if n < 2:
+        return i
+    half = max(1, math.ceil(math.log2(n) / 2))
+
+    @F.arrow_udf("long")
+    def walked(column: pa.Array) -> pa.Array:
+        v = column.to_numpy(zero_copy_only=False).astype(np.int64)
+        mask, away = (1 << half) - 1, np.ones(len(v), bool)
+        while away.any():
+            at = v[away]
+            left, right = at >> half, at & mask
+            for k in range(ROUNDS):
+                left, right = right, left ^ (((right * 2654435769 + 40503 * (k + 1) + seed * 1000003) >> 7) & mask)
+            v[away] = left << half | right
+            away &= v >= n
+        return pa.array(v)
+
+    return walked(i)
 
 
 def packed_blocks(lengths: DataFrame, seq: int) -> DataFrame:

@@ -26,7 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Merge = tuple[str, str]
+from tokenloom.functions.replay import Merge
+
 #: Pairs that a round looks at, and distinct stretches that it takes to the driver, at most.
 MOST_PAIRS, MOST_SEGMENTS = 32_768, 100_000
 

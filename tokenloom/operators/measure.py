@@ -25,12 +25,16 @@ def text_counts(texts: DataFrame, *tokenizers: Tokenizer) -> DataFrame:
         name += "_"
     cuts = [t.cuts(text) for t in tokenizers]
     known = [c for c in cuts if c is not None]
-    shared = graphemes.measured_cuts([c for c, _ in known])(text, *(lengths for _, lengths in known if lengths is not None)) if known else F.lit(None)
+    lengths = {f"{name}_l{i}": c[1] for i, c in enumerate(cuts) if c is not None and c[1] is not None}
+    texts_, texts = texts, texts.withColumns(lengths) if lengths else texts
+    shared = graphemes.measured_cuts([c for c, _ in known])(text, *map(F.col, lengths)) if known else F.lit(None)
     # what all tokenizers share is made in columns of its own, before the rows of each
     rows, places = texts.withColumns({f"{name}_m": shared, f"{name}_chars": T.chars(text), f"{name}_bytes": T.octets(text), f"{name}_words": T.words(text), f"{name}_letters": letters(text)}), iter(range(len(known)))
     measures = [graphemes.measured(text, t.pieces(text)) if c is None else F.get(f"{name}_m", F.lit(next(places))) for t, c in zip(tokenizers, cuts)]
     rows = rows.withColumn(f"{name}_all", F.array(*measures))
-    own = [F.struct(F.lit(i).alias("i"), F.lit(t.key).alias("tokenizer"), t.tokens(text).alias("tokens"), t.unknown(text).alias("unk"), t.floor(text).alias("floor")) for i, t in enumerate(tokenizers)]
+    # where the lengths of tokens are known, their number is too, and is not made again
+    number = lambda i, t: t.tokens(text) if cuts[i] is None or cuts[i][1] is None else F.size(F.col(f"{name}_l{i}")).cast("long")
+    own = [F.struct(F.lit(i).alias("i"), F.lit(t.key).alias("tokenizer"), number(i, t).alias("tokens"), t.unknown(text).alias("unk"), t.floor(text).alias("floor")) for i, t in enumerate(tokenizers)]
     each = rows.withColumn(name, F.explode(F.array(*own)))
     measured = {c: F.get(f"{name}_all", F.col(f"{name}.i"))[c] for c in graphemes.MEASURED.names} | {"letters": F.col(f"{name}_letters")}
     if all(c is not None and c[0].size is not None for c in cuts):
@@ -38,7 +42,7 @@ def text_counts(texts: DataFrame, *tokenizers: Tokenizer) -> DataFrame:
         measured |= {"exact": there(F.lit(1).cast("long")), "exact_tokens": there(F.col(f"{name}.tokens")), "exact_letters": F.col(f"{name}_letters")}
     plain = {c: F.col(f"{name}_{c}") for c in ("chars", "bytes", "words")}
     counted = {"tokenizer": F.col(f"{name}.tokenizer"), "tokens": F.col(f"{name}.tokens")} | plain | {c: F.col(f"{name}.{c}") for c in ("unk", "floor")} | measured
-    return each.select(*texts.columns, *(v.alias(c) for c, v in counted.items()))
+    return each.select(*texts_.columns, *(v.alias(c) for c, v in counted.items()))
 
 
 def corpus_counts(counted: DataFrame, by: tuple[str, ...] = ("tokenizer", "lang")) -> DataFrame:

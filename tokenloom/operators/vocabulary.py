@@ -6,7 +6,6 @@ string replacement from the left, which is what byte-pair encoding does with a p
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -15,10 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions import text as T
+from tokenloom.functions.replay import Merge, replayed
 from tokenloom.operators.learner import MOST_PAIRS, MOST_SEGMENTS, learned_round
 from tokenloom.operators.staged import staged, unstaged
 
-Merge = tuple[str, str]
 #: Pairs looked at in a round of the learner, at least.
 TOP_PAIRS = 256
 #: Merges that are applied as nested replacements; more are applied by rank, over Arrow batches.
@@ -53,24 +52,6 @@ def merged(marked: Column, merges: Iterable[Merge]) -> Column:
     return marked
 
 
-def replayed(own: list[str], merges: list[Merge], ranks: dict[Merge, list[int]]) -> list[str]:
-    """Symbols after all merges in order, looking only at those whose pair occurs; ranks holds the places of each pair."""
-    last = -1
-    while len(own) > 1:
-        nexts = (r[k] for p in zip(own, own[1:]) if (r := ranks.get(p)) and (k := bisect_right(r, last)) < len(r))
-        last = min(nexts, default=None)
-        if last is None:
-            break
-        a, b = merges[last]
-        out, i = [], 0
-        while i < len(own):
-            pair = own[i] == a and i + 1 < len(own) and own[i + 1] == b
-            out.append(a + b if pair else own[i])
-            i += 2 if pair else 1
-        own = out
-    return own
-
-
 def _by_rank(merges: list[Merge]):
     ranks: dict[Merge, list[int]] = {}
 

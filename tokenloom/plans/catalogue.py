@@ -6,20 +6,23 @@ comparison of tokenizers.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.functions import graphemes
 from tokenloom.functions import text as T
+from tokenloom.functions.bytelevel import ALPHABET
 from tokenloom.functions.letters import letters
 from tokenloom.functions.rounding import rounded
 from tokenloom.operators import corpus, measure, score, vocabulary
 from tokenloom.operators.staged import staged
 from tokenloom.session import ship
 from tokenloom.sources import dims
-from tokenloom.sources.tokenizers import Characters, FixedCut, Library, PreTokens, Ranks
+from tokenloom.sources.tokenizers import Characters, FixedCut, Merges, PreTokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -177,13 +180,43 @@ def corpus_tax(spark, d):
     return measure.tax(measure.corpus_counts(counted), "en").select(*columns)
 
 
-@query()
-def vocabulary_tax(spark, d):
-    """Every measure under two byte-level vocabularies, read from a tokenizer file and from a rank file."""
+def _byte_vocabulary() -> Merges:
+    """A published byte-level vocabulary, under this library's pre-tokenizer."""
     import public_tokenizers
 
-    own = Library.from_file("bytes_50k", public_tokenizers.path("byte_bpe_50k.json")), Ranks("bytes_50k_ranks", public_tokenizers.path("byte_bpe_50k.tiktoken"), T.PATTERN)
-    return measure.tax(measure.corpus_counts(measure.text_counts(_docs(spark, d, "text", "lang"), *own)), "en")
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        return Merges.from_config("bytes_50k", json.load(file))
+
+
+# each different piece is merged at its lowest rank until no pair is left
+_ALPHABET_SQL = ", ".join(f"({ord(c)}, '{b:02X}')" for b, c in enumerate(ALPHABET))
+_VOCABULARY_SQL = f"""RECURSIVE a(c, h) AS (VALUES {_ALPHABET_SQL}),
+j AS (SELECT unnest(merges) AS m, generate_subscripts(merges, 1) AS rank FROM (SELECT model.merges AS merges FROM read_json('{{path}}', columns = {{{{'model': 'STRUCT(merges VARCHAR[][])'}}}}, maximum_object_size = 100000000))),
+s AS (SELECT rank, unnest([1, 2]) AS side, unnest(m) AS t FROM j),
+x AS (SELECT rank, side, string_agg(h, '' ORDER BY i) AS t FROM (SELECT rank, side, unnest(string_split(t, '')) AS ch, unnest(range(len(t))) AS i FROM s) JOIN a ON a.c = ord(ch) GROUP BY ALL),
+m AS (SELECT l.t AS l, r.t AS r, min(l.rank) AS rank FROM x l JOIN x r ON l.rank = r.rank AND l.side = 1 AND r.side = 2 GROUP BY ALL),
+w AS (SELECT DISTINCT unnest({_SQL_PIECES}) AS piece FROM documents),
+e AS (SELECT piece, regexp_replace(hex(encode(piece)), '(..)', '<\\1>', 'g') AS s FROM w
+  UNION ALL SELECT piece, replace(any_value(s), '<' || arg_min(l, rank) || '><' || arg_min(r, rank) || '>', '<' || arg_min(l, rank) || arg_min(r, rank) || '>') FROM (
+    SELECT piece, s, m.l, m.r, m.rank FROM (SELECT piece, s, unnest(list_slice(string_split(s[2:-2], '><'), 1, -2)) AS l, unnest(list_slice(string_split(s[2:-2], '><'), 2, -1)) AS r FROM e) q JOIN m ON m.l = q.l AND m.r = q.r) GROUP BY piece),
+t AS (SELECT piece, min(len(string_split(s[2:-2], '><'))) AS n, arg_min(s, len(string_split(s[2:-2], '><'))) AS s FROM e GROUP BY piece)"""
+
+
+def _vocabulary_sql() -> str:
+    import public_tokenizers
+
+    head = _VOCABULARY_SQL.replace("{path}", public_tokenizers.path("byte_bpe_50k.json")).replace("{{", "{").replace("}}", "}")
+    return f"""WITH {head}, p AS (SELECT lang, unnest({_SQL_PIECES}) AS piece FROM documents),
+c AS (SELECT lang, CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(len(regexp_extract_all(regexp_replace(s, '([0-9A-F][0-9A-F])', '\\1.', 'g'), '[C-F][0-9A-F]\\.(?:[89AB][0-9A-F]\\.)*><[89AB]'))) AS BIGINT) AS broken FROM p JOIN t USING (piece) GROUP BY lang),
+d AS (SELECT lang, CAST(sum(length_grapheme(text)) AS BIGINT) AS letters, CAST(sum({_SQL_FLOOR}) AS BIGINT) AS floor FROM documents GROUP BY lang)
+SELECT 'bytes_50k' AS tokenizer, lang, tokens, letters, floor, tokens AS exact_tokens, broken, tokens / max(CASE WHEN lang = 'en' THEN tokens END) OVER () AS tax FROM c JOIN d USING (lang)"""
+
+
+@query(_vocabulary_sql() if find_spec("public_tokenizers") else None)
+def vocabulary_tax(spark, d):
+    """Tokens, letters that tokens break, and ratios to English under a published byte-level vocabulary of 50,257 tokens."""
+    sums = measure.corpus_counts(measure.text_counts(_docs(spark, d, "text", "lang"), _byte_vocabulary()))
+    return measure.tax(sums, "en").select("tokenizer", "lang", "tokens", "letters", "floor", "exact_tokens", "broken", "tax")
 
 
 @query()
@@ -294,13 +327,13 @@ _GRP = f"doc_id // {GROUP}"
 @query(f"SELECT doc_id, lang FROM documents WHERE {_GRP} % 4 = 0 AND {_GRP} // 4 < 3")
 def stride_sample_train(spark, d):
     """Three groups of documents, every fourth one."""
-    return corpus.stride_sample(_docs(spark, d, "doc_id", "lang"), F.floor(F.col("doc_id") / GROUP), 3, 4)
+    return corpus.stride_sample(_docs(spark, d, "doc_id", "lang"), "doc_id", GROUP, 3, 4)
 
 
 @query(f"SELECT doc_id, lang FROM documents WHERE {_GRP} >= 2 AND ({_GRP} - 2) % 4 = 0 AND ({_GRP} - 2) // 4 < 3")
 def stride_sample_holdout(spark, d):
     """Three held-out groups, half a stride later."""
-    return corpus.stride_sample(_docs(spark, d, "doc_id", "lang"), F.floor(F.col("doc_id") / GROUP), 3, 4, holdout=True)
+    return corpus.stride_sample(_docs(spark, d, "doc_id", "lang"), "doc_id", GROUP, 3, 4, holdout=True)
 
 
 def _spread_sql(n: str) -> str:
@@ -318,14 +351,34 @@ def spread_order(spark, d):
 _N_GROUPS = f"(SELECT max(doc_id) // {GROUP} + 1 FROM documents)"
 
 
-@query(f"""WITH {_spread_sql(_N_GROUPS)}, z AS (SELECT {_GRP} AS grp, sum({_SQL_BYTES}) AS size FROM documents GROUP BY 1),
+_BUDGET_SQL = """WITH {spread}, z AS (SELECT {grp} AS grp, sum({size}) AS size FROM {docs} GROUP BY 1),
 r AS (SELECT o.grp, ord, sum(coalesce(size, 0)) OVER (ORDER BY ord) - coalesce(size, 0) AS before FROM o LEFT JOIN z ON o.grp = z.grp)
-SELECT doc_id, CAST(r.grp AS BIGINT) AS grp, ord FROM documents JOIN r ON {_GRP} = r.grp WHERE before < 1000000""")
+SELECT doc_id, CAST(r.grp AS BIGINT) AS grp, ord FROM {docs} d JOIN r ON {grp} = r.grp WHERE before < 1000000"""
+
+
+@query(_BUDGET_SQL.format(spread=_spread_sql(_N_GROUPS), grp=_GRP, size=_SQL_BYTES, docs="documents"))
 def byte_budget_sample(spark, d):
     """Whole groups in spread order up to a million bytes."""
-    docs = _docs(spark, d, "doc_id", "text")
-    groups = (docs.agg(F.max("doc_id")).first()[0] or 0) // GROUP + 1
-    return corpus.byte_budget_sample(docs, F.floor(F.col("doc_id") / GROUP), groups, 1_000_000).select("doc_id", "grp", "ord")
+    return corpus.byte_budget_sample(_docs(spark, d, "doc_id", "text"), "doc_id", GROUP, 1_000_000).select("doc_id", "grp", "ord")
+
+
+@query(_BUDGET_SQL.format(spread=_spread_sql(_N_GROUPS), grp=_GRP, size=_SQL_BYTES, docs=f"(SELECT * FROM documents d WHERE NOT {_OVERLAP})"))
+def clean_budget_sample(spark, d):
+    """Whole groups in spread order up to a million bytes of documents that hold no evaluation text; only groups that are read are searched."""
+    banned = _table(spark, d, "benchmark")
+    return corpus.byte_budget_sample(_docs(spark, d, "doc_id", "text"), "doc_id", GROUP, 1_000_000, lambda docs: corpus.decontaminate(docs, banned)).select("doc_id", "grp", "ord")
+
+
+@query("""WITH RECURSIVE n AS (SELECT count(*) AS n, CAST(greatest(1, ceil(log2(count(*)) / 2)) AS INTEGER) AS half FROM documents),
+i AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents),
+f AS (SELECT doc_id, n, half, i >> half AS l, i & ((1 << half) - 1) AS r, 0 AS round FROM i, n
+  UNION ALL SELECT doc_id, n, half, r, xor(l, ((r * 2654435769 + 40503 * (round % 6 + 1) + 7000021) >> 7) & ((1 << half) - 1)), round + 1 FROM f WHERE round = 0 OR round % 6 <> 0 OR ((l << half) | r) >= n)
+SELECT doc_id, arg_max((l << half) | r, round) AS place FROM f GROUP BY doc_id""")
+def seeded_shuffle(spark, d):
+    """Every document's place in a repeatable shuffle with seed 7, computed from its number alone."""
+    numbered = corpus.numbered(_docs(spark, d, "doc_id"), "doc_id", "i")
+    n = numbered.count()
+    return numbered.select("doc_id", corpus.shuffled_place(F.col("i"), n, 7).alias("place"))
 
 
 @query(f"""WITH n AS (SELECT lang, doc_id, {_SQL_FLOOR} AS n_tokens FROM documents),

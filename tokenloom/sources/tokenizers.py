@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenloom.functions import text as T
 from tokenloom.functions.bytelevel import from_byte_level, from_sentence_piece
 from tokenloom.functions.graphemes import Cuts
+from tokenloom.functions.replay import replayed
 
 
 class Tokenizer:
@@ -210,6 +211,63 @@ class Ranks(Tokenizer):
         return apply(text)
 
 
+class Merges(Tokenizer):
+    """A byte-level vocabulary given by its ranked merges of hexadecimal symbols, replayed by this library.
+
+    Pieces of the pre-tokenizer never share tokens, so a worker replays the merges once for each different piece
+    and keeps the lengths of its tokens (CACHED pieces at most); only lengths leave it.
+    """
+
+    style = "bytelevel"
+    CACHED = 200_000
+
+    def __init__(self, key: str, merges: list[tuple[str, str]], pattern: str = T.PATTERN):
+        self.key, self.merges, self.pattern = key, merges, pattern
+        self.vocab_size = 256 + len({a + b for a, b in merges})
+
+    @classmethod
+    def from_config(cls, key: str, config: dict, pattern: str = T.PATTERN) -> Merges:
+        """From a byte-level tokenizer configuration, whose tokens are spelled in the byte alphabet."""
+        own = lambda token: from_byte_level(token).hex().upper()
+        pairs = [m if isinstance(m, list) else m.split(" ", 1) for m in config["model"]["merges"]]
+        return cls(key, [(own(a), own(b)) for a, b in pairs], pattern)
+
+    def lengths(self, pieces: Column) -> Column:
+        """The bytes of each token of an array of pieces."""
+        merges, most = self.merges, self.CACHED
+        ranks: dict[tuple[str, str], list[int]] = {}
+        known: dict[str, list[int]] = {}
+
+        @F.pandas_udf("array<int>")
+        def apply(batch: pd.Series) -> pd.Series:
+            if not ranks:
+                for i, m in enumerate(merges):
+                    ranks.setdefault(tuple(m), []).append(i)
+            out = []
+            for pieces in batch:
+                own = None if pieces is None else []
+                for piece in () if pieces is None else pieces:
+                    if piece not in known:
+                        if len(known) >= most:
+                            known.clear()
+                        raw = piece.encode().hex().upper()
+                        known[piece] = [len(s) // 2 for s in replayed([raw[i : i + 2] for i in range(0, len(raw), 2)], merges, ranks)]
+                    own += known[piece]
+                out.append(own)
+            return pd.Series(out, dtype=object)
+
+        return apply(pieces)
+
+    def cuts(self, text: Column) -> tuple[Cuts, Column | None]:
+        return Cuts(), self.lengths(T.pieces(text, self.pattern))
+
+    def tokens(self, text: Column) -> Column:
+        return F.size(self.lengths(T.pieces(text, self.pattern))).cast("long")
+
+    def floor(self, text: Column) -> Column:
+        return T.floor(text, self.pattern)
+
+
 def vocabulary(spark: SparkSession, config: dict) -> DataFrame:
     """(token, id) of a tokenizer configuration."""
     return spark.createDataFrame([(t, i) for t, i in config["model"]["vocab"].items()], "token string, id int")
