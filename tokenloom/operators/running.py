@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tokenloom.operators.staged import staged
+
 #: Chunks per group, about: one for so many rows of the table, within these limits.
 CHUNK_ROWS, LEAST_CHUNKS, MOST_CHUNKS = 500_000, 64, 4096
 
 
+def _joined(rows: DataFrame, few: DataFrame, by: list[str]) -> DataFrame:
+    """rows with the columns of few, by equal values, of which nulls are one too."""
+    named = few.withColumnsRenamed({c: f"__by_{i}" for i, c in enumerate(by)})
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"__by_{i}")) for i, c in enumerate(by)))
+    return rows.join(named, same).drop(*(f"__by_{i}" for i in range(len(by))))
+
+
 def with_running_sum(rows: DataFrame, by: list[str], order: str, value: Column, name: str, then: tuple[str, ...] = ()) -> DataFrame:
     """rows with `name`: the sum of value over the group's rows before this one in the order of a column of numbers.
 
@@ -18,12 +29,13 @@ def with_running_sum(rows: DataFrame, by: list[str], order: str, value: Column,
     whole group. Groups are joined without hints: their few rows are broadcast while they are small, and a
     hot group's rows are split otherwise.
     """
+    rows = staged(rows.withColumn("__value", value), "running")  # what the rows are made of is read once
     chunks = min(MOST_CHUNKS, max(LEAST_CHUNKS, rows.count() // CHUNK_ROWS))
     shares, accuracy = [i / chunks for i in range(1, chunks)], max(1000, 10 * chunks)
     cuts = rows.groupBy(*by).agg(F.percentile_approx(order, shares, accuracy).alias("__cuts")) if by else rows.agg(F.percentile_approx(order, shares, accuracy).alias("__cuts"))
-    placed = rows.join(cuts, by) if by else rows.crossJoin(F.broadcast(cuts))
-    placed = placed.withColumn("__chunk", F.size(F.filter("__cuts", lambda c: c < F.col(order)))).drop("__cuts").withColumn("__value", value)
+    placed = _joined(rows, cuts, by) if by else rows.crossJoin(F.broadcast(cuts))
+    placed = placed.withColumn("__chunk", F.size(F.filter("__cuts", lambda c: c < F.col(order)))).drop("__cuts")
     sums = placed.groupBy(*by, "__chunk").agg(F.sum("__value").alias("__sum"))
     before = sums.select(*by, "__chunk", (F.sum("__sum").over(Window.partitionBy(*by).orderBy("__chunk")) - F.col("__sum")).alias("__before"))
     own = F.sum("__value").over(Window.partitionBy(*by, "__chunk").orderBy(order, *then).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__value")
-    return placed.withColumn("__own", own).join(before, [*by, "__chunk"]).withColumn(name, F.col("__before") + F.col("__own")).drop("__own", "__before", "__value", "__chunk")
+    return _joined(placed.withColumn("__own", own), before, [*by, "__chunk"]).withColumn(name, F.col("__before") + F.col("__own")).drop("__own", "__before", "__value", "__chunk")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import string
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,39 +28,55 @@ def accuracy(chosen: DataFrame, answers: DataFrame) -> DataFrame:
     return chosen.join(answers, "question").agg(F.avg(right).alias("accuracy"), F.count("*").alias("questions"))
 
 
-def _character_grams(text: Column, n: int) -> Column:
-    """All n-grams of the text without white space: those from each offset below n, one after another."""
-    t = F.regexp_replace(text, r"\s+", "")
-    return F.flatten(F.array(*(F.regexp_extract_all(F.substring(t, offset + 1, 1 << 30), F.lit(f"(?s).{{{n}}}"), F.lit(0)) for offset in range(n))))
+_SPACE = re.compile(r"[ \t\n\r\f\v]+")
+_PUNCTUATION = frozenset(string.punctuation)
 
 
-def _words(text: Column) -> Column:
+def _words(text: str) -> list[str]:
     """Words, with one punctuation mark at an end (the last, else the first) parted from them."""
-    apart = lambda w: F.when(w.rlike(r"^.+[!-/:-@\[-`{-~]$"), F.array(F.regexp_replace(w, r"^(.+).$", "$1"), F.substring(w, -1, 1))).when(w.rlike(r"^[!-/:-@\[-`{-~].+$"), F.array(F.substring(w, 1, 1), F.substring(w, 2, 1 << 30))).otherwise(F.array(w))
-    return F.flatten(F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), apart))
-
-
-def _word_grams(text: Column, n: int) -> Column:
-    # the words are an argument of the inner function, so that they are not made again for each gram
-    grams = lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
-    return F.element_at(F.transform(F.array(_words(text)), grams), 1)
-
-
-def _named(order: str, grams: Column) -> Column:
-    return F.transform(grams, lambda g: F.struct(F.lit(order).alias("o"), g.alias("g")))
+    out = []
+    for w in filter(None, _SPACE.split(text)):
+        if len(w) > 1 and w[-1] in _PUNCTUATION:
+            out += [w[:-1], w[-1]]
+        elif len(w) > 1 and w[0] in _PUNCTUATION:
+            out += [w[0], w[1:]]
+        else:
+            out.append(w)
+    return out
+
+
+def gram_counts(hypothesis: str, reference: str, characters: int, words: int) -> list[int]:
+    """For each order of character and word n-grams: common ones (clipped), those of the hypothesis, those of the reference."""
+    out = []
+    plain = [_SPACE.sub("", t) for t in (hypothesis, reference)]
+    parted = [_words(t) for t in (hypothesis, reference)]
+    for units, most in ((plain, characters), (parted, words)):
+        for n in range(1, most + 1):
+            h, r = (Counter(u[i : i + n] if isinstance(u, str) else tuple(u[i : i + n]) for i in range(len(u) - n + 1)) for u in units)
+            out += [(h & r).total(), h.total(), r.total()]
+    return out
 
 
 def chrf(pairs: DataFrame, by: tuple[str, ...] = (), characters: int = 6, words: int = 2, beta: float = 2.0) -> DataFrame:
-    """pairs(pair_id, hypothesis, reference) -> corpus chrF++ from clipped n-gram counts, 0 to 100."""
-    orders = [("c", n) for n in range(1, characters + 1)] + [("w", n) for n in range(1, words + 1)]
-    grams = lambda text: F.flatten(F.array(*(_named(f"{k}{n}", _character_grams(text, n) if k == "c" else _word_grams(text, n)) for k, n in orders)))
-    sides = [pairs.select(*by, "pair_id", F.explode(grams(F.col(side))).alias("x"), F.lit(i).alias("side")) for i, side in enumerate(("hypothesis", "reference"))]
-    counts = sides[0].unionByName(sides[1]).groupBy(*by, "pair_id", "x.o", "x.g").agg(F.count_if(F.col("side") == 0).alias("h"), F.count_if(F.col("side") == 1).alias("r"))
-    totals = counts.groupBy(*by, "o").agg(F.sum(F.least("h", "r")).alias("m"), F.sum("h").alias("h"), F.sum("r").alias("r")).where("h > 0 and r > 0")
-    p, r = F.col("m") / F.col("h"), F.col("m") / F.col("r")
-    mean = totals.groupBy(*by).agg(F.avg(p).alias("p"), F.avg(r).alias("r"))
+    """pairs(hypothesis, reference) -> corpus chrF++ from clipped n-gram counts, 0 to 100.
+
+    Both texts are in one row, so n-grams are counted there, and only three numbers for each order are shuffled. A
+    pair with a null text does not count; orders that one side lacks drop out of the mean; without any, it is null.
+    """
+
+    @F.pandas_udf("array<long>")
+    def counted(hypothesis: pd.Series, reference: pd.Series) -> pd.Series:
+        return pd.Series([None if h is None or r is None else gram_counts(h, r, characters, words) for h, r in zip(hypothesis, reference)], dtype=object)
+
+    orders = range(characters + words)
+    counts = pairs.select(*by, counted("hypothesis", "reference").alias("c"))
+    sums = counts.groupBy(*by).agg(*(F.sum(F.get("c", F.lit(3 * i + k))).alias(f"{x}{i}") for i in orders for k, x in enumerate("mhr")))
+    both = [(F.col(f"h{i}") > 0) & (F.col(f"r{i}") > 0) for i in orders]
+    mean = lambda side: sum((F.when(ok, F.col(f"m{i}") / F.col(f"{side}{i}")).otherwise(0.0) for i, ok in zip(orders, both)), F.lit(0.0)) / sum((F.when(ok, 1).otherwise(0) for ok in both), F.lit(0))
+    any_ = sum((F.when(ok, 1).otherwise(0) for ok in both), F.lit(0)) > 0
+    means = sums.where(any_).select(*by, mean("h").alias("p"), mean("r").alias("r"))
     f = (1 + beta**2) * F.col("p") * F.col("r") / (beta**2 * F.col("p") + F.col("r"))
-    return mean.select(*by, F.when(F.col("p") + F.col("r") > 0, 100 * f).otherwise(0.0).alias("chrf"))
+    return means.select(*by, F.when(F.col("p") + F.col("r") > 0, 100 * f).otherwise(0.0).alias("chrf"))
 
 
 def throughput(timings: DataFrame, by: tuple[str, ...]) -> DataFrame:

@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -224,10 +226,28 @@ def new_tokens(extended: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def mean_vectors(members: DataFrame, vectors: DataFrame) -> DataFrame:
-    """members(token, vec_id), vectors(vec_id, embedding) -> (token, embedding): means of the members' vectors."""
-    each = members.join(vectors, "vec_id").select("token", F.posexplode("embedding").alias("at", "v"))
-    means = each.groupBy("token", "at").agg(F.avg(F.col("v").cast("double")).alias("v"))
-    return means.groupBy("token").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("embedding"))
+    """members(token, vec_id), vectors(vec_id, embedding) -> (token, embedding): means of the members' vectors.
+
+    A vector stays one value: each task adds up the vectors of a token before the shuffle.
+    """
+    each = members.join(vectors.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v")), "vec_id")
+    return each.groupBy("token").agg(Summarizer.mean(F.col("v")).alias("m")).select("token", vector_to_array("m").alias("embedding"))
+
+
+def base_pieces(tokens: DataFrame, merges: list[Merge], vocab: DataFrame) -> DataFrame:
+    """tokens(token), vocab(token, id) -> (token, vec_id): the ids into which the base merges encode each token's bytes, one row each."""
+    cut = encoded(tokens.select(F.col("token").alias("word")), merges).select("word", F.posexplode("symbols").alias("at", "piece"))
+    return cut.join(vocab.select(F.col("token").alias("piece"), F.col("id").alias("vec_id")), "piece").select(F.col("word").alias("token"), "vec_id")
+
+
+def extended_embeddings(vectors: DataFrame, vocab: DataFrame, merges: list[Merge], fresh: DataFrame) -> DataFrame:
+    """vectors(vec_id, embedding) of a vocabulary, and fresh(token, id) -> (id, token, embedding): the rows to add.
+
+    A new token's row is the mean of the rows of its pieces in the base vocabulary. The table they go to has
+    padded_size() rows of both.
+    """
+    means = mean_vectors(base_pieces(fresh, merges, vocab), vectors)
+    return fresh.join(means, "token").select("id", "token", "embedding")
 
 
 def padded_size(n: int, multiple: int = 128) -> int:

@@ -569,6 +569,28 @@ def bpe_apply_ids(spark, d):
     return vocabulary.appended_ids(spark, vocab, spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(more)], "rank int, left string, right string"))
 
 
+@query(f"""WITH {_EXTENDED}, old AS (SELECT DISTINCT l || r AS token FROM base), fresh AS (SELECT l || r AS token, min(rank) AS rank FROM more WHERE l || r NOT IN (SELECT * FROM old) GROUP BY 1),
+ids AS (SELECT upper(printf('%02x', i)) AS piece, i AS id FROM (SELECT unnest(range(256)) AS i) UNION ALL SELECT l || r, 255 + row_number() OVER (ORDER BY rank) FROM base),
+c0 AS (SELECT token, regexp_replace(token, '(..)', '<\\1>', 'g') AS m FROM fresh),
+{','.join(f"""
+c{i + 1} AS (SELECT token, replace(m, '<' || l || '><' || r || '>', '<' || l || r || '>') AS m FROM c{i}, t{i})""" for i in range(MERGES))},
+x AS (SELECT token, unnest(string_split(m[2:-2], '><')) AS piece FROM c{MERGES}),
+f AS (SELECT token, row_number() OVER (ORDER BY rank) AS nr FROM fresh),
+v AS (SELECT token, i, avg(embedding[i]::DOUBLE) AS v FROM x JOIN ids USING (piece) JOIN embeddings ON vec_id = id, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL)
+SELECT CAST(255 + (SELECT count(*) FROM old) + nr AS BIGINT) AS id, token, CAST(round(sum(v) * 1000) AS BIGINT) AS total, count(*) AS size,
+  CAST(ceil((256 + (SELECT count(*) FROM old) + (SELECT count(*) FROM fresh)) / 128) * 128 AS BIGINT) AS rows_in_all FROM v JOIN f USING (token) GROUP BY token, nr""")
+def extended_embedding_rows(spark, d):
+    """The rows that French merges add to an embedding table: means of the rows of the English vocabulary's pieces."""
+    base, more = _extended(spark, d)
+    tokens = [f"{b:02X}" for b in range(256)] + list(dict.fromkeys(a + b for a, b in base))
+    vocab = spark.createDataFrame([(t, i) for i, t in enumerate(tokens)], "token string, id long")
+    fresh = vocabulary.appended_ids(spark, vocab, spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(more)], "rank int, left string, right string"))
+    rows = vocabulary.extended_embeddings(_table(spark, d, "embeddings").select("vec_id", "embedding"), vocab, base, fresh)
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)
+    size = F.lit(vocabulary.padded_size(len(tokens) + fresh.count())).cast("long")
+    return rows.select("id", "token", F.round(total * 1000).cast("long").alias("total"), F.size("embedding").cast("long").alias("size"), size.alias("rows_in_all"))
+
+
 @query()
 def identical_ids_by_lang(spark, d):
     """Whether each language's pieces keep their tokens when confined merges are appended."""
@@ -642,12 +664,25 @@ def choice_accuracy(spark, d):
     return score.accuracy(score.choices(scored), answers)
 
 
-@query()
+_GAP = "[ \\t\\n\\r\\f\\v]+"
+_PUNCTUATION_SQL = r"[!-/:-@\[-`{-~]"
+
+
+@query(f"""WITH q AS (SELECT row_number() OVER () AS k, role, text AS h, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT k, role, unnest([0, 1]) AS side, unnest([h, r]) AS t FROM q WHERE r IS NOT NULL AND h IS NOT NULL),
+u AS (SELECT k, role, side, regexp_replace(t, '{_GAP}', '', 'g') AS c, flatten(list_transform(list_filter(regexp_split_to_array(t, '{_GAP}'), lambda w: w <> ''),
+  lambda w: CASE WHEN regexp_matches(w, '^.+{_PUNCTUATION_SQL}$') THEN [w[:-2], w[-1]] WHEN regexp_matches(w, '^{_PUNCTUATION_SQL}.+$') THEN [w[1], w[2:]] ELSE [w] END)) AS w FROM s),
+g AS (SELECT k, role, side, 'c' || n AS o, substr(c, unnest(range(1, length(c) - n + 2)), n) AS g FROM u, (SELECT unnest(range(1, 7)) AS n)
+  UNION ALL SELECT k, role, side, 'w1', unnest(w) FROM u UNION ALL SELECT k, role, side, 'w2', unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM u),
+n AS (SELECT k, role, o, g, count(*) FILTER (WHERE side = 0) AS h, count(*) FILTER (WHERE side = 1) AS r FROM g GROUP BY ALL),
+z AS (SELECT role, o, sum(least(h, r)) AS m, sum(h) AS h, sum(r) AS r FROM n GROUP BY ALL HAVING sum(h) > 0 AND sum(r) > 0),
+a AS (SELECT role, avg(m / h) AS p, avg(m / r) AS r FROM z GROUP BY role)
+SELECT role, round(CASE WHEN p + r > 0 THEN 100 * 5 * p * r / (4 * p + r) ELSE 0 END, 6) AS chrf FROM a""")
 def chrf_by_role(spark, d):
-    """chrF++ of every turn against the turn before it, by role."""
+    """chrF++ of every turn against the turn before it, by role, to six places."""
     turns = _table(spark, d, "conversations").where("conv_id is not null")
-    pairs = turns.select("conv_id", "turn", "role", F.col("text").alias("hypothesis"), F.expr("lag(text) over (partition by conv_id order by turn)").alias("reference")).where("reference is not null")
-    return score.chrf(pairs.withColumn("pair_id", F.struct("conv_id", "turn")), ("role",))
+    pairs = turns.select("role", F.col("text").alias("hypothesis"), F.expr("lag(text) over (partition by conv_id order by turn)").alias("reference")).where("reference is not null")
+    return score.chrf(pairs, ("role",)).select("role", F.round("chrf", 6).alias("chrf"))
 
 
 _TIMED_SQL = f"t AS (SELECT source, lang, (length(text) % 50 + 1) / 16.0::DOUBLE AS seconds, {_SQL_FLOOR} AS tokens FROM documents)"
