@@ -96,3 +96,9 @@ def identical_languages(base: DataFrame, other: DataFrame) -> DataFrame:
     """(lang, identical): whether all texts (lang, sent_id, ids) have the same ids in both."""
     joined = base.select("lang", "sent_id", "ids").join(other.select("lang", "sent_id", F.col("ids").alias("other_ids")), ["lang", "sent_id"], "full")
     return joined.groupBy("lang").agg(F.bool_and(F.col("ids").eqNullSafe(F.col("other_ids"))).alias("identical"))
+
+
+def identical_summary(identical: DataFrame) -> DataFrame:
+    """identical_languages() as one row: the languages whose texts all keep their ids, in order, their number, and that of all."""
+    kept = F.col("identical")
+    return identical.agg(F.array_sort(F.collect_list(F.when(kept, F.col("lang")))).alias("languages"), F.count_if(kept).alias("n"), F.count("*").alias("of"))

@@ -26,12 +26,12 @@ TOP_PAIRS = 256
 NESTED = 8
 
 
-def word_counts(texts: DataFrame, keep: Callable[[Column], Column] | None = None, pattern: str = T.PATTERN) -> DataFrame:
-    """(word, n): pieces of the pre-tokenizer that keep accepts, as hexadecimal bytes."""
-    pieces = texts.select(F.explode(T.pieces(F.col("text"), pattern)).alias("piece"))
+def word_counts(texts: DataFrame, keep: Callable[[Column], Column] | None = None, pattern: str = T.PATTERN, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, word, n): pieces of the pre-tokenizer that keep accepts, as hexadecimal bytes."""
+    pieces = texts.select(*by, F.explode(T.pieces(F.col("text"), pattern)).alias("piece"))
     if keep is not None:
         pieces = pieces.where(keep(F.col("piece")))
-    return pieces.groupBy(F.hex(F.encode("piece", "UTF-8")).alias("word")).agg(F.count("*").alias("n"))
+    return pieces.groupBy(*by, F.hex(F.encode("piece", "UTF-8")).alias("word")).agg(F.count("*").alias("n"))
 
 
 def bytes_as_symbols(word: Column) -> Column:
@@ -198,16 +198,16 @@ def extended_config(spark: SparkSession, config: dict, merges: DataFrame) -> dic
     return {**config, "model": {**model, "vocab": tokens, "merges": [*model["merges"], *(map(" ".join, behind) if as_text else behind)]}}
 
 
-def ladder(words: DataFrame, merges: list[Merge], sizes: list[int]) -> DataFrame:
-    """(size, tokens): tokens of words(word, n, ...) with the first `size` merges, all sizes in one pass."""
-    marked, columns = bytes_as_symbols(F.col("word")), []
+def ladder(words: DataFrame, merges: list[Merge], sizes: list[int], by: tuple[str, ...] = (), base: list[Merge] = ()) -> DataFrame:
+    """(by, size, tokens): tokens of words(by, word, n) with base and the first `size` merges, all sizes in one pass."""
+    marked, columns = merged(bytes_as_symbols(F.col("word")), base), []
     done = 0
     for size in sorted(sizes):
         marked = merged(marked, merges[done:size])
         done = size
         columns.append(F.struct(F.lit(size).alias("size"), F.size(symbols(marked)).alias("tokens")))
-    rows = words.select(F.explode(F.array(*columns)).alias("s"), "n")
-    return rows.groupBy("s.size").agg(F.sum(F.col("s.tokens") * F.col("n")).alias("tokens"))
+    rows = words.select(*by, F.explode(F.array(*columns)).alias("s"), "n")
+    return rows.groupBy(*by, "s.size").agg(F.sum(F.col("s.tokens") * F.col("n")).alias("tokens"))
 
 
 def unreachable(vocab: DataFrame, pattern: str = T.PATTERN) -> DataFrame:

@@ -10,7 +10,7 @@ import json
 from collections.abc import Callable
 from importlib.util import find_spec
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions import graphemes
@@ -219,7 +219,13 @@ def vocabulary_tax(spark, d):
     return measure.tax(sums, "en").select("tokenizer", "lang", "tokens", "letters", "floor", "exact_tokens", "broken", "tax")
 
 
-@query()
+@query(rf"""WITH t AS (SELECT item_id, row_number() OVER () AS k, regexp_extract_all(text, '\r\n|(?s:.)\p{{M}}*') AS ls, {_SQL_BYTES} AS n FROM benchmark),
+l0 AS (SELECT item_id, k, n, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM t),
+l AS (SELECT *, CAST(sum(octet_length(encode(l))) OVER (PARTITION BY k ORDER BY i) AS BIGINT) AS upto FROM l0),
+e AS (SELECT *, CASE WHEN upto % {CUT} = 0 OR upto = n THEN 1 ELSE 0 END AS shared FROM l),
+c AS (SELECT *, sum(shared) OVER (PARTITION BY k ORDER BY i) - shared AS place FROM e),
+s AS (SELECT item_id, k, CAST(place AS INTEGER) AS place, string_agg(l, '' ORDER BY i) AS chunk, CAST((sum(octet_length(encode(l))) + {CUT - 1}) // {CUT} AS INTEGER) AS tokens, CAST(count(*) AS INTEGER) AS letters FROM c GROUP BY ALL)
+SELECT item_id, place, chunk, tokens, letters, tokens > greatest(letters, 1) AS overcut FROM s""")
 def segments_exploded(spark, d):
     """Segments of the benchmark texts under three-byte tokens, flagged where tokens outnumber letters."""
     texts = _table(spark, d, "benchmark").select("item_id", "text").withColumn("s", graphemes.segments("text", FixedCut(CUT).pieces(F.col("text"))))
@@ -591,7 +597,17 @@ def extended_embedding_rows(spark, d):
     return rows.select("id", "token", F.round(total * 1000).cast("long").alias("total"), F.size("embedding").cast("long").alias("size"), size.alias("rows_in_all"))
 
 
-@query()
+def _sql_kept(words: str) -> str:
+    """y0, y1, ...: words(lang, word, m, n) after the English merges and those of the first 0, 1, ... French ones that are kept."""
+    parts = [f"x0 AS ({words})", *(f"x{i + 1} AS MATERIALIZED (SELECT lang, word, replace(m, '<' || l || '><' || r || '>', '<' || l || r || '>') AS m, n FROM x{i}, t{i})" for i in range(MERGES)), f"y0 AS (SELECT * FROM x{MERGES})"]
+    parts += [f"y{i + 1} AS MATERIALIZED (SELECT lang, word, CASE WHEN kept THEN replace(m, '<' || l || '><' || r || '>', '<' || l || r || '>') ELSE m END AS m, n FROM y{i}, (SELECT * FROM kept WHERE rank = {i}))" for i in range(MERGES)]
+    return ",\n".join(parts)
+
+
+_LANG_WORDS = f"SELECT lang, hex(encode(piece)) AS word, regexp_replace(hex(encode(piece)), '(..)', '<\\1>', 'g') AS m, count(*) AS n FROM (SELECT lang, unnest({_SQL_PIECES}) AS piece FROM documents) GROUP BY ALL"
+
+
+@query(f"WITH {_EXTENDED}, {_sql_kept(_LANG_WORDS)} SELECT y0.lang, bool_and(y0.m = y{MERGES}.m) AS identical FROM y0 JOIN y{MERGES} USING (lang, word) GROUP BY y0.lang")
 def identical_ids_by_lang(spark, d):
     """Whether each language's pieces keep their tokens when confined merges are appended."""
     base, more = _extended(spark, d)
@@ -602,6 +618,40 @@ def identical_ids_by_lang(spark, d):
     return measure.identical_languages(ids(base), ids([*base, *kept]))
 
 
+@query(f"WITH {_EXTENDED}, {_sql_kept(_LANG_WORDS)}, i AS (SELECT y0.lang, bool_and(y0.m = y{MERGES}.m) AS same FROM y0 JOIN y{MERGES} USING (lang, word) GROUP BY y0.lang) SELECT coalesce(string_agg(CASE WHEN same THEN lang END, ',' ORDER BY lang), '') AS languages, CAST(count_if(same) AS BIGINT) AS n, count(*) AS \"of\" FROM i")
+def identical_languages_listed(spark, d):
+    """The languages whose pieces all keep their tokens, and how many of all they are."""
+    return measure.identical_summary(identical_ids_by_lang(spark, d)).withColumn("languages", F.array_join("languages", ","))
+
+
+# the pre-tokenizer with marks taken for letters, as fix_marks() makes it
+_MARKED_PIECES = _SQL_PIECES.replace(r"\p{L}\p{N}", r"\p{L}\p{M}\p{N}").replace(r"?\p{L}+", r"?[\p{L}\p{M}]+")
+
+
+@query(f"""WITH {_EXTENDED}, {_sql_kept(_LANG_WORDS)}, sizes AS (SELECT i, CAST((SELECT count(*) FROM kept WHERE kept AND rank < i) AS INTEGER) AS size FROM (SELECT unnest(range({MERGES + 1})) AS i)),
+z AS ({' UNION ALL '.join(f"SELECT lang, {i} AS i, CAST(sum(n * len(string_split(m[2:-2], '><'))) AS BIGINT) AS tokens FROM y{i} GROUP BY lang" for i in range(MERGES + 1))}),
+l AS (SELECT DISTINCT lang, size, tokens FROM z JOIN sizes USING (i))
+SELECT lang, size, tokens, tokens / max(CASE WHEN lang = 'en' THEN tokens END) OVER (PARTITION BY size) AS tax FROM l""".replace(_SQL_PIECES, _MARKED_PIECES))
+def extend_ladder(spark, d):
+    """A vocabulary extended end to end: marks kept inside words, English merges, French ones on top of them, confined, and every
+    language measured again with the first 0, 1, 2, ... of those kept."""
+    pattern = T.fix_marks(T.PATTERN)
+    words = staged(vocabulary.word_counts(_docs(spark, d, "text", "lang"), pattern=pattern, by=("lang",)), "words")
+    of = lambda lang: words.where(F.col("lang") == lang).select("word", "n")
+    base = vocabulary.learn(of("en"), MERGES)
+    kept = [(r["left"], r["right"]) for r in _confined(spark, base, vocabulary.learn(of("fr"), MERGES, base))[1].orderBy("rank").collect()]
+    sizes = vocabulary.ladder(words, kept, [*range(len(kept) + 1)], ("lang",), base)
+    return sizes.select("lang", "size", "tokens", F.try_divide("tokens", F.max(F.when(F.col("lang") == "en", F.col("tokens"))).over(Window.partitionBy("size"))).alias("tax"))
+
+
+@query()
+def bpe_learn_thousand(spark, d):
+    """A thousand merges learned on all documents, with the length of each token in bytes."""
+    learned = vocabulary.learn(_words(spark, d), 1000)
+    rows = [(i, a, b, len(a + b) // 2) for i, (a, b) in enumerate(learned)]
+    return spark.createDataFrame(rows, "rank int, left string, right string, bytes int")
+
+
 @query(f"""SELECT token, CAST(len(regexp_extract_all(regexp_replace(token, '(\\s)([^\\s])', '{_MARK}\\1\\2', 'g'), '{_SQL_PATTERN}')) AS BIGINT) AS pieces
 FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS token FROM documents) WHERE len(regexp_extract_all(regexp_replace(token, '(\\s)([^\\s])', '{_MARK}\\1\\2', 'g'), '{_SQL_PATTERN}')) > 1""")
 def unreachable_tokens(spark, d):
