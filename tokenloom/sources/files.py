@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions import text as T
@@ -14,14 +14,23 @@ from tokenloom.operators.score import latest
 QUESTION = "flores_passage string, question string, mc_answer1 string, mc_answer2 string, mc_answer3 string, mc_answer4 string, correct_answer_num string"
 
 
-def parallel_texts(spark: SparkSession, folder: str, split: str = "devtest") -> DataFrame:
-    """(lang, sent_id, text) of files <lang>.<split>, one sentence a line; lines with one number are translations.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, text) of text files: every line with its number in its file from 0; only \\n ends a line.
 
-    Each file is read whole by one task, since only the position in it tells which sentence a line is.
+    Large files are read in splits by many tasks. The lines of each split are counted first, a few numbers for each;
+    a line's number is then that of its split's first line plus its place in the split, which a task reads in order.
     """
-    files = spark.read.text(f"{folder}/*.{split}", wholetext=True, recursiveFileLookup=False).select("value", F.col("_metadata.file_name").alias("file"))
-    lines = files.select(F.regexp_replace("file", rf"\.{split}$", "").alias("lang"), F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("sent_id", "text"))
-    return lines.select("lang", F.col("sent_id").cast("long").alias("sent_id"), "text")
+    lines = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("at"))
+    splits = lines.groupBy("path", "begin").agg(F.count("*").alias("n"), F.min("at").alias("least"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("begin")) - F.col("n") - F.col("least")
+    placed = lines.join(splits.select("path", "begin", before.alias("offset")), ["path", "begin"])
+    return placed.select("file", (F.col("at") + F.col("offset")).alias("line"), F.col("value").alias("text"))
+
+
+def parallel_texts(spark: SparkSession, folder: str, split: str = "devtest") -> DataFrame:
+    """(lang, sent_id, text) of files <lang>.<split>, one sentence a line; lines with one number are translations."""
+    lines = numbered_lines(spark, f"{folder}/*.{split}")
+    return lines.select(F.regexp_replace("file", rf"\.{split}$", "").alias("lang"), F.col("line").alias("sent_id"), "text")
 
 
 def jsonl(spark: SparkSession, path: str, schema: str = "text string") -> DataFrame:
@@ -52,8 +61,14 @@ def write_jsonl(docs: DataFrame, path: str) -> DataFrame:
     return docs.sparkSession.read.schema(info.schema).json(f"{path}/info")
 
 
-def write_results(rows: DataFrame, path: str) -> None:
-    """Writes result rows as JSON and as CSV with one header."""
+def write_results(rows: DataFrame, path: str, *others: DataFrame) -> None:
+    """Writes result rows as JSON and as CSV with one header.
+
+    Rows of other tables, with other columns, go to the same files: a column that a table lacks is null in its
+    rows, and columns stand in the order in which they first appear.
+    """
+    for more in others:
+        rows = rows.unionByName(more, allowMissingColumns=True)
     rows.write.json(f"{path}/json")
     rows.write.csv(f"{path}/csv", header=True)
 
