@@ -78,7 +78,7 @@ def tax(sums: DataFrame, base: str) -> DataFrame:
 
 def speaker_weighted(taxes: DataFrame, languages: DataFrame, by: tuple[str, ...] = ("tokenizer",)) -> DataFrame:
     """Mean tax weighted by speakers; languages without speakers drop out."""
-    joined = taxes.join(F.broadcast(languages.select(F.col("code").alias("lang"), "speakers")), "lang")
+    joined = taxes.join(languages.select(F.col("code").alias("lang"), "speakers"), "lang")
     return joined.groupBy(*by).agg(F.try_divide(F.sum(F.col("tax") * F.col("speakers")), F.sum("speakers")).alias("weighted_tax"))
 
 
