@@ -72,3 +72,13 @@ def test_running_sums_of_null_groups(spark):
     rows = [("x", 1, 5), (None, 2, 7), ("x", 3, 1), (None, 4, 2), ("y", 5, 9)]
     found = with_running_sum(spark.createDataFrame(rows, "g string, i int, n long"), ["g"], "i", __import__("pyspark.sql.functions", fromlist=["col"]).col("n"), "before")
     assert {(r["i"], r["before"]) for r in found.collect()} == {(1, 0), (2, 0), (3, 5), (4, 7), (5, 0)} and found.columns == ["g", "i", "n", "before"]
+
+
+def test_prompts(spark):
+    kind = "lang string, sent_id long, text string"
+    dev = spark.createDataFrame([("en", 2, "b"), ("en", 1, "a"), ("en", 3, "c"), ("or", 1, "A"), ("or", 2, "B"), ("or", 4, "D"), ("en", 4, None), ("en", 9, "%s"), ("or", 9, "E")], kind)
+    test = spark.createDataFrame([("en", 1, "x"), ("or", 1, "X"), ("en", 2, "only here")], kind)
+    names = {"en": "English", "or": "Odia"}
+    assert [tuple(r) for r in score.few_shot_prompts(dev, test, "en", "or", names, 2).collect()] == [(1, "English: a\nOdia: A\n\nEnglish: b\nOdia: B\n\nEnglish: x\nOdia:", "X")]
+    assert score.few_shot_prompts(dev, test, "en", "or", names).first()["prompt"].count("%s") == 1
+    assert score.few_shot_prompts(dev.limit(0), test, "or", "en", names).first()["prompt"] == "Odia: X\nEnglish:"

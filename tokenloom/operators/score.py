@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tokenloom.functions import text as T
+
 
 def bits_per_byte(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """scored(logp, bytes, tokens): -log2 p per byte; natural logarithms are given."""
@@ -129,6 +131,21 @@ def parallel_pairs(texts: DataFrame, source: str, target: str) -> DataFrame:
     return side(source, "source").join(side(target, "target"), "sent_id")
 
 
+def few_shot_prompts(examples: DataFrame, texts: DataFrame, source: str, target: str, names: dict[str, str], shots: int = 5) -> DataFrame:
+    """examples and texts(lang, sent_id, text) -> (sent_id, prompt, reference): each text to translate behind the first example pairs.
+
+    Both are paired by sentence; a sentence that one language lacks, or whose
+    text is null in it, has no pair. The examples are the `shots`
+    first ones by sent_id, fewer if there are no more; none give a prompt of the text alone.
+    """
+    spoken = lambda some: parallel_pairs(some.where("text is not null"), source, target)
+    first = spoken(examples).orderBy("sent_id").limit(shots)
+    given = F.array_sort(F.collect_list(F.struct("sent_id", F.col("source"), F.col("target"))))
+    head = first.agg(F.transform(given, lambda s: F.struct(s["source"].alias("source"), s["target"].alias("target"))).alias("shots"))  # one row
+    pairs = spoken(texts).crossJoin(head)
+    return pairs.select("sent_id", T.shots_prompt(F.col("shots"), F.col("source"), names[source], names[target]).alias("prompt"), F.col("target").alias("reference"))
+
+
 def agree(rows: DataFrame, value: str) -> DataFrame:
     """Whether all rows have one value."""
     return rows.agg((F.count_distinct(value) <= 1).alias("agree"))

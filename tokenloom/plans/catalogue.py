@@ -817,6 +817,16 @@ def parallel_first_turns(spark, d):
     return score.parallel_pairs(turns, "user", "assistant")
 
 
+@query("""WITH t AS (SELECT conv_id, role, arg_min(text, turn) AS text FROM conversations GROUP BY ALL),
+p AS (SELECT u.conv_id AS sent_id, u.text AS s, a.text AS t FROM t u JOIN t a ON u.conv_id = a.conv_id AND u.role = 'user' AND a.role = 'assistant' WHERE u.text IS NOT NULL AND a.text IS NOT NULL),
+h AS (SELECT coalesce(string_agg('Question: ' || s || chr(10) || 'Answer: ' || t || chr(10) || chr(10), '' ORDER BY sent_id), '') AS head FROM (SELECT * FROM p WHERE sent_id % 2 = 1 ORDER BY sent_id LIMIT 5))
+SELECT sent_id, head || 'Question: ' || s || chr(10) || 'Answer:' AS prompt, t AS reference FROM p, h WHERE sent_id % 2 = 0""")
+def few_shot_prompts(spark, d):
+    """First turns of conversations with even ids behind five pairs of those with odd ids, as translation prompts are made."""
+    turns = _table(spark, d, "conversations").groupBy(F.col("conv_id").alias("sent_id"), F.col("role").alias("lang")).agg(F.min_by("text", "turn").alias("text"))
+    return score.few_shot_prompts(turns.where("sent_id % 2 = 1"), turns.where("sent_id % 2 = 0"), "user", "assistant", {"user": "Question", "assistant": "Answer"})
+
+
 _ITEM_LANG = "CASE item_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE 'es' END"
 
 
