@@ -88,7 +88,7 @@ def learn(words: DataFrame, n: int, base: list[Merge] = (), least: int = 2, most
     """
     words = staged(words.select(merged(bytes_as_symbols(F.col("word")), base).alias("marked"), "n"), "words")
     made: list[Merge] = []
-    known, looked = {a + b for a, b in base}, most_pairs
+    known, looked = {a + b for a, b in base}, min(most_pairs, max(TOP_PAIRS, 8 * n))  # few merges need few pairs
     while len(made) < n:
         top = [(r["left"], r["right"], r["count"]) for r in ranked_pairs(pair_counts(words)).limit(looked + 1).collect()]
         whole = len(top) <= looked or top[-1][2] < least
