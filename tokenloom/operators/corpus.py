@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions import text as T
 from tokenloom.operators.overlap import overlapping_keys
-from tokenloom.operators.running import with_running_sum
+from tokenloom.operators.running import joined_by, with_running_sum
 from tokenloom.operators.staged import staged
 
 
@@ -206,13 +206,14 @@ def rank_shard(blocks: DataFrame, n_blocks: int, world: int) -> DataFrame:
 def padded_batches(lengths: DataFrame, batch: int, by_length: bool = True) -> DataFrame:
     """Batches of `batch` documents in order of length (or of doc_id): batch_id, docs, longest, padded cost.
 
-    Rows are numbered by counts over lengths and running sums, not in one sorted partition.
+    Rows are numbered by counts over lengths and running sums, not in one sorted partition. Rows without a length
+    come last, and count as rows only.
     """
     key = F.col("n_tokens") if by_length else F.lit(0).cast("long")
     rows = lengths.withColumn("__key", key)
     counts = rows.groupBy("__key").agg(F.count("*").alias("__n"))
-    counts = counts.withColumn("__offset", F.sum("__n").over(Window.orderBy("__key").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).drop("__n")
-    rows = with_running_sum(rows, ["__key"], "doc_id", F.lit(1).cast("long"), "__in_key").join(counts, "__key")
+    counts = counts.withColumn("__offset", F.sum("__n").over(Window.orderBy(F.col("__key").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).drop("__n")
+    rows = joined_by(with_running_sum(rows, ["__key"], "doc_id", F.lit(1).cast("long"), "__in_key"), counts, ["__key"])
     placed = rows.withColumn("batch_id", F.expr(f"(__offset + __in_key) div {batch}"))
     return placed.groupBy("batch_id").agg(F.count("*").alias("docs"), F.max("n_tokens").alias("longest"), F.sum("n_tokens").alias("tokens")).withColumn("padded", F.col("docs") * F.col("longest"))
 
