@@ -5,10 +5,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tokenloom.llm.bpe import PairMerges, Recent, WordEncoder, encode_documents
+from tokenloom.llm import token_store as store
+from tokenloom.llm.bpe import PairMerges, Recent, WordEncoder, encode_documents, piece_starts, plain_lower, plain_pieces
 from tokenloom.llm.packing import optimal_boundaries, pack, token_lengths
 from tokenloom.llm.token_store import EliasFano, Shard, library_ids, read_token_store, shard_bytes, token_store, write_token_store
 
@@ -145,3 +147,25 @@ def test_added_tokens_of_other_files(tmp_path):
     want = [library.encode(t, add_special_tokens=False).ids for t in some]
     assert 49408 in want[0] and own.encode(some) == want
     assert [x.tolist() for x in library_ids(path, some)] == want == [x.tolist() for x in library_ids(path, some, whole=True)]
+
+
+def test_pieces_over_bytes_against_the_pattern():
+    rng = random.Random(5)
+    texts = ["", "'", "''s 's's don't 'tis we're'd l'll'l 5's 'é", "x" * 9 + "12,.\t\n\r\"'ve"]
+    for letters in ("'stmdrevl ", "'strevlmdaé1.\" \n\tÉB7-", "".join(map(chr, range(32, 127))) + "\t\n\rÀÖØöøÿß"):
+        texts += ["".join(rng.choices(letters, k=rng.randint(0, 25))) for _ in range(2000)]
+    plain = [(t, low) for t in texts if (low := plain_lower(t)) is not None]
+    raw = np.frombuffer(b"\n".join([*(low for _, low in plain), b"\n\n"]), np.uint8)
+    start, inside = piece_starts(raw)
+    offsets, kept = [*np.flatnonzero(start[inside]).tolist(), int(inside.sum())], raw[inside].tobytes()
+    assert [kept[a:b].decode() for a, b in zip(offsets, offsets[1:])] == [p for t, _ in plain for p in plain_pieces(t)]
+    own = Tokenizer.from_file(PATH)
+    assert [x.tolist() for x in library_ids(PATH, texts)] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_text_slices(monkeypatch):
+    monkeypatch.setattr(store, "TEXT_BYTES", 10)
+    for texts in ([], [None], ["a" * 30], ["a" * 4] * 7 + [None, "é" * 20, "", "b"], [""] * 50):
+        slices = [s.column("text").to_pylist() for s in store.text_slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"]))]
+        assert [t for s in slices for t in s] == texts and all(slices)
+        assert all(sum(len((t or "").encode()) for t in s[1:]) < 10 for s in slices)

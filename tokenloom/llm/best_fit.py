@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm.common import stage
-from tokenloom.llm.token_store import library_ids
+from tokenloom.llm.token_store import library_ids, text_slices
 
 CAPACITY = 4096
 #: Bins that a task keeps open.
@@ -141,8 +141,7 @@ def _packed_documents(path: str, end_id: int, capacity: int, open_bins: int):
     def run(batches):
         packer, out = Packer(capacity, open_bins), _Writer()
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                some = batch.slice(at, 128)
+            for some in text_slices(batch):
                 for doc, found in zip(some.column("doc_id").to_pylist(), library_ids(path, some.column("text").to_pylist())):
                     ids = np.append(found, np.uint32(end_id))
                     pieces = document_pieces(doc, ids, capacity)

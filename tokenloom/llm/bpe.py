@@ -13,6 +13,7 @@ import hashlib
 import heapq
 import json
 import re
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,38 @@ def plain_pieces(text: str) -> list[str] | None:
     return _PLAIN_PIECES.findall(text.lower()) if _PLAIN.fullmatch(text) and "<|" not in text else None
 
 
+def plain_lower(text: str) -> bytes | None:
+    """A plain text in lower case and UTF-8; None for other texts."""
+    return text.lower().encode() if _PLAIN.fullmatch(text) and "<|" not in text else None
+
+
+#: Kinds of bytes in lower-case plain texts: 0 white space, 1 letters, 2 digits, 3 others.
+_KINDS = np.full(256, 3, np.uint8)
+_KINDS[[*b"\0 \t\n\r"]], _KINDS[[*b"abcdefghijklmnopqrstuvwxyz", *range(128, 256)]], _KINDS[[*b"0123456789"]] = 0, 1, 2
+
+
+def piece_starts(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where plain_pieces() begin in bytes of plain_lower() texts, and which bytes belong to one; the bytes end with three of white space.
+
+    A piece begins where the kind changes and at every digit. An apostrophe that begins one takes in s, t, m, d, re,
+    ve or ll, after which another begins.
+    """
+    kind = _KINDS[raw]
+    inside = kind > 0
+    start = inside & (kind == 2)
+    start[0] = inside[0]
+    start[1:] |= inside[1:] & (kind[1:] != kind[:-1])
+    mark = np.flatnonzero(raw == ord("'"))
+    mark = mark[start[mark]]
+    one, two = raw[mark + 1], raw[mark + 2]
+    short = np.isin(one, [*b"stmd"])
+    long = (two == ord("e")) & ((one == ord("r")) | (one == ord("v"))) | (one == ord("l")) & (two == ord("l"))
+    start[mark[short | long] + 1] = False
+    after = np.concatenate([mark[short] + 2, mark[long] + 3])
+    start[after] |= kind[after] == 1
+    return start, inside
+
+
 class Recent(dict):
     """A cache of at most `limit` entries and as many of the generation before, from which used ones come back."""
 
@@ -57,12 +90,11 @@ class Recent(dict):
     def missing(self, keys) -> list:
         """The keys without a value, each once."""
         out = []
-        for k in {*keys}:
-            if k not in self:
-                if k in self.before:
-                    self[k] = self.before[k]
-                else:
-                    out.append(k)
+        for k in [*filterfalse(self.__contains__, {*keys})]:
+            if k in self.before:
+                self[k] = self.before[k]
+            else:
+                out.append(k)
         return out
 
     def make_room(self, coming: int) -> bool:

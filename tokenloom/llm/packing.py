@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.llm.common import stage
-from tokenloom.llm.token_store import library_ids
+from tokenloom.llm.token_store import library_ids, text_slices
 
 BUCKETS = 16
 #: Tokens of a batch, padding included.
@@ -78,7 +78,7 @@ def token_lengths(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            n = [len(x) for at in range(0, batch.num_rows, 64) for x in library_ids(path, batch.column("text").slice(at, 64).to_pylist())]
+            n = [len(x) for some in text_slices(batch) for x in library_ids(path, some.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

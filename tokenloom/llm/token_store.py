@@ -17,12 +17,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tokenloom.llm.bpe import Recent, has_plain_pieces, plain_pieces
+from tokenloom.llm.bpe import Recent, has_plain_pieces, piece_starts, plain_lower
 from tokenloom.llm.common import CACHE_WORDS, READERS, filesystem, new_folder, stage
 
 _MAGIC = b"IDSHARD1"
@@ -169,6 +170,38 @@ class _Library:
             self.cache[piece] = raw[start:end]
             start = end
 
+    def plain_ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of plain_lower() texts: those of each different piece, laid out where it stands."""
+        raw = np.frombuffer(b"\n".join([*texts, b"\n\n"]), np.uint8)
+        start, inside = piece_starts(raw)
+        offsets = np.append(np.flatnonzero(start[inside]), np.count_nonzero(inside))
+        pieces = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(raw[inside])).dictionary_encode()
+        keys = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = self.cache.missing(keys)
+        if self.cache.make_room(len(new)):
+            new = self.cache.missing(keys)
+        for at in range(0, len(new), 4096):
+            self.learn(new[at : at + 4096])
+        own = [*map(self.cache.__getitem__, keys)]
+        n, at = np.fromiter(map(len, own), np.int64, len(own)) // 4, pieces.indices.to_numpy()
+        length, first = n[at], (np.cumsum(n) - n)[at]
+        before = np.concatenate([[0], np.cumsum(length)])
+        ids = np.frombuffer(b"".join(own), np.uint32)[np.arange(before[-1]) + np.repeat(first - before[:-1], length)]
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        bounds = before[np.searchsorted(np.flatnonzero(start), ends)].tolist()
+        return [ids[a:b] for a, b in zip([0, *bounds], bounds)]
+
+
+#: Bytes of texts that are encoded at once, about: enough for their pieces to recur.
+TEXT_BYTES = 1 << 22
+
+
+def text_slices(batch: pa.RecordBatch):
+    """A batch with a column of texts, in slices of about TEXT_BYTES; a longer text is the first of its slice."""
+    group = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // TEXT_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    return (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if a < b)
+
 
 _tokenizers: dict[str, _Library] = {}
 
@@ -182,16 +215,10 @@ def library_ids(path: str, texts: list[str | None], whole: bool = False) -> list
     if path not in _tokenizers:
         _tokenizers[path] = _Library(path)
     library = _tokenizers[path]
-    cache = library.cache
-    cut = [plain_pieces(t or "") if cache is not None and not whole else None for t in texts]
-    keys = [p for pieces in cut if pieces for p in pieces]
-    if keys:
-        new = cache.missing(keys)
-        if cache.make_room(len(new)):
-            new = cache.missing(keys)
-        for at in range(0, len(new), 4096):
-            library.learn(new[at : at + 4096])
-    return [library.ids(t or "") if pieces is None else np.frombuffer(b"".join(map(cache.__getitem__, pieces)), np.uint32) for t, pieces in zip(texts, cut)]
+    plain = [plain_lower(t or "") if library.cache is not None and not whole else None for t in texts]
+    some = [t for t in plain if t is not None]
+    found = iter(library.plain_ids(some) if some else [])
+    return [library.ids(t or "") if p is None else next(found) for t, p in zip(texts, plain)]
 
 
 def _write(path: str, folder: str, end_id: int, shard_ids: int):
@@ -218,8 +245,7 @@ def _write(path: str, folder: str, end_id: int, shard_ids: int):
             return row
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                some = batch.slice(at, 128)
+            for some in text_slices(batch):
                 for doc, found in zip(some.column("doc_id").to_pylist(), library_ids(path, some.column("text").to_pylist())):
                     docs.append(doc)
                     ids.append(np.append(found, np.uint32(end_id)).astype(f"<u{width}"))
